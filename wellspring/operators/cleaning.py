@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wellspring.constants import FEATURE_CLIP, OTHER_RANGE, PHYSICAL_RANGES
-from wellspring.functions.values import clip, col, keep_between, nan_to_null
+from wellspring.functions.values import col
 
 DAY = 86_400
 
@@ -22,10 +22,14 @@ def physical_range(sensor: str) -> tuple[float, float]:
 
 def sanitize(df: DataFrame, sensors: Sequence[str]) -> DataFrame:
     """Null out NaN and physically impossible readings."""
-    present = [s for s in sensors if s in df.columns]
-    return df.withColumns(
-        {s: keep_between(nan_to_null(col(s).cast("double")), *physical_range(s)) for s in present}
-    )
+    bounds = {s: physical_range(s) for s in sensors if s in df.columns}
+    # NaN sorts above every number, so the upper bound removes it as well.
+    cleaned = [
+        f"CASE WHEN `{s}` BETWEEN {low}D AND {high}D THEN CAST(`{s}` AS DOUBLE) END AS `{s}`"
+        for s, (low, high) in bounds.items()
+    ]
+    others = [f"`{c}`" for c in df.columns if c not in bounds]
+    return df.selectExpr(*others, *cleaned)
 
 
 def causal_ffill(
@@ -43,65 +47,60 @@ def causal_ffill(
     reading of each sensor and its row position) comes from a summary with one row
     per slice; the result equals the fill over the unsliced recording. With
     ``slice_seconds=None`` each recording is one group, which saves the summary for
-    recordings known to be short. The column ``slice`` stays in the output so that
-    later grouping can reuse the partitioning.
+    recordings known to be short. The output also has ``position`` (row number in
+    the recording) and ``slice``, so that later grouping can reuse the partitioning.
     """
+    others = [f"`{c}`" for c in df.columns if c not in sensors]
+    by, sort = ", ".join(key), ", ".join(order)
+    near = "last(`{s}`, true) OVER (PARTITION BY {by} ORDER BY {sort} ROWS BETWEEN {limit} PRECEDING AND CURRENT ROW)"
     if slice_seconds is None:
-        frame = Window.partitionBy(*key).orderBy(*order).rowsBetween(-limit, 0)
-        return df.withColumns({s: F.last(col(s), True).over(frame) for s in sensors})
+        return df.selectExpr(
+            *others,
+            f"row_number() OVER (PARTITION BY {by} ORDER BY {sort}) AS position",
+            *[f"{near.format(s=s, by=by, sort=sort, limit=limit)} AS `{s}`" for s in sensors],
+        )
 
     sliced = df.withColumn("slice", F.window(order[0], f"{slice_seconds} seconds")["start"])
-    ordered = Window.partitionBy(*key, "slice").orderBy(*order)
-    near = ordered.rowsBetween(-limit, 0)
-    others = [c for c in sliced.columns if c not in sensors]
-    rows = sliced.select(
+    in_slice = f"{by}, slice"
+    rows = sliced.selectExpr(
         *others,
-        *[col(s) for s in sensors],
-        F.row_number().over(ordered).alias("row_in_slice"),
-        *[F.last(col(s), True).over(near).alias(f"{s}_near") for s in sensors],
+        "slice",
+        f"row_number() OVER (PARTITION BY {in_slice} ORDER BY {sort}) AS row_in_slice",
+        *[f"`{s}`" for s in sensors],
+        *[f"{near.format(s=s, by=in_slice, sort=sort, limit=limit)} AS `{s}_near`" for s in sensors],
     )
-
     ends = rows.groupBy(*key, "slice").agg(
         F.max("row_in_slice").alias("rows"),
         *[
-            F.max(F.when(col(s).isNotNull(), F.struct("row_in_slice", col(s).alias("reading")))).alias(s)
+            F.expr(f"max(CASE WHEN `{s}` IS NOT NULL THEN struct(row_in_slice AS row, `{s}` AS reading) END) AS `{s}`")
             for s in sensors
         ],
     )
-    earlier = Window.partitionBy(*key).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    placed = ends.withColumn("rows_before", F.coalesce(F.sum("rows").over(earlier), F.lit(0)))
-    inherited = placed.select(
+    earlier = f"OVER (PARTITION BY {by} ORDER BY slice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    placed = ends.selectExpr("*", f"coalesce(sum(rows) {earlier}, 0) AS rows_before")
+    inherited = placed.selectExpr(
         *key,
         "slice",
         "rows_before",
         *[
-            F.last(
-                F.when(
-                    col(s).isNotNull(),
-                    F.struct(
-                        (F.col("rows_before") + F.col(f"`{s}`.row_in_slice")).alias("position"),
-                        F.col(f"`{s}`.reading").alias("reading"),
-                    ),
-                ),
-                True,
-            ).over(earlier).alias(f"{s}_carry")
+            f"last(CASE WHEN `{s}` IS NOT NULL THEN struct(rows_before + `{s}`.row AS position, "
+            f"`{s}`.reading AS reading) END, true) {earlier} AS `{s}_carry`"
             for s in sensors
         ],
     )
     # Only a row without a reading nearby can need the inherited one; rows deeper
     # than ``limit`` in their slice fail the distance test by themselves.
-    distance = F.col("rows_before") + F.col("row_in_slice")
-    filled = [
-        F.coalesce(
-            col(f"{s}_near"),
-            F.when(
-                distance - F.col(f"`{s}_carry`.position") <= limit,
-                F.col(f"`{s}_carry`.reading"),
-            ),
-        ).alias(s)
-        for s in sensors
-    ]
-    return rows.join(inherited, [*key, "slice"]).select(*others, *filled)
+    position = "rows_before + row_in_slice"
+    return rows.join(inherited, [*key, "slice"]).selectExpr(
+        *others,
+        "slice",
+        f"{position} AS position",
+        *[
+            f"coalesce(`{s}_near`, CASE WHEN {position} - `{s}_carry`.position <= {limit} "
+            f"THEN `{s}_carry`.reading END) AS `{s}`"
+            for s in sensors
+        ],
+    )
 
 
 def causal_ffill_seconds(
@@ -122,11 +121,21 @@ def causal_ffill_seconds(
 
 
 def clip_features(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    return df.withColumns({f: clip(col(f), *FEATURE_CLIP) for f in features})
+    """Bound the features; NULL stays NULL."""
+    low, high = FEATURE_CLIP
+    others = [f"`{c}`" for c in df.columns if c not in features]
+    return df.selectExpr(
+        *others,
+        *[
+            f"CASE WHEN `{f}` < {low}D THEN {low}D WHEN `{f}` > {high}D THEN {high}D ELSE `{f}` END AS `{f}`"
+            for f in features
+        ],
+    )
 
 
 def to_float32(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    return df.withColumns({f: col(f).cast("float") for f in features})
+    others = [f"`{c}`" for c in df.columns if c not in features]
+    return df.selectExpr(*others, *[f"CAST(`{f}` AS FLOAT) AS `{f}`" for f in features])
 
 
 def is_transient(raw_class: Column) -> Column:

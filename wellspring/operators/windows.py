@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wellspring.constants import PRIMARY_SENSORS, STATISTICS
@@ -27,22 +27,21 @@ def feature_names(sensors: Sequence[str] = PRIMARY_SENSORS) -> list[str]:
     return [f"{sensor}_{statistic}" for statistic in STATISTICS for sensor in sensors]
 
 
-def sensor_statistics(sensor: str, order: Column, approximate_median: bool = False) -> list[Column]:
-    """Aggregates from which all seven statistics of a sensor follow."""
-    value = col(sensor)
-    when_known = F.when(value.isNotNull(), order)
-    median = F.percentile_approx(value, 0.5, 10_000) if approximate_median else F.median(value)
-    return [
-        F.avg(value).alias(f"{sensor}_mean"),
-        F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias(f"{sensor}_std"),
-        F.min(value).alias(f"{sensor}_min"),
-        F.max(value).alias(f"{sensor}_max"),
-        median.alias(f"{sensor}_median"),
-        (F.max(value) - F.min(value)).alias(f"{sensor}_range"),
-        F.coalesce(F.max_by(value, when_known) - F.min_by(value, when_known), F.lit(0.0)).alias(
-            f"{sensor}_trend"
-        ),
-    ]
+def sensor_statistics(sensor: str, order: str, approximate_median: bool = False) -> list[Column]:
+    """The seven statistics of a sensor as aggregates; ``order`` sorts the readings."""
+    x = f"`{sensor}`"
+    known = f"CASE WHEN {x} IS NOT NULL THEN {order} END"
+    median = f"percentile_approx({x}, 0.5, 10000)" if approximate_median else f"median({x})"
+    formulas = {
+        "mean": f"avg({x})",
+        "std": f"coalesce(stddev_samp({x}), 0D)",
+        "min": f"min({x})",
+        "max": f"max({x})",
+        "median": median,
+        "range": f"max({x}) - min({x})",
+        "trend": f"coalesce(max_by({x}, {known}) - min_by({x}, {known}), 0D)",
+    }
+    return [F.expr(f"{formula} AS `{sensor}_{statistic}`") for statistic, formula in formulas.items()]
 
 
 def blank_absent(df: DataFrame, sensors: Sequence[str], available: Column) -> DataFrame:
@@ -86,7 +85,6 @@ def window_features(
 
     overlapping = slide_seconds is not None and slide_seconds < window_seconds
     grid = F.window(order[0], f"{window_seconds} seconds", f"{slide_seconds or window_seconds} seconds")
-    sequence = F.struct(*order)
     # A window that crosses a slice border must not be grouped by slice.
     keys = KEYS if slice_seconds is None or overlapping else [*KEYS, "slice"]
     aggregated = (
@@ -94,7 +92,7 @@ def window_features(
         .groupBy(*keys, *extra, "window_start")
         .agg(
             F.max("class").cast("int").alias("raw_class"),
-            *[a for s in present for a in sensor_statistics(s, sequence, approximate_median)],
+            *[a for s in present for a in sensor_statistics(s, "position", approximate_median)],
         )
     )
     if extra:
@@ -127,19 +125,17 @@ def window_features_online(
     present = [s for s in sensors if s in readings.columns]
     clean = sanitize(readings.select(*key, *order, *[col(s) for s in present]), present)
     gridded = clean.withColumn("window_start", F.window(order[0], f"{window_seconds} seconds")["start"])
-    frame = Window.partitionBy(*key, "window_start").orderBy(*order).rowsBetween(-limit, 0)
-    filled = gridded.withColumns({s: F.last(col(s), True).over(frame) for s in present})
+    filled = causal_ffill(gridded, present, limit, [*key, "window_start"], order, slice_seconds=None)
     aggregated = filled.groupBy(*key, "window_start").agg(
         F.count("*").alias("readings"),
-        *[a for s in present for a in sensor_statistics(s, F.struct(*order))],
+        *[a for s in present for a in sensor_statistics(s, "position")],
     )
-    known = {s: col(f"{s}_mean").isNotNull() for s in present}
-    return aggregated.select(
+    return aggregated.selectExpr(
         *key,
         "window_start",
         "readings",
         *[
-            F.when(known[s], col(f"{s}_{statistic}")).alias(f"{s}_{statistic}")
+            f"CASE WHEN `{s}_mean` IS NOT NULL THEN `{s}_{statistic}` END AS `{s}_{statistic}`"
             for statistic in STATISTICS
             for s in present
         ],

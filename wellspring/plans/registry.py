@@ -5,9 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from wellspring.functions.values import col
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -22,4 +19,6 @@ def query(function: Query) -> Query:
 def rounded(df: DataFrame, digits: int, *names: str) -> DataFrame:
     """Round the named double columns (all double columns by default) for comparison."""
     chosen = names or [n for n, t in df.dtypes if t == "double"]
-    return df.withColumns({n: F.round(col(n), digits) for n in chosen})
+    return df.selectExpr(
+        *[f"round(`{n}`, {digits}) AS `{n}`" if n in chosen else f"`{n}`" for n in df.columns]
+    )

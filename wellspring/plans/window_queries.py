@@ -34,4 +34,4 @@ def sanitize_readings(spark, sf_dir):
 @query
 def causal_forward_fill(spark, sf_dir):
     clean = sanitize(recordings(spark, sf_dir), PRIMARY_SENSORS)
-    return causal_ffill(clean, PRIMARY_SENSORS, limit=2, order=ORDER).drop("slice", "row_in_slice")
+    return causal_ffill(clean, PRIMARY_SENSORS, limit=2, order=ORDER).drop("slice", "position")
