@@ -60,7 +60,7 @@ def sensor_payload() -> dict:
         "T-JUS-CKGL": k * 0.9,
         "QGL": v * 0.4 - 5,
         "P-ANULAR": F.when(k % 5 != 0, v * 5e4 - 89987),
-        "T-PDG": k * 1.5 + 0.03,
+        "T-PDG": k * 1.5 + 0.07,
         "ABER-CKP": k * 1.1,
         **{name: F.when(k % 9 != 0, formula) for name, formula in ruled.items()},
     }
@@ -134,7 +134,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     v, k = F.col("value"), F.col("k")
     kind = F.col("event_type")
     event = F.when(kind == "error", 3).when(kind == "purchase", 4).when(kind == "signup", 5).otherwise(0)
-    score = F.bround(F.least(v / 200, F.lit(1.0)), 3)
+    score = F.least(v / 125, F.lit(1.0))
     return events(spark, sf_dir).select(
         "event_id",
         F.col("device_id").alias("well_id"),
