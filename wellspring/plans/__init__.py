@@ -1,6 +1,6 @@
 """Compositions of operators and the registry of queries."""
 
-from wellspring.plans import split_queries, telemetry_queries, window_queries  # noqa: F401
+from wellspring.plans import split_queries, telemetry_queries, text_queries, window_queries  # noqa: F401
 from wellspring.plans.registry import QUERIES
 
 __all__ = ["QUERIES"]
