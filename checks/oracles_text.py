@@ -209,7 +209,7 @@ FALLBACK = GAP.join([
 SQL["fallback_dossiers"] = f"""WITH {LOCATED} SELECT id, coalesce(diagnosis, {FALLBACK}) AS dossier
   FROM located JOIN flat USING (id)"""
 SNAPSHOT = f" || {NL} || ".join(
-    f"'- {s}: ' || coalesce(CAST(round_even({q(s)}, 2) AS VARCHAR), 'nan') || {text(' ' + unit)}" for s, unit in d.SNAPSHOT_LINES)
+    f"'- {s}: ' || coalesce(CAST(round_even({q(s)}{' / 1000' if s == 'P-ANULAR' else ''}, 2) AS VARCHAR), 'nan') || {text(' ' + unit)}" for s, unit in d.SNAPSHOT_LINES)
 SQL["snapshot_dossiers"] = f"""WITH {FLAT} SELECT id, coalesce(diagnosis, """ + GAP.join([
     f"{long_heading('FAULT DETECTION & LOCALIZATION REPORT')} || 'Record: ' || id || {NL} || 'Asset: ' || device_id || {NL} || 'Detected Event: ' || fault",
     f"{long_heading('OBSERVED SENSOR TELEMETRY SNAPSHOT')} || {SNAPSHOT}",

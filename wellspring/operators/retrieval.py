@@ -13,6 +13,7 @@ from wellspring.session import materialise
 
 CHUNK_ORDER = ["doc_name", "section_no"]
 BROADCAST_ROWS = 500_000  # (query, term) rows that may be sent to every executor
+REACH_SLACK = 1e-9  # covers rounding in the comparison of a bound with a score
 SCORE_DIGITS = 10  # scores that differ only by summation order rank by chunk order
 
 
@@ -80,52 +81,93 @@ def search(
     """Best ``top_k`` chunks for each query: (query_id, rank, score, chunk columns).
 
     ``queries`` has query_id and query; ``event`` names its column with the event
-    whose chunks are boosted. Only chunks that share a term with the query are
-    scored. Every other chunk has score 0, so beyond those the first ``top_k``
-    chunks in chunk order (and the first of the query's event) are candidates enough.
+    whose chunks are boosted. The result equals scoring every chunk:
+
+    * A chunk that shares no term with the query scores 0 (before the boost), so of
+      those the first ``top_k`` in chunk order, and the first of the query's event,
+      are candidates enough.
+    * With an event, its own chunks are ranked first. Another chunk scores at most
+      its ``reach``, the length of its vector over the asked terms, because the
+      query's vector has length 1; where that is below the score already held by
+      ``top_k`` own chunks, the chunk cannot come in and is not scored.
     """
+    spark = queries.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    wanted = queries.select("query_id", (F.col(event) if event else F.lit(None).cast("int")).alias("wanted_event"))
     counts = term_counts(queries, "query_id", "query")
     weights = materialise(
-        unit_weights(counts, index.idf, "query_id").withColumnRenamed("weight", "query_weight"), "query-weights"
+        unit_weights(counts, index.idf, "query_id")
+        .withColumnRenamed("weight", "query_weight")
+        .join(wanted, "query_id"),
+        "query-weights",
     )
-    if weights.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        # Only postings of asked terms move, to the place of their chunk; there the
-        # products of a chunk meet without another shuffle.
-        asked = index.postings.join(F.broadcast(weights.select("term").distinct()), "term", "left_semi")
-        placed = asked.repartition("chunk_id").join(F.broadcast(weights), "term")
-    else:
-        placed = index.postings.join(weights, "term")
-    products = placed.select("chunk_id", "query_id", (F.col("weight") * F.col("query_weight")).alias("score"))
-    scores = products.groupBy("chunk_id", "query_id").agg(F.sum("score").alias("score"))
-
+    small = weights.limit(broadcast_rows + 1).count() <= broadcast_rows
     order = index.chunks.select("chunk_id", "event_id", *CHUNK_ORDER)
-    wanted = queries.select("query_id", *([F.col(event).alias("wanted_event")] if event else []))
-    best = _boosted(scores.join(order, "chunk_id"), wanted, event)
+    in_chunk = Window.partitionBy("chunk_id")
+    asked = materialise(
+        index.postings.join(weights.select("term").distinct(), "term", "left_semi")
+        .join(order, "chunk_id")
+        .withColumn("reach", F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(in_chunk))),
+        "asked-postings",
+    )
     by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), *CHUNK_ORDER)
-    # the row_number filter also runs on each input partition before the shuffle
-    best = best.withColumn("place", F.row_number().over(by_score)).filter(F.col("place") <= top_k).drop("place")
 
-    leading = [row.chunk_id for row in order.orderBy(*CHUNK_ORDER).limit(top_k).select("chunk_id").collect()]
-    fill = wanted.select("query_id", F.explode_outer(F.array(*[F.lit(c) for c in leading])).alias("chunk_id"))
+    def best(postings: DataFrame, asking: DataFrame, condition: Column) -> DataFrame:
+        # A few postings can meet many queries, so their number of partitions is
+        # given; the products of a chunk then meet without another shuffle.
+        side = F.broadcast(asking) if small else asking
+        pairs = postings.repartition(parts, "chunk_id").join(side, (postings["term"] == asking["term"]) & condition)
+        scores = pairs.groupBy("chunk_id", "event_id", *CHUNK_ORDER, "query_id", "wanted_event").agg(
+            F.sum(F.col("weight") * F.col("query_weight")).alias("score")
+        )
+        return leading(boosted(scores))
+
+    def leading(scores: DataFrame) -> DataFrame:
+        # the row_number filter also runs on each input partition before the shuffle
+        ranked = scores.withColumn("rank", F.row_number().over(by_score))
+        return ranked.filter(F.col("rank") <= top_k).drop("rank")
+
+    first = order.orderBy(*CHUNK_ORDER).limit(top_k).collect()
+    rows = F.array(*[F.struct(*[F.lit(row[c]).alias(c) for c in order.columns]) for row in first])
+    fill = wanted.withColumn("first", F.explode_outer(rows)).select("query_id", "wanted_event", "first.*")
+    fill = boosted(fill.withColumn("score", F.lit(0.0)))
     if event:
         in_event = Window.partitionBy("event_id").orderBy(*CHUNK_ORDER)
         of_event = order.withColumn("place", F.row_number().over(in_event)).filter(F.col("place") <= top_k)
-        same = wanted.join(of_event, wanted["wanted_event"] == of_event["event_id"])
-        fill = fill.union(same.select("query_id", "chunk_id"))
-    unmatched = _boosted(fill.distinct().withColumn("score", F.lit(0.0)).join(order, "chunk_id"), wanted, event)
-    # A chunk in both parts keeps its real, higher score.
-    merged = best.union(unmatched).groupBy("query_id", "chunk_id", *CHUNK_ORDER).agg(F.max("score").alias("score"))
-    ranked = merged.withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= top_k)
+        unmatched = wanted.join(of_event, wanted["wanted_event"] == of_event["event_id"])
+        own = best(asked, weights, asked["event_id"] == weights["wanted_event"])
+        own = own.union(boosted(unmatched.withColumn("score", F.lit(0.0))))
+        own = materialise(leading(unrepeated(own)), "own-chunks")
+        held = own.groupBy("query_id").agg(
+            F.when(F.count("*") >= top_k, F.min("score")).otherwise(0.0).alias("held")
+        )
+        asking = weights.join(held, "query_id", "left").withColumn("held", F.coalesce("held", F.lit(0.0)))
+        asking = materialise(asking, "asking")
+        lowest = asking.agg(F.min("held")).first()[0] or 0.0
+        reachable = asked.filter(F.col("reach") >= lowest - REACH_SLACK)
+        others = best(
+            reachable,
+            asking,
+            (~reachable["event_id"].eqNullSafe(asking["wanted_event"]))
+            & (reachable["reach"] >= asking["held"] - REACH_SLACK),
+        )
+        found = own.union(others).union(fill)
+    else:
+        found = best(asked, weights, F.lit(True)).union(fill)
+    ranked = unrepeated(found).withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= top_k)
     return ranked.select("query_id", "rank", "score", "chunk_id").join(index.chunks, "chunk_id")
 
 
-def _boosted(scores: DataFrame, wanted: DataFrame, event: str | None) -> DataFrame:
+def boosted(scores: DataFrame) -> DataFrame:
+    """Raise the score of chunks of the wanted event; keep what ranking needs."""
     score = F.col("score")
-    if event:
-        scores = scores.join(wanted, "query_id")
-        matches = F.col("event_id") == F.col("wanted_event")
-        score = F.when(matches, score * BOOST_FACTOR + BOOST_OFFSET).otherwise(score)
-    return scores.select("query_id", "chunk_id", *CHUNK_ORDER, F.round(score, SCORE_DIGITS).alias("score"))
+    raised = F.when(F.col("event_id") == F.col("wanted_event"), score * BOOST_FACTOR + BOOST_OFFSET).otherwise(score)
+    return scores.select("query_id", "chunk_id", *CHUNK_ORDER, F.round(raised, SCORE_DIGITS).alias("score"))
+
+
+def unrepeated(scores: DataFrame) -> DataFrame:
+    """A chunk found as match and as fill keeps its real, higher score."""
+    return scores.groupBy("query_id", "chunk_id", *CHUNK_ORDER).agg(F.max("score").alias("score"))
 
 
 def build_query(event_id: Column, event_name: Column, evidence: Column | None = None) -> Column:

@@ -124,7 +124,8 @@ def fallback_dossiers(spark, sf_dir):
 @query
 def snapshot_dossiers(spark, sf_dir):
     faults = views.flatten_telemetry(telemetry(spark, sf_dir)).filter(F.col("fault").isNotNull())
-    return views.round_view(faults, 2).select("id", diagnosis.snapshot_dossier().alias("dossier"))
+    scaled = faults.withColumn("P-ANULAR", col("P-ANULAR") / 1000)
+    return views.round_view(scaled, 2).select("id", diagnosis.snapshot_dossier().alias("dossier"))
 
 
 @query
