@@ -1,6 +1,12 @@
 """Compositions of operators and the registry of queries."""
 
-from wellspring.plans import split_queries, telemetry_queries, text_queries, window_queries  # noqa: F401
+from wellspring.plans import (  # noqa: F401
+    split_queries,
+    stream_queries,
+    telemetry_queries,
+    text_queries,
+    window_queries,
+)
 from wellspring.plans.registry import QUERIES
 
 __all__ = ["QUERIES"]
