@@ -1,6 +1,7 @@
 """Compositions of operators and the registry of queries."""
 
 from wellspring.plans import (  # noqa: F401
+    model_queries,
     split_queries,
     stream_queries,
     telemetry_queries,
