@@ -20,14 +20,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
-from wellspring.constants import EVENT_NAMES
 from wellspring.operators import imputation, metrics
 from wellspring.operators.telemetry import event_name
 from wellspring.session import ensure_checkpoint_dir
 
 TREES, DEPTH, SEED = 80, 14, 42
 ITERATIONS = 100
-UNSEEN = 0.5  # confidence without a model
+ROWS_PER_PARTITION = 10_000
 
 
 def assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -67,7 +66,9 @@ def prepared(train: DataFrame, features: Sequence[str], label: str) -> DataFrame
     """Assembled, weighted training rows, kept for the many passes of a fit."""
     weighted = imputation.with_class_weights(train, label)
     rows = assemble(weighted.select(label, "weight", *[F.col(f"`{f}`") for f in features]), features)
-    return rows.persist(StorageLevel.MEMORY_AND_DISK)
+    # A fit runs hundreds of short jobs, so little data should not lie in many partitions.
+    enough = -(-train.count() // ROWS_PER_PARTITION) or 1
+    return rows.coalesce(enough).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def fit(train: DataFrame, features: Sequence[str], label: str, kind: str = "random_forest") -> Model:
@@ -82,7 +83,7 @@ def fit(train: DataFrame, features: Sequence[str], label: str, kind: str = "rand
             learner = boosted_trees(label)
             if rows.select(label).distinct().count() <= 2:
                 return learner.fit(rows)
-            return OneVsRest(classifier=learner, labelCol=label, weightCol="weight", parallelism=4).fit(rows)
+            return OneVsRest(classifier=learner, labelCol=label, weightCol="weight", parallelism=8).fit(rows)
         if kind == "logistic":
             scaler = StandardScaler(withMean=True, inputCol="features", outputCol="scaled").fit(rows)
             scaled = scaler.transform(rows).persist(StorageLevel.MEMORY_AND_DISK)
@@ -217,6 +218,3 @@ def model_comparison(train: DataFrame, test: DataFrame, features: Sequence[str])
     )
     return train.sparkSession.createDataFrame(rows, schema)
 
-
-def known_events() -> list[int]:
-    return list(EVENT_NAMES)

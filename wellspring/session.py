@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # recordings written by pandas carry nanosecond times
+    "spark.sql.legacy.parquet.nanosAsLong": "true",
 }
 
 

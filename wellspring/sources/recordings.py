@@ -11,11 +11,6 @@ from pyspark.sql import types as T
 from wellspring.constants import PRIMARY_SENSORS
 from wellspring.functions.values import col
 
-RECORDING_SCHEMA = T.StructType(
-    [T.StructField("timestamp", T.TimestampNTZType())]
-    + [T.StructField(s, T.DoubleType()) for s in PRIMARY_SENSORS]
-    + [T.StructField("class", T.IntegerType())]
-)
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
 
 
@@ -37,24 +32,58 @@ def discover_sensors(df: DataFrame, expected: Sequence[str] = PRIMARY_SENSORS) -
     return found or [n for n in numeric if n not in ("class", "state")]
 
 
-def read_recordings(spark: SparkSession, root: str, merge_schema: bool = False) -> DataFrame:
-    """All ``<event folder>/WELL-*.parquet`` files; unreadable files are skipped.
+FILES = "WELL-*.parquet"
+TIME_COLUMNS = ("timestamp", "__index_level_0__")  # named column or unnamed index
 
-    The schema is declared; ``merge_schema`` discovers it from the files instead
-    (slower, for files with other columns). A sensor missing in a file reads as NULL.
+
+def recording_schema(spark: SparkSession, root: str) -> T.StructType:
+    """Time, the expected sensors and the label, with the types the files use.
+
+    Types come from the footer of one file; a sensor it lacks is read as double.
     """
-    reader = spark.read.option("pathGlobFilter", "WELL-*.parquet").option("ignoreCorruptFiles", "true")
-    if merge_schema:
-        rows = reader.option("mergeSchema", "true").parquet(f"{root}/*")
-    else:
-        rows = reader.schema(RECORDING_SCHEMA).parquet(f"{root}/*")
-    keyed = rows.withColumns(recording_keys(F.col("_metadata.file_path")))
-    return with_time(keyed)
+    found = spark.read.option("pathGlobFilter", FILES).option("ignoreCorruptFiles", "true").parquet(f"{root}/*").schema
+    kinds = {field.name: field.dataType for field in found}
+    time = next((name for name in TIME_COLUMNS if name in kinds), TIME_COLUMNS[0])
+    sensors = {s: kinds.get(s) for s in PRIMARY_SENSORS}
+    return T.StructType(
+        [T.StructField(time, kinds.get(time, T.TimestampNTZType()))]
+        + [T.StructField(s, k if isinstance(k, T.NumericType) else T.DoubleType()) for s, k in sensors.items()]
+        + [T.StructField("class", kinds.get("class", T.IntegerType()))]
+    )
+
+
+def read_recordings(spark: SparkSession, root: str, schema: T.StructType | None = None) -> DataFrame:
+    """All ``<event folder>/WELL-*.parquet`` files, with keys, ``ts`` and an integer label.
+
+    A sensor missing in a file reads as NULL. Unreadable files, also those whose
+    column types differ from ``schema``, are skipped; ``files_without_rows`` names
+    them. Files with nanosecond times need ``spark.sql.legacy.parquet.nanosAsLong``,
+    which ``build_session`` sets.
+    """
+    schema = schema or recording_schema(spark, root)
+    reader = spark.read.option("pathGlobFilter", FILES).option("ignoreCorruptFiles", "true")
+    rows = with_time(reader.schema(schema).parquet(f"{root}/*"), schema[0].name)
+    numbers = {s: col(s).cast("double") for s in PRIMARY_SENSORS if s in rows.columns}
+    keys = recording_keys(F.col("_metadata.file_path"))
+    return rows.withColumns(numbers | keys | {"class": F.nanvl(F.col("class").cast("double"), F.lit(None)).cast("int")})
+
+
+def files_without_rows(spark: SparkSession, root: str, rows: DataFrame) -> DataFrame:
+    """Recording files of which nothing was read: empty or unreadable ones."""
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", FILES).load(f"{root}/*").select("path")
+    keys = ["event_folder", "instance_file"]
+    named = listed.select("path", *[c.alias(n) for n, c in recording_keys(F.col("path")).items() if n in keys])
+    return named.join(rows.select(*keys).distinct(), keys, "left_anti")
 
 
 def with_time(df: DataFrame, source: str = "timestamp") -> DataFrame:
-    """Column ``ts`` as a timestamp without zone, parsed from text where needed."""
-    parsed = col(source).try_cast("timestamp_ntz")
+    """Column ``ts`` as a timestamp without zone, from a timestamp, text or nanoseconds."""
+    kind = dict(df.dtypes)[source]
+    if kind == "bigint":
+        since = "timestampadd(MICROSECOND, `{0}` div 1000, TIMESTAMP_NTZ '1970-01-01 00:00:00')"
+        parsed = F.expr(since.format(source))
+    else:
+        parsed = col(source).try_cast("timestamp_ntz") if kind == "string" else col(source).cast("timestamp_ntz")
     return df.withColumn("ts", parsed).drop(source)
 
 
