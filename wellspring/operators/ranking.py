@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from wellspring.functions.values import col
 
-GRID = 1000  # quantile steps per narrowing round
-LARGEST_GROUP = 20_000  # values per column that the last round may gather
+MARGIN = 0.002  # share of the values kept on each side of the wanted rank per narrowing round
+ACCURACY = 1_000  # of the approximate quantiles that bound the next range: within 1/1000 of the rank
+LARGEST_GROUP = 100_000  # values per column that the last round may gather
+VALUE_RANGES = 1_000
 
 
 def hashed_rank(entities: DataFrame, group: Sequence[str], name: str, salt: str) -> DataFrame:
@@ -50,11 +52,11 @@ def exact_quantiles(
 ) -> dict[str, float | None]:
     """Exact quantile (linear interpolation) of every column, in a few passes over ``df``.
 
-    Each pass counts the values below and inside a range per column and takes a
-    grid of approximate quantiles of the inside; the next range lies between two
-    grid points around the wanted rank. Once a range holds at most
-    ``largest_group`` values (or one distinct value) they are sorted and read off.
-    All columns share each pass; NULLs are skipped; an empty column gives None.
+    Each round takes two approximate quantiles closely around the wanted rank and
+    counts the values below and between them, which shows whether the rank lies
+    inside. Once a range holds at most ``largest_group`` values (or one distinct
+    value) they are sorted and read off. All columns share each pass; NULLs are
+    skipped; an empty column gives None.
     """
     sizes = df.agg(*[F.struct(F.count(col(c)), F.min(col(c)), F.max(col(c))).alias(c) for c in columns]).first()
     found: dict[str, float | None] = {}
@@ -70,20 +72,14 @@ def exact_quantiles(
         ranges[c] = (float(low), float(high), 0, count)  # low, high, values below, values inside
 
     while wide := [c for c, (low, high, _, inside) in ranges.items() if inside > largest_group and low < high]:
-        grids = _grids(df, {c: ranges[c][:2] for c in wide})
-        candidates = {}
-        for c in wide:
-            low, high, below, inside = ranges[c]
-            grid = [low, *grids[c], high]
-            first, last = ((r - below) / inside * GRID for r in ranks[c][:2])
-            candidates[c] = grid[max(0, int(first) - 2)], grid[min(len(grid) - 1, int(last) + 4)]
+        candidates = _closer(df, {c: (*ranges[c], *ranks[c][:2]) for c in wide})
         counted = _counts(df, candidates)
         for c in wide:
             below, inside = counted[c]
             holds = below <= ranks[c][0] and ranks[c][1] < below + inside
             if holds and inside < ranges[c][3]:
                 ranges[c] = (*candidates[c], below, inside)
-            else:  # the grid was too coarse here: cut the range in two instead
+            else:  # many copies near the rank: cut the range in two instead
                 ranges[c] = _halve(df, c, ranges[c], ranks[c])
 
     if ranges:
@@ -107,10 +103,14 @@ def _inside(c: str, low: float, high: float):
     return F.when(col(c).between(low, high), col(c).cast("double"))
 
 
-def _grids(df: DataFrame, ranges: dict[str, tuple[float, float]]) -> dict[str, list[float]]:
-    steps = [i / GRID for i in range(GRID + 1)]
-    row = df.agg(*[F.percentile_approx(_inside(c, *ranges[c]), steps, 10 * GRID).alias(c) for c in ranges]).first()
-    return {c: row[c] for c in ranges}
+def _closer(df: DataFrame, ranges: dict[str, tuple]) -> dict[str, tuple[float, float]]:
+    """Approximate quantiles of each range just below and just above its ranks."""
+    asked = []
+    for c, (low, high, below, inside, first, last) in ranges.items():
+        steps = [max(0.0, (first - below) / inside - MARGIN), min(1.0, (last - below) / inside + MARGIN)]
+        asked.append(F.percentile_approx(_inside(c, low, high), steps, ACCURACY).alias(c))
+    row = df.agg(*asked).first()
+    return {c: tuple(row[c]) for c in ranges}
 
 
 def _counts(df: DataFrame, ranges: dict[str, tuple[float, float]]) -> dict[str, tuple[int, int]]:
@@ -150,7 +150,7 @@ def _pair(rank, a, b, below):
     return value, value, below, 1
 
 
-def by_quantile(df: DataFrame, value: str, ranges: int = GRID) -> DataFrame:
+def by_quantile(df: DataFrame, value: str, ranges: int = VALUE_RANGES) -> DataFrame:
     """Add ``value_range``: ordered ranges of ``value`` with about equally many rows each."""
     steps = [i / ranges for i in range(1, ranges)]
     cuts = df.agg(F.percentile_approx(value, steps, 10 * ranges)).first()[0] or []

@@ -36,10 +36,21 @@ def load_index(spark: SparkSession, path: str) -> Index:
     return Index(*(spark.read.parquet(f"{path}/{part}") for part in ("chunks", "idf", "postings")))
 
 
+def task_count(spark: SparkSession) -> int:
+    """Partitions for rows that are few but turn into many."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def term_counts(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Occurrences of every gram per row of ``df``."""
+    """Occurrences of every gram per row of ``df``.
+
+    The texts are placed by key before they are cut up, so counting their grams needs
+    no further shuffle. The number of partitions is given: sized by the short texts it
+    would be too small for the grams.
+    """
+    placed = df.select(key, text).repartition(task_count(df.sparkSession), key)
     # explode_outer: the plain form makes the optimizer evaluate the grams twice
-    exploded = df.select(key, F.explode_outer(grams(tokens(F.col(text)))).alias("term"))
+    exploded = placed.select(key, F.explode_outer(grams(tokens(F.col(text)))).alias("term"))
     return exploded.filter("term IS NOT NULL").groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
@@ -91,8 +102,7 @@ def search(
       query's vector has length 1; where that is below the score already held by
       ``top_k`` own chunks, the chunk cannot come in and is not scored.
     """
-    spark = queries.sparkSession
-    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = task_count(queries.sparkSession)
     wanted = queries.select("query_id", (F.col(event) if event else F.lit(None).cast("int")).alias("wanted_event"))
     counts = term_counts(queries, "query_id", "query")
     weights = materialise(

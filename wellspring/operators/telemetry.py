@@ -15,6 +15,7 @@ from wellspring.constants import (
     FEED_COLUMNS,
     FLEET_COLUMNS,
     PRIMARY_SENSORS,
+    STATISTICS,
     TRANSIENT_EVENTS,
 )
 from wellspring.functions.values import col, name_of, whole_seconds
@@ -123,12 +124,13 @@ def snapshot_features(df: DataFrame, sensors: Sequence[str] = PRIMARY_SENSORS, k
     else the plain sensor reading stands for mean, min, max and median, with no
     spread and no trend.
     """
-    numbers = "map_filter(payload, (key, text) -> text IS NOT NULL)"
-    numbers = f"transform_values({numbers}, (key, text) -> nanvl(try_cast(text AS DOUBLE), CAST(NULL AS DOUBLE)))"
-    readings = df.selectExpr(*keep, f"{numbers} AS numbers").selectExpr(
+    # records usually carry plain readings only; then no feature name is left to look up
+    named = "key RLIKE '_({})$' AND text IS NOT NULL".format("|".join(STATISTICS))
+    number = "nanvl(try_cast(text AS DOUBLE), CAST(NULL AS DOUBLE))"
+    readings = df.selectExpr(
         *keep,
-        "map_filter(numbers, (key, number) -> contains(key, '_')) AS given",
-        *[f"try_element_at(numbers, '{s}') AS `{s}`" for s in sensors],
+        f"transform_values(map_filter(payload, (key, text) -> {named}), (key, text) -> {number}) AS given",
+        *[f"{number_sql(s)} AS `{s}`" for s in sensors],
     )
     features = []
     for name in feature_names(sensors):
