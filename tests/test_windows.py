@@ -122,6 +122,15 @@ def test_slices_do_not_change_features(spark):
     assert sorted(map(str, whole.collect())) == sorted(map(str, sliced.collect()))
 
 
+def test_odd_window_length_starts_at_first_midnight(spark):
+    rows = [(second(i * 3_000), 0, float(i)) for i in range(40)]
+    got = {r.window_start: r["P-PDG_mean"] for r in window_features(frame(spark, rows), ["P-PDG"], 7_000, 5).collect()}
+    expected = {}
+    for i in range(40):
+        expected.setdefault(second(i * 3_000 // 7_000 * 7_000), []).append(float(i))
+    assert got == {start: sum(v) / len(v) for start, v in expected.items()}
+
+
 def test_online_windows_do_not_look_back(spark):
     rows = [(second(0), 0, 5.0), (second(60), 0, None), (second(90), 0, 6.0)]
     got = window_features_online(frame(spark, rows).withColumnRenamed("well_id", "device_id"), ["P-PDG"])

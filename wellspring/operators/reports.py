@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wellspring.constants import CORRELATED_SENSORS, DISPLAY_ENVELOPES
-from wellspring.functions.values import col, ratio
+from wellspring.functions.values import col, micros, ratio
+from wellspring.session import materialise
 
 
 def latest_first(df: DataFrame) -> DataFrame:
@@ -92,13 +93,21 @@ def well_kpis(telemetry: DataFrame, well_id: str | None = None, limit: int | Non
     )
 
 
-def latest_per_well(telemetry: DataFrame) -> DataFrame:
-    """The latest row of every device, by one combinable aggregate."""
-    others = [c for c in telemetry.columns if c != "device_id"]
-    newest = telemetry.groupBy("device_id").agg(
-        F.max_by(F.struct(*others), F.struct("timestamp", "id")).alias("row")
-    )
-    return newest.select("device_id", "row.*")
+def latest_per_well(telemetry: DataFrame, broadcast_devices: int = 500_000) -> DataFrame:
+    """The latest row of every device.
+
+    The newest (time, id) per device comes from three narrow columns; time and id are
+    packed into one decimal, which a hash aggregate can hold. The full rows are then
+    picked by id, so their payload is neither sorted nor, up to ``broadcast_devices``
+    devices, shuffled.
+    """
+    packed = F.expr("CAST(at AS DECIMAL(18, 0)) * CAST('100000000000000000000' AS DECIMAL(21, 0)) + CAST(id AS DECIMAL(20, 0))")
+    narrow = telemetry.select("device_id", "id", micros(telemetry, "timestamp").alias("at"))
+    newest = narrow.groupBy("device_id").agg(F.max(packed).alias("newest"))
+    ids = newest.select("device_id", F.expr("CAST(newest % CAST('100000000000000000000' AS DECIMAL(21, 0)) AS BIGINT)").alias("id"))
+    ids = materialise(ids, "newest-ids")
+    few = ids.limit(broadcast_devices + 1).count() <= broadcast_devices
+    return telemetry.join(F.broadcast(ids) if few else ids, ["id", "device_id"]).select(*telemetry.columns)
 
 
 def latest_anomaly(telemetry: DataFrame, well_id: str | None = None) -> DataFrame:

@@ -59,6 +59,17 @@ def blank_absent(df: DataFrame, sensors: Sequence[str], available: Column) -> Da
     )
 
 
+def from_first_day(df: DataFrame, ts: str, window_seconds: int) -> DataFrame:
+    """Windows counted from the midnight before a recording's first row.
+
+    The same as counting from 1970 when the length divides a day.
+    """
+    first = df.groupBy("instance_file").agg(F.date_trunc("day", F.min(ts)).cast("timestamp_ntz").alias("first_day"))
+    number = f"floor(timestampdiff(MICROSECOND, first_day, CAST(`{ts}` AS TIMESTAMP_NTZ)) / {window_seconds * 1_000_000})"
+    start = f"timestampadd(SECOND, CAST({number} * {window_seconds} AS INT), first_day)"
+    return df.join(first, "instance_file").withColumn("window_start", F.expr(start)).drop("first_day")
+
+
 def window_features(
     recordings: DataFrame,
     sensors: Sequence[str] = PRIMARY_SENSORS,
@@ -84,12 +95,16 @@ def window_features(
     filled = causal_ffill(clean, present, limit, order=order, slice_seconds=slice_seconds)
 
     overlapping = slide_seconds is not None and slide_seconds < window_seconds
-    grid = F.window(order[0], f"{window_seconds} seconds", f"{slide_seconds or window_seconds} seconds")
+    by_day = DAY % window_seconds == 0
     # A window that crosses a slice border must not be grouped by slice.
-    keys = KEYS if slice_seconds is None or overlapping else [*KEYS, "slice"]
+    keys = [*KEYS, "slice"] if slice_seconds is not None and by_day and not overlapping else KEYS
+    if by_day or overlapping:
+        grid = F.window(order[0], f"{window_seconds} seconds", f"{slide_seconds or window_seconds} seconds")
+        placed = filled.withColumn("window_start", grid["start"])
+    else:
+        placed = from_first_day(filled, order[0], window_seconds)
     aggregated = (
-        filled.withColumn("window_start", grid["start"])
-        .groupBy(*keys, *extra, "window_start")
+        placed.groupBy(*keys, *extra, "window_start")
         .agg(
             F.max("class").cast("int").alias("raw_class"),
             *[a for s in present for a in sensor_statistics(s, "position", approximate_median)],

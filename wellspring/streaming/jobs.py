@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from wellspring.constants import COOLDOWN_SECONDS, UNKNOWN_DEVICE
-from wellspring.functions.values import col
+from wellspring.functions.values import col, micros
 from wellspring.operators import evidence, rules, throttle
 from wellspring.operators.telemetry import parse_payload
 from wellspring.operators.windows import window_features_online
@@ -111,7 +111,7 @@ def throttle_stream(anomalies: DataFrame, cooldown_seconds: int = COOLDOWN_SECON
     sorted within a micro-batch; a row older than the state is judged as it comes.
     """
     cooldown = cooldown_seconds * throttle.MICROS
-    slim = anomalies.select("device_id", "id", "event", throttle.micros(anomalies, "timestamp").alias("at"))
+    slim = anomalies.select("device_id", "id", "event", micros(anomalies, "timestamp").alias("at"))
 
     def judge(key: tuple, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(frames)).sort_values(["at", "id"])
