@@ -26,7 +26,8 @@ from wellspring.session import ensure_checkpoint_dir
 
 TREES, DEPTH, SEED = 80, 14, 42
 ITERATIONS = 100
-ROWS_PER_PARTITION = 10_000
+# rows per partition: forests do much work per pass, the others run many short passes
+ROWS_PER_PARTITION = {"random_forest": 2_000, "boosted_trees": 10_000, "logistic": 10_000}
 
 
 def assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -62,18 +63,20 @@ def logistic(label: str, rows: int) -> LogisticRegression:
     )
 
 
-def prepared(train: DataFrame, features: Sequence[str], label: str) -> DataFrame:
+def prepared(train: DataFrame, features: Sequence[str], label: str, rows_per_partition: int) -> DataFrame:
     """Assembled, weighted training rows, kept for the many passes of a fit."""
     weighted = imputation.with_class_weights(train, label)
     rows = assemble(weighted.select(label, "weight", *[F.col(f"`{f}`") for f in features]), features)
     # A fit runs hundreds of short jobs, so little data should not lie in many partitions.
-    enough = -(-train.count() // ROWS_PER_PARTITION) or 1
+    enough = -(-train.count() // rows_per_partition) or 1
     return rows.coalesce(enough).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def fit(train: DataFrame, features: Sequence[str], label: str, kind: str = "random_forest") -> Model:
     """Fit one of ``random_forest``, ``boosted_trees`` or ``logistic`` with balanced classes."""
-    rows = prepared(train, features, label)
+    if kind not in ROWS_PER_PARTITION:
+        raise ValueError(f"unknown kind of model: {kind}")
+    rows = prepared(train, features, label, ROWS_PER_PARTITION[kind])
     try:
         if kind == "random_forest":
             return random_forest(label).fit(rows)
@@ -84,13 +87,11 @@ def fit(train: DataFrame, features: Sequence[str], label: str, kind: str = "rand
             if rows.select(label).distinct().count() <= 2:
                 return learner.fit(rows)
             return OneVsRest(classifier=learner, labelCol=label, weightCol="weight", parallelism=8).fit(rows)
-        if kind == "logistic":
-            scaler = StandardScaler(withMean=True, inputCol="features", outputCol="scaled").fit(rows)
-            scaled = scaler.transform(rows).persist(StorageLevel.MEMORY_AND_DISK)
-            model = logistic(label, scaled.count()).fit(scaled)
-            scaled.unpersist()
-            return PipelineModel([scaler, model])
-        raise ValueError(f"unknown kind of model: {kind}")
+        scaler = StandardScaler(withMean=True, inputCol="features", outputCol="scaled").fit(rows)
+        scaled = scaler.transform(rows).persist(StorageLevel.MEMORY_AND_DISK)
+        model = logistic(label, scaled.count()).fit(scaled)
+        scaled.unpersist()
+        return PipelineModel([scaler, model])
     finally:
         rows.unpersist()
 
