@@ -151,8 +151,8 @@ def _log_odds(counts: DataFrame) -> dict[str, float]:
             at = at.join(shorter, F.substring("stem", 1, length - 1) == F.col("_s"))
             at = at.withColumn("above", F.col("above") | (F.col("score") > 0)).drop("_s", "score")
         chain = _scored(at, overall)
-        yield_ = chain.where(F.col("above") | (F.col("score") > 0)).select(F.concat("stem", F.lit("*")).alias("name"), "score")
-        found = yield_ if length == STEMS[0] else found.union(yield_)
+        listed = chain.where(F.col("above") | (F.col("score") > 0)).select(F.concat("stem", F.lit("*")).alias("name"), "score")
+        found = listed if length == STEMS[0] else found.union(listed)
     longest = chain.select(F.col("stem").alias("_s"), F.col("chance").alias("_m"), F.col("above").alias("_a"), F.col("score").alias("_p"))
     whole = words.join(longest, F.substring("word", 1, STEMS[-1]) == F.col("_s"), "left")
     shorter_words = F.length("word") < STEMS[-1]
@@ -169,9 +169,15 @@ def _log_odds(counts: DataFrame) -> dict[str, float]:
 
 
 def _scored(rows: DataFrame, overall: float) -> DataFrame:
+    """Adds the ``chance`` of the toxic label under the prior ``mean``, and the ``score``.
+
+    The standard error comes from the counts and the overall rate alone: a sharp prior of the
+    stem must not make a well-known word look uncertain.
+    """
     toxic = F.col("toxic") + PRIOR_WEIGHT * F.col("mean")
     clean = F.col("clean") + PRIOR_WEIGHT * (1 - F.col("mean"))
-    score = F.log(toxic / clean) - float(np.log(overall / (1 - overall))) - F.sqrt(1 / toxic + 1 / clean) - DRIFT
+    error = F.sqrt(1 / (F.col("toxic") + PRIOR_WEIGHT * overall) + 1 / (F.col("clean") + PRIOR_WEIGHT * (1 - overall)))
+    score = F.log(toxic / clean) - float(np.log(overall / (1 - overall))) - error - DRIFT
     return rows.withColumn("chance", toxic / (toxic + clean)).withColumn("score", score)
 
 
