@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from checks.oracles import CLEAN, EVENTS, FEATURES, KEEP, RECORDINGS, SQL, bounded, filled, q, statistics, windows
 from checks.oracles_telemetry import ALL_NAMES, PREDICTIONS, TELEMETRY, names
-from wellspring.constants import STATISTICS
+from wellspring.constants import PRIMARY_SENSORS, STATISTICS
+from wellspring.plans.split_queries import EVEN_SENSORS, ODD_SENSORS
 
 WINDOWS = windows(3)
 LABELS = "instance_file, well_id, event_folder, window_start, raw_class, is_transient, multiclass, binary_target"
@@ -46,16 +47,15 @@ SQL["impute_features"] = f"""WITH {UNROUNDED},
 m AS (SELECT {', '.join(f'median({q(f)}) AS {q(f)}' for f in FEATURES)} FROM sw WHERE split = 'train')
 SELECT sw.instance_file, sw.window_start, sw.split,
   {', '.join(f'round(coalesce(sw.{q(f)}, m.{q(f)}, 0), 4) AS {q(f)}' for f in FEATURES)} FROM sw CROSS JOIN m"""
-FLOATS = [f for f in FEATURES if f.endswith(("_min", "_max", "_trend"))]
 SQL["features_float32"] = f"""WITH {UNROUNDED} SELECT instance_file, window_start,
-  {', '.join(f'CAST({q(f)} AS FLOAT) AS {q(f)}' for f in FLOATS)} FROM win"""
-SQL["clip_features_query"] = f"""WITH {RECORDINGS}, s AS (SELECT event_id, "P-PDG" * 40 AS a, "P-TPT" * -30 AS b, "P-MON-CKP" AS c FROM rec)
-  SELECT event_id, {bounded('a')}, {bounded('b')}, {bounded('c')} FROM s"""
+  {', '.join(f'CAST({q(f)} AS FLOAT) AS {q(f)}' for f in FEATURES)} FROM win"""
+SQL["clip_features_query"] = f"""WITH {RECORDINGS}, s AS (SELECT event_id, {', '.join(f'{q(s)} * {40 if i % 2 else -30} AS {q(s)}' for i, s in enumerate(PRIMARY_SENSORS))} FROM rec)
+  SELECT event_id, {', '.join(bounded(s) for s in PRIMARY_SENSORS)} FROM s"""
 SQL["feature_manifest"] = f"WITH {WINDOWS} " + " UNION ALL ".join(
     f"SELECT {i} AS position, '{f}' AS feature, count({q(f)}) AS known FROM win" for i, f in enumerate(FEATURES))
-SQL["feature_sample"] = f"""WITH {WINDOWS} SELECT instance_file, window_start, raw_class, "P-PDG_mean", "T-TPT_max", "QGL_trend"
+SQL["feature_sample"] = f"""WITH {WINDOWS} SELECT instance_file, window_start, raw_class, {', '.join(q(f) for f in FEATURES)}
   FROM win ORDER BY instance_file, window_start LIMIT 500"""
-SLIDE_SENSORS = ["P-PDG", "T-TPT", "P-MON-CKP"]
+SLIDE_SENSORS = PRIMARY_SENSORS
 SLIDE_FEATURES = [f"{s}_{t}" for t in STATISTICS for s in SLIDE_SENSORS]
 SQL["sliding_windows"] = f"""WITH {filled(3)},
 spread AS (SELECT *, time_bucket(INTERVAL '6 hours', ts) - INTERVAL '6 hours' * i AS window_start
@@ -65,10 +65,10 @@ a AS (SELECT instance_file, well_id, event_folder, window_start, CAST(max(class)
 SELECT instance_file, well_id, event_folder, window_start, raw_class, CAST(raw_class >= 100 AS INTEGER) AS is_transient,
   CAST(CASE WHEN raw_class >= 100 THEN raw_class - 100 ELSE raw_class END AS INTEGER) AS multiclass,
   CAST(raw_class > 0 AS INTEGER) AS binary_target, {', '.join(bounded(f) for f in SLIDE_FEATURES)}
-FROM a WHERE raw_class IS NOT NULL AND coalesce("P-PDG_mean", "T-TPT_mean", "P-MON-CKP_mean") IS NOT NULL"""
+FROM a WHERE raw_class IS NOT NULL AND coalesce({', '.join(q(s + '_mean') for s in SLIDE_SENSORS)}) IS NOT NULL"""
 SQL["ffill_by_time"] = f"""WITH {CLEAN} SELECT event_id, {', '.join(
     f'last_value({q(s)} IGNORE NULLS) OVER (PARTITION BY instance_file ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS {q(s)}'
-    for s in ('P-MON-CKP', 'P-JUS-CKGL'))} FROM clean"""
+    for s in PRIMARY_SENSORS)} FROM clean"""
 
 
 def matrix(label: str, prediction: str) -> str:
@@ -120,12 +120,15 @@ SELECT event_id, event_folder, CAST(CASE WHEN event_id % 3 = 0 THEN class
   ELSE coalesce(TRY_CAST(event_folder AS INTEGER), 0) END AS INTEGER) AS class FROM o"""
 SQL["timestamp_parsing"] = "SELECT event_id, ts FROM events"
 SQL["first_recording_per_event"] = f"WITH {RECORDINGS} SELECT event_folder, min(instance_file) AS instance_file FROM rec GROUP BY 1"
-SQL["concat_recordings"] = f"""WITH {RECORDINGS} SELECT event_id, CASE WHEN event_id % 2 = 0 THEN "P-PDG" END AS "P-PDG",
-  CASE WHEN event_id % 2 = 1 THEN "T-TPT" END AS "T-TPT" FROM rec"""
+SQL["concat_recordings"] = f"""WITH {RECORDINGS} SELECT event_id, CASE WHEN event_id % 2 = 0 THEN class END AS class,
+  CASE WHEN event_id % 2 = 1 THEN ts END AS ts,
+  {', '.join(f"CASE WHEN {'true' if s in EVEN_SENSORS and s in ODD_SENSORS else 'event_id % 2 = 0' if s in EVEN_SENSORS else 'event_id % 2 = 1'} THEN {q(s)} END AS {q(s)}"
+    for s in dict.fromkeys(EVEN_SENSORS + ODD_SENSORS))} FROM rec"""
 SQL["recording_to_messages"] = f"""WITH {RECORDINGS}, n AS (
   SELECT *, row_number() OVER (PARTITION BY instance_file ORDER BY ts, event_id) AS r FROM rec)
 SELECT 'factory/oil_well/' || well_id || '/telemetry' AS topic, instance_file, CAST(r AS INTEGER) AS record, well_id AS device_id,
-  CAST(class AS VARCHAR) AS label, round("P-PDG", 4) AS p_pdg, CAST(NULL AS VARCHAR) AS p_jus_ckp FROM n WHERE r <= 5"""
+  CAST(class AS VARCHAR) AS label, instance_file AS recording_file,
+  {', '.join(f'round({q(s)}, 4) AS {q(s)}' for s in PRIMARY_SENSORS)} FROM n WHERE r <= 5"""
 SQL["topic_filter"] = f"WITH {TELEMETRY} SELECT id, lower(device_type) AS topic_type, device_id AS topic_device FROM tel WHERE id % 11 <> 0"
 DECODED = TELEMETRY + """,
 dec AS (SELECT id, id % 13 = 0 AS broken, id % 17 = 0 AS nameless, device_id, device_type, "timestamp", fault FROM tel),
@@ -134,5 +137,4 @@ judged AS (SELECT id, CASE WHEN broken OR nameless THEN 'LIVE-DEVICE' ELSE devic
   CASE WHEN NOT broken THEN fault END AS fault,
   CASE WHEN broken THEN 'invalid json' WHEN nameless THEN 'missing device_id' END AS reject FROM dec)"""
 SQL["decode_messages"] = f"WITH {DECODED} SELECT * FROM judged"
-SQL["dead_letters"] = f"""WITH {DECODED} SELECT reject, count(*) AS messages FROM judged
-  WHERE reject IS NOT NULL AND id % 11 <> 0 GROUP BY reject"""
+SQL["dead_letters"] = f"""WITH {DECODED} SELECT id, device_id, reject FROM judged WHERE reject IS NOT NULL AND id % 11 <> 0"""

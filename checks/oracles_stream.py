@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from checks.oracles import SQL, q, statistics
-from checks.oracles_telemetry import EVIDENCE, FLAT, TELEMETRY, fired
+from checks.oracles_telemetry import EVIDENCE, FLAT, RULE_FIELDS, TELEMETRY, fired, r
 from wellspring.constants import RULE_DEVICE_TYPES, STATISTICS
 
+PAYLOAD = ["P-PDG", "P-TPT", "T-TPT", "P-MON-CKP", "T-JUS-CKP", "P-JUS-CKGL", "T-JUS-CKGL", "QGL", "P-ANULAR", "T-PDG", "ABER-CKP",
+           *(name.strip('"') for name in RULE_FIELDS)]
 SQL["stream_store"] = f"""WITH {TELEMETRY},
 m AS (SELECT *, id % 13 = 0 AS broken, id % 13 <> 0 AND "T-TPT" < 50 AS cold FROM tel WHERE id % 11 <> 0)
-SELECT id, CASE WHEN broken THEN 'LIVE-DEVICE' ELSE device_id END AS device_id, CASE WHEN NOT broken THEN device_type END AS device_type,
-  CASE WHEN NOT broken THEN "timestamp" END AS "timestamp",
-  CASE WHEN cold THEN 'Hydrate in Production Line' WHEN NOT broken THEN fault END AS fault,
-  CASE WHEN cold THEN 'anomaly' ELSE 'normal' END AS status, CASE WHEN broken THEN 'invalid json' END AS reject FROM m"""
+SELECT id, device_id, device_type, "timestamp", CASE WHEN cold THEN 'Hydrate in Production Line' ELSE fault END AS fault,
+  CASE WHEN cold THEN 'anomaly' ELSE 'normal' END AS status, {', '.join(r(s) for s in PAYLOAD)} FROM m WHERE NOT broken"""
+SQL["stream_dead_letters"] = f"""WITH {TELEMETRY} SELECT id, 'LIVE-DEVICE' AS device_id, 'invalid json' AS reject
+  FROM tel WHERE id % 11 <> 0 AND id % 13 = 0"""
 SQL["stream_alerts"] = f"""WITH {TELEMETRY}, e AS ({EVIDENCE.replace("SELECT id,", "SELECT id, 0 AS n,")}),
 r AS (SELECT id, device_id, {fired(RULE_DEVICE_TYPES)} AS d FROM tel),
 s AS (SELECT id, string_agg(sensor, ', ' ORDER BY list_position(['P-PDG','P-TPT','T-TPT','P-MON-CKP','T-JUS-CKP','P-ANULAR','T-PDG','QGL','ABER-CKP'], sensor)) AS sensors

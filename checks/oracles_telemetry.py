@@ -65,15 +65,15 @@ def names(table: dict[int, str]) -> str:
 
 SQL["flatten_telemetry"] = f"""WITH {FLAT} SELECT {ROW}, status, diagnosis,
   {', '.join(r(s) for s in DISPLAY_SENSORS)} FROM flat"""
-SQL["status_filter_anomalies"] = f"WITH {FLAT} SELECT id, status, fault, {r('P-PDG')} FROM flat WHERE fault IS NOT NULL"
-SQL["status_filter_normal"] = f"WITH {FLAT} SELECT id, status, fault, {r('P-PDG')} FROM flat WHERE fault IS NULL"
+SQL["status_filter_anomalies"] = f"WITH {FLAT} SELECT id, status, fault, {', '.join(r(s) for s in DISPLAY_SENSORS)} FROM flat WHERE fault IS NOT NULL"
+SQL["status_filter_normal"] = f"WITH {FLAT} SELECT id, status, fault, {', '.join(r(s) for s in DISPLAY_SENSORS)} FROM flat WHERE fault IS NULL"
 SQL["asset_search"] = f"WITH {TELEMETRY} SELECT {ROW} FROM tel WHERE regexp_matches(device_id, 'well-000[0-4]', 'i')"
 NUMERIC_FEED = [c for c in FEED_COLUMNS if c in DISPLAY_SENSORS]
 SQL["live_feed"] = f"""WITH {FLAT}, latest AS (SELECT * FROM flat {LATEST} LIMIT 500)
 SELECT id, device_id, "timestamp", status, fault, {', '.join(f'round_even({q(c)}, 2) AS {q(c)}' for c in NUMERIC_FEED)}
 FROM latest WHERE fault IS NOT NULL AND device_id ILIKE '%well%'"""
 SQL["round_view"] = f"""WITH {FLAT} SELECT {ROW}, status,
-  {', '.join(f'round_even({q(c)}, 2) AS {q(c)}' for c in ('P-PDG', 'T-TPT', 'QGL'))} FROM flat"""
+  {', '.join(f'round_even({q(c)}, 2) AS {q(c)}' for c in DISPLAY_SENSORS)} FROM flat"""
 SQL["incident_label"] = f"""WITH {TELEMETRY} SELECT id, 'ID #' || id || ' | ' ||
   strftime("timestamp", '%Y-%m-%d %H:%M:%S') || ' | ' || device_id || ' — ' || fault AS label
   FROM tel WHERE fault IS NOT NULL"""
@@ -237,8 +237,8 @@ decided AS (
     round_even(bc, 4) AS binary_confidence, round_even(mc, 4) AS multiclass_confidence
   FROM fused)"""
 SQL["fuse_decision"] = f"WITH {DECISIONS} SELECT * FROM decided"
-SQL["alert_flags"] = f"""WITH {DECISIONS} SELECT well_id, status = 'anomaly' AS alert, predicted_event AS event,
-  count(*) AS messages, round(max(confidence), 6) AS confidence FROM decided GROUP BY ALL"""
+SQL["alert_flags"] = f"""WITH {DECISIONS} SELECT id, TRUE AS acknowledged, well_id, status = 'anomaly' AS alert, status, predicted_event AS event,
+  round(confidence, 6) AS confidence FROM decided"""
 
 ONLINE = ["P-PDG", "P-TPT", "P-MON-CKP", "QGL", "T-JUS-CKP"]
 

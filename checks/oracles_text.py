@@ -196,10 +196,14 @@ def long_heading(title: str) -> str:
     return text(f"{title}\n{d.LONG_RULER}\n")
 
 
+def numbered(title: str) -> str:
+    return f"'{title} (ID #' || id || ')' || {NL} || '{d.LONG_RULER}' || {NL}"
+
+
 ACTIONS = "\n".join(f"{i}. {a}" for i, a in enumerate(d.DOSSIER_ACTIONS, 1))
 MITIGATIONS = "\n".join(f"{i}. {a}" for i, a in enumerate(d.SNAPSHOT_ACTIONS, 1))
 FALLBACK = GAP.join([
-    f"""{long_heading('FAULT ANALYSIS & ENGINEERING SUMMARY')} || 'Record: ' || id || {NL} || 'Asset: ' || device_id || ' | Detected Event: '
+    f"""{numbered('FAULT ANALYSIS & ENGINEERING SUMMARY')} || 'Asset: ' || device_id || ' | Detected Event: '
       || fault || ' | Status: FAULT CONFIRMED' || {NL} || 'Confidence: ' || printf('%.1f', round_even(confidence_pct, 1)) || '%'""",
     f"""{long_heading('SENSOR EVIDENCE & LOCALIZATION')} || '- Abnormal Telemetry Channels: ' || coalesce(nullif(sensors, ''), '{d.DRIFT_CHANNELS}')
       || {NL} || '- Associated Measurement Region: ' || location""",
@@ -211,9 +215,9 @@ SQL["fallback_dossiers"] = f"""WITH {LOCATED} SELECT id, coalesce(diagnosis, {FA
 SNAPSHOT = f" || {NL} || ".join(
     f"'- {s}: ' || coalesce(CAST(round_even({q(s)}{' / 1000' if s == 'P-ANULAR' else ''}, 2) AS VARCHAR), 'nan') || {text(' ' + unit)}" for s, unit in d.SNAPSHOT_LINES)
 SQL["snapshot_dossiers"] = f"""WITH {FLAT} SELECT id, coalesce(diagnosis, """ + GAP.join([
-    f"{long_heading('FAULT DETECTION & LOCALIZATION REPORT')} || 'Record: ' || id || {NL} || 'Asset: ' || device_id || {NL} || 'Detected Event: ' || fault",
+    f"{numbered('FAULT DETECTION & LOCALIZATION REPORT')} || 'Asset: ' || device_id || {NL} || 'Detected Event: ' || fault",
     f"{long_heading('OBSERVED SENSOR TELEMETRY SNAPSHOT')} || {SNAPSHOT}",
-    f"{long_heading('ENGINEERING MITIGATION ACTIONS')} || {text(MITIGATIONS)}",
+    f"{long_heading('ENGINEERING MITIGATION ACTIONS (RAG DOMAIN KNOWLEDGE)')} || {text(MITIGATIONS)}",
 ]) + ") AS dossier FROM flat WHERE fault IS NOT NULL"
 SQL["dense_topk"] = """WITH e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
 m AS (SELECT label, i, avg(x) AS q FROM e GROUP BY ALL),

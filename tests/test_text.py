@@ -12,45 +12,45 @@ from wellspring.operators import diagnosis, evidence, retrieval
 from wellspring.operators.telemetry import parse_payload
 from wellspring.sources import documents as docs
 
-SLUGGING = """# Slugging in Risers
+SEALS = """# Worn Pump Seals
 
-Intro about slugging and risers.
+A short note on seals and pump shafts.
 
 ## Typical Symptoms
-- **Oscillations:** pressure cycles of 5 bar
+- **Drips:** a wet base plate below the coupling
 - short
 
 ## 4. Possible Root Causes
-1. Low production rates below the critical velocity.
-2. Terrain geometry of the flowline.
-3. Choke control without feedback.
-4. Gas lift depletion.
+1. Dry running after a start without priming.
+2. A bent shaft that wobbles at speed.
+3. Grit in the flushing water.
+4. The wrong elastomer for hot oil.
 
 ## 6. Recommended Operator Actions
-1. Throttle the choke actively to damp the flow.
-- Increase gas lift injection.
-3. Choke back the production valve.
+1. Stop the pump and lock its switch.
+- Replace both faces of the seal.
+3. Check the shaft with a dial gauge.
 
 ## 7. Critical Safety Considerations
-- Massive liquid slugs can overflow the separators quickly.
+- Spilled oil makes the floor around the pump skid very slippery.
 - Short line.
-- Violent pulsations induce fatigue on the topside piping.
+- Hot parts behind the guard burn bare hands within a moment.
 """
-HYDRATE = """# Hydrates
+FILTERS = """# Clogged Filters
 
-Hydrate plugs block lines.
+Clogged filters starve the burner.
 
 ## Signs
-Temperature falls while pressure rises; hydrate crystals grow.
+Suction falls while noise rises; clogged filters turn brown.
 """
 
 
 @pytest.fixture(scope="module")
 def chunks(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("docs")
-    (folder / "event_3_slugging.md").write_text(SLUGGING)
-    (folder / "event_8_hydrate.md").write_text(HYDRATE)
-    (folder / "notes.md").write_text("no title here, only slugging notes of 2024")
+    (folder / "event_3_seals.md").write_text(SEALS)
+    (folder / "event_8_filters.md").write_text(FILTERS)
+    (folder / "notes.md").write_text("no title here, only seal notes of 2024")
     (folder / "skip.txt").write_text("# not read")
     return docs.chunk_sections(docs.read_documents(spark, str(folder))).persist()
 
@@ -81,22 +81,22 @@ def brute_force(chunks, query, event, k):
 def test_sections(chunks):
     rows = {r.chunk_id: r for r in chunks.collect()}
     assert len(rows) == 5 + 2 + 1
-    first = rows["event_3_slugging_1"]
-    assert (first.section_title, first.event_id, first.doc_title) == ("Overview", 3, "Slugging in Risers")
-    assert rows["event_3_slugging_3"].section_title == "4. Possible Root Causes"
+    first = rows["event_3_seals_1"]
+    assert (first.section_title, first.event_id, first.doc_title) == ("Overview", 3, "Worn Pump Seals")
+    assert rows["event_3_seals_3"].section_title == "4. Possible Root Causes"
     note = rows["notes_1"]
     assert (note.doc_title, note.event_id, note.section_title) == ("notes", -1, "Overview")
-    assert first.content.startswith("Document: Slugging in Risers\nSection: Overview\nEvent ID: 3\n\n# Slugging")
+    assert first.content.startswith("Document: Worn Pump Seals\nSection: Overview\nEvent ID: 3\n\n# Worn")
 
 
 @pytest.mark.parametrize("broadcast_rows", [500_000, 0])
 def test_search_equals_brute_force(spark, chunks, broadcast_rows):
     asked = [
-        (1, "slugging pressure cycles of the riser", 3),
-        (2, "hydrate crystals in cold lines", 8),
+        (1, "worn seals drip on the base plate", 3),
+        (2, "brown filters starve burners", 8),
         (3, "nothing known zzz qqq", 8),
         (4, "nothing known zzz qqq", 77),
-        (5, "choke control and gas lift injection slugging 2024 notes", 8),
+        (5, "bent shaft and flushing water seal 2024 notes", 8),
     ]
     index = retrieval.fit_index(chunks)
     queries = spark.createDataFrame(asked, "query_id long, query string, event int")
@@ -115,9 +115,9 @@ def test_search_equals_brute_force(spark, chunks, broadcast_rows):
 def test_index_survives_saving(spark, chunks, tmp_path):
     retrieval.fit_index(chunks).save(str(tmp_path / "index"))
     loaded = retrieval.load_index(spark, str(tmp_path / "index"))
-    queries = spark.createDataFrame([(1, "severe slugging")], "query_id long, query string")
+    queries = spark.createDataFrame([(1, "worn seals")], "query_id long, query string")
     found = retrieval.search(queries, loaded, 3).collect()
-    assert any("slugging" in r.content.lower() for r in found)
+    assert any("seals" in r.content.lower() for r in found)
     with pytest.raises(Exception):
         retrieval.load_index(spark, str(tmp_path / "missing"))
 
@@ -148,11 +148,11 @@ def test_report_uses_retrieved_sections(spark, chunks):
     for title in ("FAULT DETECTION", "SENSOR EVIDENCE", "POSSIBLE CAUSES", "RECOMMENDED CHECKS", "SAFETY NOTE", "KNOWLEDGE SOURCES"):
         assert f"{title}\n----------------\n" in text
     assert "Confidence: 60.0% (Low / Uncertain)" in text
-    assert "1. 1. Low production rates below the critical velocity.\n" in text
-    assert "2. Increase gas lift injection.\n" in text
-    assert "Massive liquid slugs can overflow" in text
-    assert text.endswith("KNOWLEDGE SOURCES\n----------------\nSlugging in Risers\n")
-    assert row.retrieved_sources == ["Slugging in Risers"] * 5
+    assert "1. 1. Dry running after a start without priming.\n" in text
+    assert "2. Replace both faces of the seal.\n" in text
+    assert "Spilled oil makes the floor" in text
+    assert text.endswith("KNOWLEDGE SOURCES\n----------------\nWorn Pump Seals\n")
+    assert row.retrieved_sources == ["Worn Pump Seals"] * 5
     assert "WARNING: Model confidence is low (<65%)" in row.prompt and "KNOWLEDGE EXCERPT 5" in row.prompt
 
 

@@ -36,11 +36,6 @@ EVENT_NAMES = {
 }
 TRANSIENT_EVENTS = [1, 2, 5, 6, 7, 8, 9]
 NORMAL_EVENT = EVENT_NAMES[0]
-SHORT_CLASS_NAMES = [
-    "Normal", "Abrupt BSW Inc", "Spurious DHSV", "Severe Slugging",
-    "Flow Instability", "Rapid Prod Loss", "Quick PCK Restr",
-    "Scaling in PCK", "Hydrate Prod Line", "Hydrate Serv Line",
-]
 
 # --- fixed values: nominal operating bounds (raw units) -----------------------
 NOMINAL_BOUNDS = [

@@ -15,21 +15,6 @@ def nan_to_null(value: Column) -> Column:
     return F.nanvl(value, F.lit(None).cast("double"))
 
 
-def keep_between(value: Column, low: float, high: float) -> Column:
-    """The value when inside the closed range, else NULL."""
-    return F.when(value.between(low, high), value)
-
-
-def clip(value: Column, low: float, high: float) -> Column:
-    """Bound a value; NULL stays NULL (``greatest`` alone would skip it)."""
-    return F.when(value.isNotNull(), F.least(F.greatest(value, F.lit(low)), F.lit(high)))
-
-
-def payload_number(payload: Column, key: str) -> Column:
-    """Number stored under ``key`` of a map<string,string>; NULL when absent or not numeric."""
-    return nan_to_null(F.try_element_at(payload, F.lit(key)).try_cast("double"))
-
-
 def array_of(*items: Column) -> Column:
     return F.array_compact(F.array(*items))
 

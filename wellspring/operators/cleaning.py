@@ -91,7 +91,8 @@ def causal_ffill(
     # Only a row without a reading nearby can need the inherited one; rows deeper
     # than ``limit`` in their slice fail the distance test by themselves.
     position = "rows_before + row_in_slice"
-    return rows.join(inherited, [*key, "slice"]).selectExpr(
+    # The readings already lie, sorted, by recording and slice: only the summary moves.
+    return rows.join(inherited.hint("merge"), [*key, "slice"]).selectExpr(
         *others,
         "slice",
         f"{position} AS position",

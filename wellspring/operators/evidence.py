@@ -162,9 +162,10 @@ def fuse_decision(df: DataFrame) -> DataFrame:
     )
 
 
-def alert_flag(decisions: DataFrame) -> DataFrame:
+def alert_flag(decisions: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """What an ingest call answers: alert, status, event and confidence."""
     return decisions.select(
+        *keep,
         F.lit(True).alias("acknowledged"),
         "well_id",
         (F.col("status") == "anomaly").alias("alert"),

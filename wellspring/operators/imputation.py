@@ -18,12 +18,6 @@ def fit_medians(train: DataFrame, features: Sequence[str]) -> dict[str, float |
     return exact_quantiles(train, features, 0.5)
 
 
-def approximate_medians(train: DataFrame, features: Sequence[str]) -> dict[str, float | None]:
-    """One-pass alternative; each result is an element near the median."""
-    row = train.agg(*[F.percentile_approx(col(f), 0.5, 10_000).alias(f) for f in features]).first()
-    return row.asDict()
-
-
 def apply_medians(df: DataFrame, features: Sequence[str], medians: Medians | None = None) -> DataFrame:
     """Replace NULLs by the medians; by 0 without medians or for a feature never observed."""
     fills = {f: (medians or {}).get(f) or 0.0 for f in features}

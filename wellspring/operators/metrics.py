@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wellspring.functions.values import ratio
 from wellspring.operators.ranking import by_quantile
+from wellspring.session import materialise
 
 
 def pair_counts(df: DataFrame, label: str, prediction: str, count: str | None = None) -> DataFrame:
@@ -78,7 +79,7 @@ def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
     per_score = df.groupBy(F.col(score).cast("double").alias("score")).agg(
         F.count_if(F.col(label) == 1).alias("positives"), F.count_if(F.col(label) != 1).alias("negatives")
     )
-    ranged = by_quantile(per_score, "score")
+    ranged = by_quantile(materialise(per_score, "scores"), "score")
     totals = ranged.groupBy("value_range").agg(F.sum("negatives").alias("negatives"))
     lower = Window.orderBy("value_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("value_range", F.coalesce(F.sum("negatives").over(lower), F.lit(0)).alias("lower_negatives"))

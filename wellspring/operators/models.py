@@ -26,6 +26,7 @@ from wellspring.session import ensure_checkpoint_dir
 
 TREES, DEPTH, SEED = 80, 14, 42
 ITERATIONS = 100
+ROW_KEY = ("instance_file", "window_start")
 # rows per partition: forests do much work per pass, the others run many short passes
 ROWS_PER_PARTITION = {"random_forest": 2_000, "boosted_trees": 10_000, "logistic": 10_000}
 
@@ -64,12 +65,18 @@ def logistic(label: str, rows: int) -> LogisticRegression:
 
 
 def prepared(train: DataFrame, features: Sequence[str], label: str, rows_per_partition: int) -> DataFrame:
-    """Assembled, weighted training rows, kept for the many passes of a fit."""
+    """Assembled, weighted training rows, kept for the many passes of a fit.
+
+    Bagging draws by partition and row order, so rows are dealt by a hash of their key and
+    sorted: a fit repeats whatever way the input lay. A fit runs hundreds of short jobs, so
+    little data does not lie in many partitions.
+    """
     weighted = imputation.with_class_weights(train, label)
-    rows = assemble(weighted.select(label, "weight", *[F.col(f"`{f}`") for f in features]), features)
-    # A fit runs hundreds of short jobs, so little data should not lie in many partitions.
+    key = [c for c in ROW_KEY if c in train.columns]
+    rows = assemble(weighted.select(*key, label, "weight", *[F.col(f"`{f}`") for f in features]), features)
     enough = -(-train.count() // rows_per_partition) or 1
-    return rows.coalesce(enough).persist(StorageLevel.MEMORY_AND_DISK)
+    dealt = rows.repartition(enough, *key).sortWithinPartitions(*key).drop(*key) if key else rows.coalesce(enough)
+    return dealt.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def fit(train: DataFrame, features: Sequence[str], label: str, kind: str = "random_forest") -> Model:

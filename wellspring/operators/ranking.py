@@ -13,7 +13,7 @@ from wellspring.functions.values import col
 
 MARGIN = 0.002  # share of the values kept on each side of the wanted rank per narrowing round
 ACCURACY = 1_000  # of the approximate quantiles that bound the next range: within 1/1000 of the rank
-LARGEST_GROUP = 100_000  # values per column that the last round may gather
+LARGEST_GROUP = 100_000  # values of a column that the last round may rank in one window
 VALUE_RANGES = 1_000
 
 
@@ -54,9 +54,10 @@ def exact_quantiles(
 
     Each round takes two approximate quantiles closely around the wanted rank and
     counts the values below and between them, which shows whether the rank lies
-    inside. Once a range holds at most ``largest_group`` values (or one distinct
-    value) they are sorted and read off. All columns share each pass; NULLs are
-    skipped; an empty column gives None.
+    inside. Once the ranges hold at most ``largest_group`` values (or one distinct
+    value) these are counted by value and ranked, one window per column; only the two
+    values around the rank of each column come back. All columns share each pass;
+    NULLs are skipped; an empty column gives None.
     """
     sizes = df.agg(*[F.struct(F.count(col(c)), F.min(col(c)), F.max(col(c))).alias(c) for c in columns]).first()
     found: dict[str, float | None] = {}
@@ -80,25 +81,37 @@ def exact_quantiles(
             if holds and inside < ranges[c][3]:
                 ranges[c] = (*candidates[c], below, inside)
             else:  # many copies near the rank: cut the range in two instead
-                ranges[c] = _halve(df, c, ranges[c], ranks[c])
-
-    if ranges:
-        inside = df.agg(
-            *[
-                F.sort_array(F.collect_list(F.when(col(c).between(low, high) & F.lit(low < high), col(c)))).alias(c)
-                for c, (low, high, _, _) in ranges.items()
-            ]
-        ).first()
-        for c, (low, high, below, _) in ranges.items():
-            first, last, weight = ranks[c]
-            if low == high:
-                found[c] = low
-            else:
-                a, b = float(inside[c][first - below]), float(inside[c][last - below])
-                found[c] = a + (b - a) * weight
+                ranges[c] = _halve(df, c, ranges[c], ranks[c], largest_group)
+
+    found |= {c: low for c, (low, high, _, _) in ranges.items() if low == high}
+    open_ranges = {c: r for c, r in ranges.items() if r[0] < r[1]}
+    for c, values in _ranked(df, open_ranges, ranks).items():
+        found[c] = values[0] + (values[-1] - values[0]) * ranks[c][2]
     return found
 
 
+def _ranked(df: DataFrame, ranges: dict[str, tuple], ranks: dict[str, tuple]) -> dict[str, list[float]]:
+    """The values that stand on the first and last rank of each column, in order."""
+    if not ranges:
+        return {}
+    names = list(ranges)
+    cells = [
+        F.struct(F.lit(i).alias("column"), _inside(c, *ranges[c][:2]).alias("value")) for i, c in enumerate(names)
+    ]
+    values = df.select(F.explode_outer(F.array(*cells)).alias("cell")).select("cell.*").filter("value IS NOT NULL")
+    counted = values.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    upto = Window.partitionBy("column").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    ends = F.sum("n").over(upto)
+    wanted = [(i, ranks[c][0] - ranges[c][2], ranks[c][1] - ranges[c][2]) for i, c in enumerate(names)]
+    wanted = df.sparkSession.createDataFrame(wanted, "column int, first long, last long")
+    placed = counted.withColumn("end", ends).join(F.broadcast(wanted), "column")  # one row a column
+    hit = "(first >= end - n AND first < end) OR (last >= end - n AND last < end)"
+    out: dict[str, list[float]] = {}
+    for row in placed.filter(hit).orderBy("column", "value").collect():
+        out.setdefault(names[row["column"]], []).append(float(row["value"]))
+    return out
+
+
 def _inside(c: str, low: float, high: float):
     return F.when(col(c).between(low, high), col(c).cast("double"))
 
@@ -123,7 +136,7 @@ def _counts(df: DataFrame, ranges: dict[str, tuple[float, float]]) -> dict[str,
     return {c: tuple(row[c]) for c in ranges}
 
 
-def _halve(df, c, current, rank):
+def _halve(df, c, current, rank, largest_group):
     """The half of a range that holds the rank; the two middle neighbours when both do."""
     low, high, below, inside = current
     middle = low + (high - low) / 2
@@ -140,7 +153,7 @@ def _halve(df, c, current, rank):
     edge = df.agg(
         F.count_if(col(c) < last_lower), F.count_if(col(c).between(last_lower, first_upper))
     ).first()
-    if edge[1] > LARGEST_GROUP:  # two values with many copies: read both off directly
+    if edge[1] > largest_group:  # two values with many copies: read both off directly
         return _pair(rank, float(last_lower), float(first_upper), edge[0])
     return float(last_lower), float(first_upper), edge[0], edge[1]
 

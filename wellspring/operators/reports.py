@@ -97,14 +97,16 @@ def latest_per_well(telemetry: DataFrame, broadcast_devices: int = 500_000) -> D
     """The latest row of every device.
 
     The newest (time, id) per device comes from three narrow columns; time and id are
-    packed into one decimal, which a hash aggregate can hold. The full rows are then
+    packed into one decimal, which a hash aggregate can hold; both are moved above zero, so
+    times before 1970 and negative ids keep their order. The full rows are then
     picked by id, so their payload is neither sorted nor, up to ``broadcast_devices``
     devices, shuffled.
     """
-    packed = F.expr("CAST(at AS DECIMAL(18, 0)) * CAST('100000000000000000000' AS DECIMAL(21, 0)) + CAST(id AS DECIMAL(20, 0))")
+    factor, above = "CAST('100000000000000000000' AS DECIMAL(21, 0))", "CAST('10000000000000000000' AS DECIMAL(20, 0))"
+    packed = F.expr(f"CAST(at + 100000000000000000 AS DECIMAL(18, 0)) * {factor} + CAST(id AS DECIMAL(20, 0)) + {above}")
     narrow = telemetry.select("device_id", "id", micros(telemetry, "timestamp").alias("at"))
     newest = narrow.groupBy("device_id").agg(F.max(packed).alias("newest"))
-    ids = newest.select("device_id", F.expr("CAST(newest % CAST('100000000000000000000' AS DECIMAL(21, 0)) AS BIGINT)").alias("id"))
+    ids = newest.select("device_id", F.expr(f"CAST(newest % {factor} - {above} AS BIGINT)").alias("id"))
     ids = materialise(ids, "newest-ids")
     few = ids.limit(broadcast_devices + 1).count() <= broadcast_devices
     return telemetry.join(F.broadcast(ids) if few else ids, ["id", "device_id"]).select(*telemetry.columns)

@@ -59,15 +59,21 @@ def blank_absent(df: DataFrame, sensors: Sequence[str], available: Column) -> Da
     )
 
 
-def from_first_day(df: DataFrame, ts: str, window_seconds: int) -> DataFrame:
-    """Windows counted from the midnight before a recording's first row.
+def from_first_day(df: DataFrame, ts: str, window_seconds: int, slide_seconds: int | None = None) -> DataFrame:
+    """Windows counted from the midnight before a recording's first row, also overlapping ones.
 
-    The same as counting from 1970 when the length divides a day.
+    The same as counting from 1970 when length and slide divide a day.
     """
+    slide = min(slide_seconds or window_seconds, window_seconds)
     first = df.groupBy("instance_file").agg(F.date_trunc("day", F.min(ts)).cast("timestamp_ntz").alias("first_day"))
-    number = f"floor(timestampdiff(MICROSECOND, first_day, CAST(`{ts}` AS TIMESTAMP_NTZ)) / {window_seconds * 1_000_000})"
-    start = f"timestampadd(SECOND, CAST({number} * {window_seconds} AS INT), first_day)"
-    return df.join(first, "instance_file").withColumn("window_start", F.expr(start)).drop("first_day")
+    gone = f"timestampdiff(MICROSECOND, first_day, CAST(`{ts}` AS TIMESTAMP_NTZ))"
+    placed = df.join(first, "instance_file").withColumn("window_no", F.expr(f"floor({gone} / {slide * 1_000_000})"))
+    if slide < window_seconds:
+        earlier = F.explode_outer(F.array(*[F.lit(k) for k in range(-(-window_seconds // slide))]))
+        placed = placed.withColumn("earlier", earlier).withColumn("window_no", F.col("window_no") - F.col("earlier"))
+        placed = placed.filter(F.expr(f"{gone} < (window_no * {slide} + {window_seconds}) * 1000000")).drop("earlier")
+    start = F.expr(f"timestampadd(SECOND, CAST(window_no * {slide} AS INT), first_day)")
+    return placed.withColumn("window_start", start).drop("first_day", "window_no")
 
 
 def window_features(
@@ -82,8 +88,8 @@ def window_features(
 ) -> DataFrame:
     """Raw recordings to labelled feature windows.
 
-    One shuffle of the readings, by recording and time slice: the fill and the
-    windows both work inside a slice. ``slide_seconds`` gives overlapping windows.
+    The readings are shuffled by recording and time slice: the fill and the windows
+    both work inside a slice. ``slide_seconds`` gives overlapping windows.
     """
     limit = window_seconds if ffill_limit is None else ffill_limit
     if slice_seconds is not None:
@@ -98,11 +104,11 @@ def window_features(
     by_day = DAY % window_seconds == 0
     # A window that crosses a slice border must not be grouped by slice.
     keys = [*KEYS, "slice"] if slice_seconds is not None and by_day and not overlapping else KEYS
-    if by_day or overlapping:
+    if by_day and DAY % (slide_seconds or window_seconds) == 0:
         grid = F.window(order[0], f"{window_seconds} seconds", f"{slide_seconds or window_seconds} seconds")
         placed = filled.withColumn("window_start", grid["start"])
     else:
-        placed = from_first_day(filled, order[0], window_seconds)
+        placed = from_first_day(filled, order[0], window_seconds, slide_seconds)
     aggregated = (
         placed.groupBy(*keys, *extra, "window_start")
         .agg(

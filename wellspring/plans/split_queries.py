@@ -17,6 +17,7 @@ from wellspring.sources import recordings as rec
 from wellspring.sources.testtables import events, predictions, recordings, telemetry
 
 FEATURES = feature_names()
+EVEN_SENSORS, ODD_SENSORS = PRIMARY_SENSORS[:8], PRIMARY_SENSORS[4:-1]  # with sensors that one part lacks
 
 
 def labelled(spark, sf_dir):
@@ -114,15 +115,16 @@ def impute_features(spark, sf_dir):
 
 @query
 def features_float32(spark, sf_dir):
-    names = [f for f in FEATURES if f.endswith(("_min", "_max", "_trend"))]
-    windows = to_float32(features(spark, sf_dir), names)
-    return windows.select("instance_file", "window_start", *[col(f) for f in names])
+    windows = to_float32(features(spark, sf_dir), FEATURES)
+    return windows.select("instance_file", "window_start", *[col(f) for f in FEATURES])
 
 
 @query
 def clip_features_query(spark, sf_dir):
-    scaled = recordings(spark, sf_dir).selectExpr("event_id", "`P-PDG` * 40 AS a", "`P-TPT` * -30 AS b", "`P-MON-CKP` AS c")
-    return rounded(clip_features(scaled, ["a", "b", "c"]), 4)
+    factors = [40 if i % 2 else -30 for i in range(len(PRIMARY_SENSORS))]
+    scaled = recordings(spark, sf_dir).selectExpr(
+        "event_id", *[f"nanvl(`{s}` * {k}, NULL) AS `{s}`" for s, k in zip(PRIMARY_SENSORS, factors)])
+    return rounded(clip_features(scaled, PRIMARY_SENSORS), 4)
 
 
 @query
@@ -136,22 +138,19 @@ def feature_manifest(spark, sf_dir):
 
 @query
 def feature_sample(spark, sf_dir):
-    names = ["P-PDG_mean", "T-TPT_max", "QGL_trend"]
-    windows = features(spark, sf_dir).select("instance_file", "window_start", "raw_class", *[col(n) for n in names])
+    windows = features(spark, sf_dir).select("instance_file", "window_start", "raw_class", *[col(f) for f in FEATURES])
     return rounded(windows.orderBy("instance_file", "window_start").limit(500), 4)
 
 
 @query
 def sliding_windows(spark, sf_dir):
-    sensors = ["P-PDG", "T-TPT", "P-MON-CKP"]
-    return rounded(window_features(recordings(spark, sf_dir), sensors, DAY, 3, ORDER, slide_seconds=DAY // 4), 4)
+    return rounded(window_features(recordings(spark, sf_dir), PRIMARY_SENSORS, DAY, 3, ORDER, slide_seconds=DAY // 4), 4)
 
 
 @query
 def ffill_by_time(spark, sf_dir):
-    clean = sanitize(recordings(spark, sf_dir), ["P-MON-CKP", "P-JUS-CKGL"])
-    filled = causal_ffill_seconds(clean, ["P-MON-CKP", "P-JUS-CKGL"], DAY)
-    return filled.select("event_id", col("P-MON-CKP"), col("P-JUS-CKGL"))
+    clean = sanitize(recordings(spark, sf_dir), PRIMARY_SENSORS)
+    return causal_ffill_seconds(clean, PRIMARY_SENSORS, DAY).select("event_id", *[col(s) for s in PRIMARY_SENSORS])
 
 
 @query
@@ -217,18 +216,18 @@ def first_recording_per_event(spark, sf_dir):
 @query
 def concat_recordings(spark, sf_dir):
     rows = recordings(spark, sf_dir)
-    even = rows.filter("event_id % 2 = 0").select("event_id", col("P-PDG"))
-    odd = rows.filter("event_id % 2 = 1").select("event_id", col("T-TPT"))
+    even = rows.filter("event_id % 2 = 0").select("event_id", "class", *[col(s) for s in EVEN_SENSORS])
+    odd = rows.filter("event_id % 2 = 1").select("event_id", "ts", *[col(s) for s in ODD_SENSORS])
     return rec.concat_recordings([even, odd])
 
 
 @query
 def recording_to_messages(spark, sf_dir):
     sent = rec.recording_to_messages(recordings(spark, sf_dir), PRIMARY_SENSORS, 5, ORDER)
-    read = {"device_id": "device_id", "ground_truth_class": "label", "P-PDG": "p_pdg", "P-JUS-CKP": "p_jus_ckp"}
+    read = {"device_id": "device_id", "ground_truth_class": "label", "recording_file": "recording_file"}
     fields = [F.get_json_object("payload", f"$.{key}").alias(name) for key, name in read.items()]
-    parsed = sent.select("topic", "instance_file", "record", *fields)
-    return parsed.withColumn("p_pdg", F.round(col("p_pdg").cast("double"), 4))
+    readings = [F.round(F.get_json_object("payload", f"$.{s}").cast("double"), 4).alias(s) for s in PRIMARY_SENSORS]
+    return sent.select("topic", "instance_file", "record", *fields, *readings)
 
 
 def raw_messages(spark, sf_dir):
@@ -257,4 +256,4 @@ def decode_messages(spark, sf_dir):
 @query
 def dead_letters(spark, sf_dir):
     decoded = msg.decode_messages(msg.topic_filter(raw_messages(spark, sf_dir)))
-    return msg.dead_letters(decoded).groupBy("reject").agg(F.count("*").alias("messages"))
+    return msg.dead_letters(decoded).select("id", "device_id", "reject")

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from wellspring.constants import (
     DISPLAY_SENSORS,
-    FAULT_RULES,
     NOMINAL_BOUNDS,
     PRIMARY_SENSORS,
     RULE_DEVICE_TYPES,
@@ -39,14 +38,14 @@ def flatten_telemetry(spark, sf_dir):
 
 @query
 def status_filter_anomalies(spark, sf_dir):
-    view = views.status_filter(flat(spark, sf_dir, "P-PDG"), "anomalies")
-    return rounded(view.select("id", "status", "fault", col("P-PDG")), 6)
+    view = views.status_filter(flat(spark, sf_dir), "anomalies")
+    return rounded(view.select("id", "status", "fault", *[col(s) for s in DISPLAY_SENSORS]), 6)
 
 
 @query
 def status_filter_normal(spark, sf_dir):
-    view = views.status_filter(flat(spark, sf_dir, "P-PDG"), "normal")
-    return rounded(view.select("id", "status", "fault", col("P-PDG")), 6)
+    view = views.status_filter(flat(spark, sf_dir), "normal")
+    return rounded(view.select("id", "status", "fault", *[col(s) for s in DISPLAY_SENSORS]), 6)
 
 
 @query
@@ -61,7 +60,7 @@ def live_feed(spark, sf_dir):
 
 @query
 def round_view(spark, sf_dir):
-    return views.round_view(flat(spark, sf_dir, "P-PDG", "T-TPT", "QGL")).drop("diagnosis")
+    return views.round_view(flat(spark, sf_dir, *DISPLAY_SENSORS)).drop("diagnosis")
 
 
 @query
@@ -289,9 +288,7 @@ def fuse_decision(spark, sf_dir):
 
 @query
 def alert_flags(spark, sf_dir):
-    flags = evidence.alert_flag(decisions(spark, sf_dir))
-    return flags.groupBy("well_id", "alert", "event").agg(
-        F.count("*").alias("messages"), F.round(F.max("confidence"), 6).alias("confidence"))
+    return rounded(evidence.alert_flag(decisions(spark, sf_dir), keep=["id"]), 6)
 
 
 @query

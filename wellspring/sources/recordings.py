@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,38 +37,88 @@ def discover_sensors(df: DataFrame, expected: Sequence[str] = PRIMARY_SENSORS) -
 
 FILES = "WELL-*.parquet"
 TIME_COLUMNS = ("timestamp", "__index_level_0__")  # named column or unnamed index
+LABELS = ("class", "state")
 
 
-def recording_schema(spark: SparkSession, root: str) -> T.StructType:
-    """Time, the expected sensors and the label, with the types the files use.
+def recording_files(spark: SparkSession, root: str) -> DataFrame:
+    """``path`` and ``columns`` (array of name and Arrow type) of each file; NULL if its footer cannot be read.
 
-    Types come from the footer of one file; a sensor it lacks is read as double.
+    Footers are read by the tasks, one row a file.
     """
-    found = spark.read.option("pathGlobFilter", FILES).option("ignoreCorruptFiles", "true").parquet(f"{root}/*").schema
-    kinds = {field.name: field.dataType for field in found}
-    time = next((name for name in TIME_COLUMNS if name in kinds), TIME_COLUMNS[0])
-    sensors = {s: kinds.get(s) for s in PRIMARY_SENSORS}
-    return T.StructType(
-        [T.StructField(time, kinds.get(time, T.TimestampNTZType()))]
-        + [T.StructField(s, k if isinstance(k, T.NumericType) else T.DoubleType()) for s, k in sensors.items()]
-        + [T.StructField("class", kinds.get("class", T.IntegerType()))]
-    )
 
+    def footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("name", pa.string()), ("type", pa.string())]))
+        for batch in batches:
+            paths, found = batch.column(0).to_pylist(), []
+            for path in paths:
+                try:
+                    store, local = fs.FileSystem.from_uri(path)
+                    fields = pq.read_schema(local, filesystem=store)
+                    found.append([{"name": f.name, "type": str(f.type)} for f in fields])
+                except (OSError, ValueError):  # not Parquet, cut off or not readable
+                    found.append(None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], ["path", "columns"])
+
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", FILES).load(f"{root}/*").select("path")
+    return listed.mapInArrow(footers, "path string, columns array<struct<name:string,type:string>>")
+
+
+def _number(kind: str) -> bool:
+    return kind.startswith(("int", "uint", "float", "double", "halffloat", "decimal"))
 
-def read_recordings(spark: SparkSession, root: str, schema: T.StructType | None = None) -> DataFrame:
-    """All ``<event folder>/WELL-*.parquet`` files, with keys, ``ts`` and an integer label.
 
-    A sensor missing in a file reads as NULL. Unreadable files, also those whose
-    column types differ from ``schema``, are skipped; ``files_without_rows`` names
-    them. Files with nanosecond times need ``spark.sql.legacy.parquet.nanosAsLong``,
-    which ``build_session`` sets.
+def read_recordings(spark: SparkSession, root: str) -> DataFrame:
+    """All ``<event folder>/WELL-*.parquet`` files, with keys, ``ts``, an integer label and the sensors.
+
+    Files may differ in their columns and types: each distinct set of columns is read with its
+    own types and cast, sensors to double and the label to integer. ``available_sensors`` has
+    the expected sensors that are numeric in the file or, without any, its other numeric
+    columns; sensors a file lacks are NULL. A file without a label column takes the number of
+    its folder, else 0. Files whose footer cannot be read are skipped; ``files_without_rows``
+    names them. Nanosecond times need ``spark.sql.legacy.parquet.nanosAsLong``, which
+    ``build_session`` sets.
     """
-    schema = schema or recording_schema(spark, root)
-    reader = spark.read.option("pathGlobFilter", FILES).option("ignoreCorruptFiles", "true")
-    rows = with_time(reader.schema(schema).parquet(f"{root}/*"), schema[0].name)
-    numbers = {s: col(s).cast("double") for s in PRIMARY_SENSORS if s in rows.columns}
-    keys = recording_keys(F.col("_metadata.file_path"))
-    return rows.withColumns(numbers | keys | {"class": F.nanvl(F.col("class").cast("double"), F.lit(None)).cast("int")})
+    files = recording_files(spark, root).where("columns IS NOT NULL")
+    # the driver lists files for any scan, and there are few distinct sets of columns
+    groups: dict[tuple, list[str]] = {}
+    for path, columns in files.collect():
+        groups.setdefault(tuple((c["name"], c["type"]) for c in columns), []).append(path)
+    parts = [_read_group(spark, dict(columns), sorted(paths)) for columns, paths in sorted(groups.items())]
+    if not parts:
+        fields = [T.StructField(s, T.DoubleType()) for s in PRIMARY_SENSORS]
+        keys = [T.StructField(k, T.StringType()) for k in ("instance_file", "well_id", "event_folder")]
+        rest = [T.StructField("ts", T.TimestampNTZType()), T.StructField("class", T.IntegerType()),
+                T.StructField("available_sensors", T.ArrayType(T.StringType()))]
+        return spark.createDataFrame([], T.StructType(keys + rest + fields))
+    return concat_recordings(parts)
+
+
+def _read_group(spark: SparkSession, kinds: dict[str, str], paths: list[str]) -> DataFrame:
+    """Files of one set of columns."""
+    numeric = [name for name, kind in kinds.items() if _number(kind) and name not in TIME_COLUMNS]
+    available = [s for s in PRIMARY_SENSORS if s in numeric] or [n for n in numeric if n not in LABELS]
+    rows = spark.read.parquet(*paths)
+    time = next((name for name in TIME_COLUMNS if name in rows.columns), None)
+    timed = rows.withColumn("ts", F.lit(None).cast("timestamp_ntz")) if time is None else with_time(rows, time)
+    label = F.nanvl(col("class").cast("double"), F.lit(None)).cast("int") if "class" in kinds else F.lit(None).cast("int")
+    keyed = timed.withColumns(recording_keys(F.col("_metadata.file_path")) | {"class": label})
+    absent = [F.lit(None).cast("double").alias(s) for s in PRIMARY_SENSORS if s not in available]
+    return label_fallback(keyed, F.lit("class" in kinds)).select(
+        "instance_file",
+        "well_id",
+        "event_folder",
+        "ts",
+        "class",
+        F.array(*[F.lit(s) for s in available]).cast("array<string>").alias("available_sensors"),
+        *[col(s).cast("double").alias(s) for s in available],
+        *absent,
+    )
+
+
+def sensors_of(recordings: DataFrame) -> list[str]:
+    """The expected sensors and the others that ``read_recordings`` found."""
+    known = [*PRIMARY_SENSORS]
+    return known + [n for n, kind in recordings.dtypes if kind == "double" and n not in known]
 
 
 def files_without_rows(spark: SparkSession, root: str, rows: DataFrame) -> DataFrame:

@@ -10,13 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from wellspring.constants import COOLDOWN_SECONDS, UNKNOWN_DEVICE
+from wellspring.constants import COOLDOWN_SECONDS
 from wellspring.functions.values import col, micros
 from wellspring.operators import evidence, rules, throttle
 from wellspring.operators.telemetry import parse_payload
 from wellspring.operators.windows import window_features_online
 from wellspring.session import scratch_path
-from wellspring.sources.messages import decode_messages, topic_filter
+from wellspring.sources.messages import accepted, dead_letters, decode_messages, topic_filter
 
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -52,6 +52,17 @@ def each_batch(stream: DataFrame, path: str, checkpoint: str, work: Callable[[Da
     return writer.foreachBatch(write).trigger(availableNow=True).start()
 
 
+def store_stream(stream: DataFrame, path: str, checkpoint: str, work: Callable[[DataFrame], DataFrame]):
+    """Storable rows of every micro-batch go through ``work`` to ``telemetry``, the others to ``dead-letters``."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        work(accepted(batch)).write.mode("overwrite").parquet(f"{path}/telemetry/batch={number}")
+        dead_letters(batch).write.mode("overwrite").parquet(f"{path}/dead-letters/batch={number}")
+
+    writer = stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
+    return writer.foreachBatch(write).trigger(availableNow=True).start()
+
+
 def drain(spark: SparkSession, name: str, start: Callable[[str, str], object]) -> str:
     """Run a stream over what is there and return the folder of its results."""
     path, checkpoint = scratch_path(spark, name), scratch_path(spark, f"{name}-checkpoint")
@@ -87,7 +98,8 @@ def closed_windows(
     """Readings of each device's window, emitted once the watermark has passed its end.
 
     ``ts`` must be a zoned timestamp. A window holds what a device sends in its
-    length; rows later than the delay are dropped.
+    length; rows later than the delay are dropped. Windows that are still open when a
+    bounded source ends stay in the state and come out only when later readings arrive.
     """
     row = F.struct("ts", "id", *[col(s) for s in sensors])
     grid = F.window("ts", f"{window_seconds} seconds")
