@@ -17,12 +17,15 @@ import base64
 import hashlib
 from bisect import bisect_left
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wellspring.llm.shared import let
+
 SHORTEST, USUAL, LONGEST = 16, 64, 256
 STRICT_BITS, LOOSE_BITS, WINDOW = 7, 5, 32
 AT_ONCE = 1 << 20
@@ -106,6 +109,22 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - cut] + following[:cut]
 
 
+def _part_of(doc_id: Column, cuts: list[int]) -> tuple[Column, Column]:
+    """Place of the last of the descending cuts that is not below the id, and whether it is the id.
+
+    The cuts are literals in groups of about their square root, so a row looks at two short arrays.
+    """
+    size = isqrt(len(cuts)) + 1
+    groups = [cuts[i : i + size] for i in range(0, len(cuts), size)]
+    listed = lambda xs: "array(" + ", ".join(f"{x}L" for x in xs) + ")"
+    heads, all_groups = F.expr(listed(g[0] for g in groups)), F.expr("array(" + ", ".join(map(listed, groups)) + ")")
+    reached = lambda xs: F.size(F.filter(xs, lambda c: c >= doc_id))
+    group = F.greatest(reached(heads) - 1, F.lit(0))  # an unknown id reaches none
+    inside = let(group, lambda g: reached(F.element_at(all_groups, g + 1)) - 1)
+    begins = let(group, lambda g: F.array_contains(F.element_at(all_groups, g + 1), doc_id))
+    return group * size + inside, begins
+
+
 def _in_order(docs: DataFrame) -> DataFrame:
     """Rows in partitions by descending id; each part also gets the row that follows its last one.
 
@@ -122,13 +141,11 @@ def _in_order(docs: DataFrame) -> DataFrame:
         if shares:
             cuts = rows.agg(F.percentile_approx("doc_id", shares, 100_000)).first()[0] or []
         cuts = sorted({*cuts, largest}, reverse=True)
-    starts = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<long>")
     last = max(0, len(cuts) - 1)
-    own = F.when(F.col("doc_id").isNull(), F.lit(last)).otherwise(F.size(F.filter(starts, lambda c: c >= F.col("doc_id"))) - 1)
+    own, begins = _part_of(F.col("doc_id"), cuts) if cuts else (F.lit(0), F.lit(False))
+    own = F.when(F.col("doc_id").isNull(), F.lit(last)).otherwise(own)
     # the part that this row follows, for rows that begin a part
-    behind = F.when(
-        F.array_contains(starts, F.col("doc_id")), F.when(own == 0, F.lit(last)).otherwise(own - 1)
-    )
+    behind = F.when(begins, F.when(own == 0, F.lit(last)).otherwise(own - 1))
     places = F.array(F.struct(own.alias("part"), F.lit(False).alias("only_follows")),
                      F.struct(behind.alias("part"), F.lit(True).alias("only_follows")))
     dealt = rows.withColumn("_at", F.explode_outer(places)).where("_at.part IS NOT NULL")
