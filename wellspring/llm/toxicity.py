@@ -38,6 +38,7 @@ from wellspring.llm.shared import fold, materialise
 ROWS_PER_LABEL, CALIBRATION_ROWS = 10_000, 3_000
 STEMS, PRIOR_WEIGHT, DRIFT = (4, 5, 6), 10.0, 1.0
 SIGNIFICANT, CUTOFF = 0.01, 0.3
+KEPT_WORDS = 100_000  # scores that a task remembers
 WORDS = re.compile(r"\w+")
 
 
@@ -122,7 +123,7 @@ def _context_counts(sample: DataFrame) -> DataFrame:
                     )
 
     found = sample.select("text", F.col("toxic").cast("long")).mapInArrow(contexts, "context long, word string, label long")
-    once = found.groupBy("context", "label").agg(F.first("word").alias("word"))
+    once = found.select("context", "label", "word").distinct()
     toxic = F.sum(F.when(F.col("label") == 1, 1).otherwise(0)).alias("toxic")
     return once.groupBy("word").agg(toxic, F.sum(F.when(F.col("label") == 1, 0).otherwise(1)).alias("clean"))
 
@@ -235,7 +236,7 @@ def fit(train: DataFrame) -> ToxicityModel:
 def _chance(text, scores, cache, model, w):
     """Score of a text, its segments and the number of its words."""
     words = words_of(text)
-    if len(cache) > 500_000:
+    if len(cache) > KEPT_WORDS:
         cache.clear()
     found = segments(words, scores, cache)
     x = _evidence(found, len(words), model)
