@@ -34,7 +34,7 @@ from wellspring.llm.shared import discard, fold, materialise, scratch_path, utf8
 #: No word of a text can hold a space, so this stands for the end (and for what lies before a text).
 END = b" "
 CHARS_PER_RANGE = 4_000_000
-TOKENS_AT_ONCE = 2_000_000
+TOKENS_AT_ONCE = 1_000_000
 WORDS_AT_ONCE = 1_000_000
 
 
@@ -287,7 +287,7 @@ def _count_pairs(train: DataFrame, model: Model) -> DataFrame:
             end = ids[words.index(END)]
             tokens = ids[flat]
             kept.append(_contexts(tokens, sizes, end) << 32 | tokens)
-            if sum(map(len, kept)) >= 2 * TOKENS_AT_ONCE:
+            if sum(map(len, kept)) >= 4 * TOKENS_AT_ONCE:
                 yield from cut()
                 kept = []
         if kept:
