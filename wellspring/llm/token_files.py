@@ -19,6 +19,7 @@ from __future__ import annotations
 import os
 import sys
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -38,6 +39,8 @@ HEADER = np.dtype(
      ("exceptions", "<u8"), ("packed", "<u8")]
 )
 INDEX = np.dtype([("start", "<u8"), ("low", "<u4"), ("first_exception", "<u4"), ("width", "u1")])
+#: Letters below this have simple lower cases, the same in every library.
+LATIN_END = "\u0130"
 DOC = np.dtype([("id", "<i8"), ("known", "u1"), ("tokens", "<u8")])
 
 
@@ -118,29 +121,49 @@ def read_segment(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return docs, unpack(index, packed, places, high)[: int(head["tokens"])]
 
 
-def piece_encoder(path: str, kept: int = 1 << 19) -> Callable[[list[str]], list[bytes]]:
+def piece_encoder(path: str, kept: int = 1 << 18) -> Callable[[list[str]], list[bytes]]:
     """Encodes texts to little-endian unsigned 32-bit ids, each distinct piece once.
 
     The tokenizer's pattern never joins signs across a space or a line end and its other steps
-    do not look across them either, so a text's ids are those of the pieces between them. Ids of
-    up to ``kept`` pieces stay in the worker process for later tasks; then all are forgotten.
-    A-Z may be lowered beforehand in ASCII texts, as the tokenizer does that itself.
+    do not look across them either, so a text's ids are those of the pieces between them. For
+    the same reason a full stop or comma that ends a piece behind a letter is encoded apart, and
+    Latin letters are lowered beforehand, as the tokenizer does that itself. Ids of the last
+    ``kept`` new pieces, and of as many before them, stay in the worker process for later tasks.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     workers = sys.__dict__.setdefault("_wellspring_pieces", {})
-    tokenizer, known = workers.setdefault(path, (Tokenizer.from_file(path), {}))
+    tokenizer, known, older = workers.setdefault(path, (Tokenizer.from_file(path), {"": b""}, {}))
 
-    def encode(texts: list[str]) -> list[bytes]:
-        split = [(t.lower() if t.isascii() else t).replace("\n", " ").split(" ") for t in texts]
+    def plain(piece: str) -> tuple[str, str]:
+        """A piece that has the same ids, without the sign at its end, and that sign."""
+        if piece.isascii() or max(piece) < LATIN_END:
+            piece = piece.lower()
+        return (piece[:-1], piece[-1]) if piece[-1] in ".," and piece[-2:-1].isalpha() else (piece, "")
+
+    def learn(pieces: set[str]) -> None:
         if len(known) > kept:
+            older.clear()
+            older.update(known)
             known.clear()
-        new = list({piece for pieces in split for piece in pieces if piece not in known})
+            known[""] = b""
+        again = pieces & older.keys()
+        known.update((piece, older[piece]) for piece in again)
+        forms = {piece: plain(piece) for piece in pieces - again if piece}
+        new = list({part for form in forms.values() for part in form} - known.keys())
         for i in range(0, len(new), 4096):
             part = new[i : i + 4096]
             for piece, found in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[piece] = np.array(found.ids, "<u4").tobytes()
+                known[piece] = array("I", found.ids).tobytes()
+        known.update((piece, known[base] + known[end]) for piece, (base, end) in forms.items())
+
+    def encode(texts: list[str]) -> list[bytes]:
+        split = [(t.lower() if t.isascii() else t).replace("\n", " ").split(" ") for t in texts]
+        learn(set().union(*split) - known.keys())
+        # a clearing of the table forgets pieces of this call that were known before it
+        if missing := set().union(*split) - known.keys():
+            learn(missing)
         get = known.__getitem__
         return [b"".join(map(get, pieces)) for pieces in split]
 
