@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from wellspring.llm.shared import ROW_KEY, WORD, materialise, whole_text, with_row_key
 
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
-BLOCK, BUCKET_ROWS, SLOTS_PER_SHARD = 128, 4096, 1024
+BLOCK, BUCKET_ROWS, SLOTS_PER_SHARD, SLOTS_AT_ONCE = 128, 4096, 1024, 100_000
 MULTIPLIERS = (2147483647, 2147483629, 2147483587, 2147483579)
 MOST_BROADCAST = 100_000
 
@@ -71,11 +71,13 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SH
 
 def slot_table(sources: DataFrame) -> DataFrame:
     """``source_no``, ``pass``, ``slot``, ``block``, ``shard`` of every slot of the mix."""
-    step = 100_000
+    step = SLOTS_AT_ONCE
+    # a given number of partitions, since few source rows become many slots behind the exchange
+    parts = sources.agg(F.sum(F.ceil(F.col("slots") / step))).first()[0] or 1
     shards = F.ceil(F.sum("slots").over(Window.partitionBy()) / SLOTS_PER_SHARD)
     rows = sources.withColumn("shards", shards).where("slots > 0")
     rows = rows.withColumn("_from", F.explode_outer(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1, F.lit(step).cast("long"))))
-    rows = rows.repartition("source_no", "_from")
+    rows = rows.repartition(int(parts), "source_no", "_from")
     upto = F.least(F.col("_from") + step, F.col("slots")) - 1
     rows = rows.withColumn("slot", F.explode_outer(F.sequence(F.col("_from"), upto)))
     which = F.floor(F.col("slot") / F.col("blocks")).cast("long")
@@ -130,7 +132,8 @@ def mixing_report(docs: DataFrame) -> DataFrame:
     taken = F.sum(F.coalesce(F.col("uses"), F.lit(0)) * (F.col("until") - F.col("from")))
     keys = ["source_no", "start", "doc_id", "size", "source_size", "target"]
     # documents of size 0 share a start, so they are counted and spread out again
-    summed = pieces.join(uses, ["source_no", "block"], "left").groupBy(*keys).agg(
+    # by its few source rows the planner takes the table of slots for small: it must not be broadcast
+    summed = pieces.join(uses.hint("merge"), ["source_no", "block"], "left").groupBy(*keys).agg(
         F.coalesce(taken, F.lit(0)).cast("long").alias("taken"),
         F.sum(F.when(F.col("size") == 0, 1).otherwise(0)).alias("_empty"),
     )
@@ -152,7 +155,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     sources = materialise(source_targets(sized), "mix-targets")
     slots = slot_table(sources).select("source_no", "block", "pass")
     pieces = pieces_of(placed_documents(sized, sources)).where("block IS NOT NULL")
-    shown = pieces.join(slots, ["source_no", "block"]).groupBy(*ROW_KEY, "start", "source_no", "size", "pass").agg(
+    shown = pieces.join(slots.hint("merge"), ["source_no", "block"]).groupBy(*ROW_KEY, "start", "source_no", "size", "pass").agg(
         F.sort_array(F.collect_list(F.struct("from", "until"))).alias("spans"), F.sum(F.col("until") - F.col("from")).alias("_words")
     )
     # repeated rows have one text, so one of them may carry the shows of all
