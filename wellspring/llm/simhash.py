@@ -130,7 +130,9 @@ def near_links(hashes: DataFrame) -> DataFrame:
     pairs = pairs.withColumn("other_tile", F.explode(F.sequence(F.lit(0), F.col("other_tiles") - 1)))
     pairs = pairs.where((F.col("other") > F.col("cell")) | (F.col("other_tile") >= F.col("tile")))
     right = tiles.select(F.col("cell").alias("other"), F.col("tile").alias("other_tile"), F.col("hashes").alias("other_hashes"))
-    met = pairs.select("cell", "tile", "other", "other_tile").join(tiles, ["cell", "tile"]).join(right, ["other", "other_tile"])
+    # the planner takes the pairs, made from few cells, for small: they must not be broadcast
+    left = pairs.select("cell", "tile", "other", "other_tile").join(tiles.hint("merge"), ["cell", "tile"])
+    met = left.join(right.hint("merge"), ["other", "other_tile"])
     return met.select("hashes", "other_hashes").mapInArrow(_links, "u long, v long").distinct()
 
 
@@ -150,6 +152,8 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
         F.when(F.col("root").isNull(), F.col("first")).otherwise(F.col("_least")).alias("component_id"),
         F.coalesce("root", "hash").alias("class"),
     )
+    # stored, so that the last join has plain exchanges on both sides and a hot hash can be split
+    classes = materialise(classes, "simhash-classes")
     return hashes.join(classes, "hash").select("doc_id", *ROW_KEY, "hash", "component_id", "class")
 
 
