@@ -32,6 +32,8 @@ from wellspring.llm.shared import TOKENIZERS, scratch_path
 
 BLOCK, KEPT = 128, 0.9
 SEGMENT_TOKENS = 1 << 19
+#: Pieces whose ids a worker remembers; a piece takes about 150 bytes.
+KEPT_PIECES = 1 << 19
 END_ID = 2
 MAGIC = 0x31464F50
 HEADER = np.dtype(
@@ -121,7 +123,7 @@ def read_segment(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return docs, unpack(index, packed, places, high)[: int(head["tokens"])]
 
 
-def piece_encoder(path: str, kept: int = 1 << 18) -> Callable[[list[str]], list[bytes]]:
+def piece_encoder(path: str, kept: int = KEPT_PIECES) -> Callable[[list[str]], list[bytes]]:
     """Encodes texts to little-endian unsigned 32-bit ids, each distinct piece once.
 
     The tokenizer's pattern never joins signs across a space or a line end and its other steps
@@ -171,7 +173,7 @@ def piece_encoder(path: str, kept: int = 1 << 18) -> Callable[[list[str]], list[
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID,
-                      segment_tokens: int = SEGMENT_TOKENS) -> None:
+                      segment_tokens: int = SEGMENT_TOKENS, kept: int = KEPT_PIECES) -> None:
     """Writes the ids of all texts, each followed by ``end_id``, in ascending ``doc_id`` order.
 
     One shuffle by ranges of the id; the partitions are the files, in order.
@@ -181,7 +183,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     end = np.array([end_id], "<u4").tobytes()
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, seq = piece_encoder(tokenizer), TaskContext.get().partitionId(), 0
+        encode, part, seq = piece_encoder(tokenizer, kept), TaskContext.get().partitionId(), 0
         ids, chunks, held = [], [], 0
 
         def cut() -> pa.RecordBatch:
@@ -251,9 +253,10 @@ def read_token_files(spark, path: str) -> DataFrame:
     )
 
 
-def token_file_report(docs: DataFrame, tokenizer: str | None = None, path: str | None = None) -> DataFrame:
+def token_file_report(docs: DataFrame, tokenizer: str | None = None, path: str | None = None,
+                      kept: int = KEPT_PIECES) -> DataFrame:
     """Writes the files, reads them back and returns one row per document."""
     spark = docs.sparkSession
     path = path or scratch_path(spark, "token-files")
-    write_token_files(docs, path, tokenizer or f"{TOKENIZERS}/word_bpe_49k.json")
+    write_token_files(docs, path, tokenizer or f"{TOKENIZERS}/word_bpe_49k.json", kept=kept)
     return read_token_files(spark, path)
