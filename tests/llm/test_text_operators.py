@@ -195,6 +195,20 @@ def test_token_files(docs, empty, rows, monkeypatch):
     assert token_files.token_file_report(empty).count() == 0
 
 
+def test_more_new_pieces_than_are_remembered(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_files.sys, "_wellspring_pieces", {}, raising=False)
+    path = f"{token_files.TOKENIZERS}/word_bpe_49k.json"
+    tokenizer, encode = Tokenizer.from_file(path), token_files.piece_encoder(path, kept=5)
+    slices = [[f"the word{i}x{j}, of {i * j}." for j in range(20)] for i in range(4)]
+    for texts in [*slices, *slices, ["the", ""]]:
+        expected = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+        assert encode(texts) == expected
+    _, known, older = token_files.sys._wellspring_pieces[path]
+    assert len(known) <= 6 and len(older) <= 5
+
+
 # -- toxicity --------------------------------------------------------------------------------
 
 

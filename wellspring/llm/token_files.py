@@ -21,6 +21,7 @@ import sys
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -145,11 +146,6 @@ def piece_encoder(path: str, kept: int = KEPT_PIECES) -> Callable[[list[str]], l
         return (piece[:-1], piece[-1]) if piece[-1] in ".," and piece[-2:-1].isalpha() else (piece, "")
 
     def learn(pieces: set[str]) -> None:
-        if len(known) > kept:
-            older.clear()
-            older.update(known)
-            known.clear()
-            known[""] = b""
         again = pieces & older.keys()
         known.update((piece, older[piece]) for piece in again)
         forms = {piece: plain(piece) for piece in pieces - again if piece}
@@ -160,14 +156,21 @@ def piece_encoder(path: str, kept: int = KEPT_PIECES) -> Callable[[list[str]], l
                 known[piece] = array("I", found.ids).tobytes()
         known.update((piece, known[base] + known[end]) for piece, (base, end) in forms.items())
 
+    def trim() -> None:
+        """Only between calls: a call needs all its pieces, however many they are."""
+        if len(known) > kept:
+            older.clear()
+            older.update(islice(reversed(known.items()), kept))
+            known.clear()
+            known[""] = b""
+
     def encode(texts: list[str]) -> list[bytes]:
         split = [(t.lower() if t.isascii() else t).replace("\n", " ").split(" ") for t in texts]
         learn(set().union(*split) - known.keys())
-        # a clearing of the table forgets pieces of this call that were known before it
-        if missing := set().union(*split) - known.keys():
-            learn(missing)
         get = known.__getitem__
-        return [b"".join(map(get, pieces)) for pieces in split]
+        encoded = [b"".join(map(get, pieces)) for pieces in split]
+        trim()
+        return encoded
 
     return encode
 
