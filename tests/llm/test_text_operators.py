@@ -325,6 +325,53 @@ def test_proximity(spark):
     assert {r.doc_id for r in decontamination.proximity_matches(postings, windows).collect()} == {1, 2}
 
 
+def close_windows(rows, items, slop=3, share=0.8):
+    """(doc_id, windows, items) of proximity matches, by trying every place for every window."""
+    windows = collections.defaultdict(set)
+    for item, text in items:
+        words = plain_words(text)
+        for i in range(max(1, len(words) - 9) if words else 0):
+            windows[tuple(words[i : i + 10])].add(str(item))
+    out = collections.Counter()
+    for doc_id, text in rows:
+        words, n, found = plain_words(text), 0, set()
+        for window, ids in windows.items():
+            width, least = len(window) + 2 * slop, math.ceil(round(share * len(set(window)), 9))
+            places = range(max(1, len(words) - width + 1))
+            if any(len(set(window) & set(words[i : i + width])) >= least for i in places):
+                n, found = n + 1, found | ids
+        out[(doc_id, n, len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), n > 0)] += 1
+    return out
+
+
+@pytest.mark.parametrize("most", [200_000, -1])
+def test_proximity_report_equals_every_place_tried(spark, monkeypatch, most):
+    monkeypatch.setattr(decontamination, "MOST_BROADCAST", most)
+    rng = random.Random(3)
+    common = [f"w{i}" for i in range(60)]
+    prose = lambda n: " ".join(rng.choice(common) for _ in range(n))
+    passage = "alpha w1 gamma w2 epsilon w3 eta w4 iota w5"
+    altered = [
+        passage.replace("alpha", "other").replace("w5", "w6"),  # the rarest and one more
+        " ".join(reversed(passage.split())),
+        passage.replace("gamma", "x y z gamma").replace("eta", "v t eta"),
+        passage.replace("gamma", "x").replace("eta", "v").replace("iota", "t"),  # one word too few
+        passage,
+    ]
+    rows = [(i * 100 + k, f"{prose(20 + k)} {text} {prose(30)}") for i, text in enumerate(altered) for k in range(0, 36, 3)]
+    rows += [(1000 + i, prose(rng.randint(0, 90))) for i in range(40)] + [(None, passage), (7, None), (8, ""), (9, "quill"), rows[0]]
+    items = [(1, passage), (2, prose(14)), (3, "quill"), (4, "w1 w2 w1 w2 w1"), (5, None), (6, "never w7 w8 w9 w10 w11 w12 w13 w14 w15 " + prose(12))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    frame = spark.createDataFrame(items, "item_id long, text string")
+    report = decontamination.proximity_report(docs, frame)
+    expected = close_windows(rows, items)
+    assert bag(report, "doc_id", "n_near_windows", "n_near_items", "near_items_sha256", "near") == expected
+    assert {r.doc_id // 100 for r in report.where("near AND doc_id < 500").collect()} >= {0, 1, 2, 4}
+    assert report.where("contaminated AND NOT near").count() == 0
+    exact = decontamination.decontamination_report(docs, frame)
+    assert bag(report, *exact.columns) == bag(exact, *exact.columns)
+
+
 # -- near duplicates -------------------------------------------------------------------------
 
 

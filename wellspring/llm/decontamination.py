@@ -5,8 +5,11 @@ overlap by a window, so that a posting carries what stands around it. The occurr
 benchmark's terms are counted over all documents; each window of the benchmark is looked up by
 its rarest term. The postings of those terms are stored (document, position, the surrounding
 words); taking the term's place in the window off its position gives the window's start, and
-the offsets whose words are the window's, all of them, are exact matches. Proximity matches
-come from the same postings: most of a window's words, in any order, close by.
+the offsets whose words are the window's, all of them, are exact matches.
+
+Proximity matches hold most of a window's distinct words, in any order, close by. Of n words k
+are needed, so one of the n - k + 1 rarest must be there; the postings of these are not stored
+but checked as the stretches are read.
 
 Only built-in functions are used. The benchmark's tables are broadcast up to
 ``MOST_BROADCAST`` rows and joined by a shuffle beyond.
@@ -24,6 +27,7 @@ from pyspark.sql import functions as F
 from wellspring.llm.shared import LOWER, UPPER, materialise, whole_text, with_row_key
 
 WINDOW, STRETCH = 10, 32
+SLOP, SHARE = 3, 0.8
 MOST_BROADCAST = 200_000
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Capital letters beyond A-Z, which ``lower`` would change and this definition keeps.
@@ -50,16 +54,17 @@ def windows_of(items: DataFrame, window: int = WINDOW) -> DataFrame:
     return cut.groupBy("words").agg(F.collect_set("item").alias("items")).withColumn("phrase", F.array_join("words", " "))
 
 
-def stretches_of(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def stretches_of(docs: DataFrame, window: int = WINDOW, overlap: int | None = None) -> DataFrame:
     """The stored words: ``doc_id``, ``text_key``, ``n_words``, ``base``, ``lead`` and the words ``around``.
 
-    A stretch begins at word ``base``; ``lead`` words before it and ``window`` - 1 behind it come
-    along. A document without words has one row without a stretch.
+    A stretch begins at word ``base``; ``lead`` words before it and ``overlap`` behind it come
+    along. Exact matches need an overlap of ``window`` - 1, proximity matches twice the slop more,
+    which is the default. A document without words has one row without a stretch.
     """
     text = whole_text()
     rows = docs.select("doc_id", F.xxhash64(text).alias("text_key"), words_of(text).alias("words"))
     rows = rows.withColumn("n_words", F.size("words").cast("long"))
-    overlap = window - 1
+    overlap = window - 1 + 2 * SLOP if overlap is None else overlap
     starts = F.when(F.col("n_words") > 0, F.sequence(F.lit(0), F.size("words") - 1, F.lit(STRETCH)))
     rows = rows.withColumn(
         "stretch",
@@ -127,15 +132,57 @@ def exact_matches(postings: DataFrame, windows: DataFrame) -> DataFrame:
     return candidates.join(_small(known), ["term", "place", "phrase"]).select("doc_id", "text_key", "start", "size", "items")
 
 
-def proximity_matches(postings: DataFrame, windows: DataFrame, slop: int = 3, share: float = 0.8) -> DataFrame:
-    """Places where ``share`` of a window's distinct words stand within it or ``slop`` words beside it, in any order."""
-    moved = postings.select("doc_id", "text_key", "term", "position", "inside", "around")
-    met = moved.join(_small(windows.select("term", "place", "phrase", "words", "items")), "term")
-    first = F.col("inside") - F.col("place")
-    low = F.greatest(first - slop, F.lit(0))
-    near = F.slice("around", low + 1, first - low + F.size("words") + slop)
-    enough = F.size(F.array_intersect("words", near)) >= F.ceil(F.size(F.array_distinct("words")) * F.lit(share))
-    return met.where(enough).select("doc_id", "text_key", (F.col("position") - F.col("place")).alias("start"), "phrase", "items").distinct()
+def _needed(words: str, share: float) -> Column:
+    return F.ceil(F.round(F.size(F.array_distinct(words)) * F.lit(share), 9)).cast("int")
+
+
+def proximity_terms(windows: DataFrame, counts: DataFrame, share: float = SHARE) -> DataFrame:
+    """``phrase``, ``words``, ``items`` and ``term``: of each window the rarest terms, one of which every match holds."""
+    terms = windows.select("phrase", F.explode_outer(F.array_distinct("words")).alias("term")).join(counts, "term")
+    ranked = terms.groupBy("phrase").agg(F.sort_array(F.collect_list(F.struct("n", "term"))).alias("by_n"))
+    rare = F.slice("by_n", F.lit(1), F.size("by_n") - _needed("words", share) + 1)
+    rows = windows.select("phrase", "words", "items").join(ranked, "phrase")
+    return rows.select("phrase", "words", "items", F.explode_outer(rare).alias("r")).select(
+        "phrase", "words", "items", F.col("r.term").alias("term")
+    )
+
+
+def near_postings(stretches: DataFrame, windows: DataFrame, slop: int = SLOP, share: float = SHARE) -> DataFrame:
+    """Postings, not stored, that have the hashes of enough words of a window of their term around them."""
+    hashes = lambda words: F.transform(words, lambda w: F.xxhash64(w))
+    core = F.slice("around", F.col("lead") + 1, F.lit(STRETCH))
+    said = stretches.where("base IS NOT NULL").withColumn("keys", hashes(F.col("around")))
+    said = said.select("doc_id", "text_key", "base", "lead", "around", "keys", F.posexplode_outer(core).alias("at", "term"))
+    said = said.withColumn("inside", F.col("lead") + F.col("at"))
+    asked = windows.select(
+        F.col("term").alias("_term"), F.array_distinct(hashes(F.col("words"))).alias("_keys"),
+        # two words with one hash count once, so as many fewer are asked for
+        (_needed("words", share) - F.size(F.array_distinct("words")) + F.size(F.array_distinct(hashes(F.col("words"))))).alias("_needed"),
+        (F.size("words") - 1 + 2 * slop).alias("_reach"),
+    )
+    low = F.greatest(F.col("inside") - F.col("_reach"), F.lit(0))
+    near = F.slice("keys", low + 1, F.col("inside") - low + F.col("_reach") + 1)
+    enough = F.size(F.array_intersect("_keys", near)) >= F.col("_needed")
+    found = said.join(_small(asked), (F.col("term") == F.col("_term")) & enough, "left_semi")
+    return found.select("term", "doc_id", "text_key", (F.col("base") + F.col("at")).alias("position"), "inside", "around")
+
+
+def proximity_matches(postings: DataFrame, windows: DataFrame, slop: int = SLOP, share: float = SHARE) -> DataFrame:
+    """Places where ``share`` of a window's distinct words stand, in any order, within its length and twice ``slop``.
+
+    ``start`` is the first word of the first such place around the posting.
+    """
+    met = postings.select("doc_id", "text_key", "term", "position", "inside", "around")
+    met = met.join(_small(windows.select("term", "phrase", "words", "items")), "term")
+    reach = F.size("words") - 1 + 2 * slop
+    met = met.withColumn("low", F.greatest(F.col("inside") - reach, F.lit(0)))
+    met = met.withColumn("near", F.slice("around", F.col("low") + 1, F.col("inside") - F.col("low") + reach + 1))
+    held = lambda said: F.size(F.array_intersect("words", said)) >= _needed("words", share)
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("near") - reach))
+    places = F.filter(starts, lambda at: held(F.slice("near", at, reach + 1)))
+    met = met.where(held(F.col("near"))).withColumn("at", F.get(places, F.lit(0))).where("at IS NOT NULL")
+    start = F.col("position") - F.col("inside") + F.col("low") + F.col("at") - 1
+    return met.select("doc_id", "text_key", start.alias("start"), "phrase", "items").distinct()
 
 
 def _covered(spans: Column) -> Column:
@@ -150,7 +197,7 @@ def _covered(spans: Column) -> Column:
 
 def find_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
     """The stored stretches of ``docs`` and the exact matches in them."""
-    stretches = materialise(stretches_of(docs, window), "stretches")
+    stretches = materialise(stretches_of(docs, window, window - 1), "stretches")
     windows = materialise(windows_of(items, window), "benchmark-windows")
     windows = materialise(looked_up(windows, term_counts(stretches, windows)), "benchmark-lookup")
     return stretches, exact_matches(postings_of(stretches, windows), windows)
@@ -163,22 +210,63 @@ def without_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW
     return with_row_key(docs).join(_small(texts), "_text_key", "left_anti").select(*docs.columns)
 
 
-def decontamination_report(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """One row per document: its words, the words inside occurrences of windows, and the items found."""
-    stretches, found = find_matches(docs, items, window)
+def _exact_hits(found: DataFrame) -> DataFrame:
     span = F.struct("start", (F.col("start") + F.col("size")).alias("stop"))
     hits = found.groupBy("doc_id", "text_key").agg(
         F.array_sort(F.collect_set(span)).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("ids")
     )
-    hits = hits.select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), _covered(F.col("spans")).alias("_hit"), "ids")
+    return hits.select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), _covered(F.col("spans")).alias("_hit"), "ids")
+
+
+def _near_hits(near: DataFrame) -> DataFrame:
+    return near.groupBy(F.col("doc_id").alias("_near_doc"), F.col("text_key").alias("_near_key")).agg(
+        F.size(F.collect_set("phrase")).cast("long").alias("_near"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("near_ids"),
+    )
+
+
+def _sha256(ids: Column) -> Column:
+    return F.sha2(F.array_join(ids, ",").cast("binary"), 256)
+
+
+def _report(stretches: DataFrame, found: DataFrame, near: DataFrame | None = None) -> DataFrame:
     rows = stretches.where("base IS NULL OR base = 0").select("doc_id", "text_key", "n_words")
-    joined = rows.join(hits, rows["doc_id"].eqNullSafe(hits["_doc"]) & (rows["text_key"] == hits["_key"]), "left")
-    ids = F.coalesce("ids", F.array().cast("array<string>"))
-    return joined.select(
+    hits = _exact_hits(found)
+    rows = rows.join(hits, rows["doc_id"].eqNullSafe(hits["_doc"]) & (rows["text_key"] == hits["_key"]), "left")
+    none = F.array().cast("array<string>")
+    ids = F.coalesce("ids", none)
+    columns = [
         F.col("doc_id").cast("long").alias("doc_id"),
         "n_words",
         F.coalesce("_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.size(ids).cast("long").alias("n_items"),
-        F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"),
+        _sha256(ids).alias("items_sha256"),
         (F.coalesce("_hit", F.lit(0)) > 0).alias("contaminated"),
-    )
+    ]
+    if near is not None:
+        hits, near_ids = _near_hits(near), F.coalesce("near_ids", none)
+        rows = rows.join(hits, F.col("doc_id").eqNullSafe(hits["_near_doc"]) & (F.col("text_key") == hits["_near_key"]), "left")
+        columns += [
+            F.coalesce("_near", F.lit(0)).cast("long").alias("n_near_windows"),
+            F.size(near_ids).cast("long").alias("n_near_items"),
+            _sha256(near_ids).alias("near_items_sha256"),
+            (F.coalesce("_near", F.lit(0)) > 0).alias("near"),
+        ]
+    return rows.select(*columns)
+
+
+def decontamination_report(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """One row per document: its words, the words inside occurrences of windows, and the items found."""
+    return _report(*find_matches(docs, items, window))
+
+
+def proximity_report(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = SLOP, share: float = SHARE) -> DataFrame:
+    """``decontamination_report`` and the windows and items that have proximity matches; an exact match is one too."""
+    stretches = materialise(stretches_of(docs, window, window - 1 + 2 * slop), "stretches")
+    windows = materialise(windows_of(items, window), "benchmark-windows")
+    counts = materialise(term_counts(stretches, windows), "benchmark-terms")
+    exact = materialise(looked_up(windows, counts), "benchmark-lookup")
+    rare = materialise(proximity_terms(windows, counts, share), "benchmark-rare")
+    found = exact_matches(postings_of(stretches, exact), exact)
+    near = proximity_matches(near_postings(stretches, rare, slop, share), rare, slop, share)
+    return _report(stretches, found, near)

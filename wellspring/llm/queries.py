@@ -55,6 +55,11 @@ def op5_decontamination(spark, sf_dir):
     return decontamination.decontamination_report(documents(spark, sf_dir), benchmark(spark, sf_dir))
 
 
+@query
+def op5_proximity(spark, sf_dir):
+    return decontamination.proximity_report(documents(spark, sf_dir), benchmark(spark, sf_dir))
+
+
 @query
 def op6_near_duplicates(spark, sf_dir):
     return simhash.near_duplicate_report(documents(spark, sf_dir))
