@@ -130,6 +130,13 @@ def test_checksums_and_context(spark):
     assert [r.spans for r in pii.personal_data_report(frame).orderBy("doc_id").collect()] == ["", "", "national_id:4:15", "", ""]
 
 
+def test_numbers_beside_other_words_and_numbers(spark):
+    texts = ["GB82 WEST 1234 5698 7654 32 Please", "DE89 3704 0044 0532 0130 00 BIC COBADEFF", "SSN 123-45-6789, 234-56-7890", "GB82 WEST 1234 5698 7654 33 Please"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = [r.spans for r in pii.personal_data_report(frame).orderBy("doc_id").collect()]
+    assert found == ["iban:0:27", "iban:0:27", "national_id:4:15,national_id:17:28", ""]
+
+
 # -- language --------------------------------------------------------------------------------
 
 

@@ -19,6 +19,22 @@ from wellspring.llm.shared import let, whole_text
 
 BASE_KINDS = ["email", "ip", "card", "phone"]
 ADDED_KINDS = ["iban", "national_id"]
+#: Signs of an account number by country.
+IBAN_SIGNS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK",
+    21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC",
+    32: "LC", 33: "RU",
+}
+
+
+def _iban_pattern() -> str:
+    """A country's number of signs; where that does not fit, or for other countries, 15 to 34."""
+    sized = [rf"(?:{'|'.join(names.split())})[0-9][0-9](?:\x20?[A-Z0-9]){{{n - 4}}}(?![A-Za-z0-9])" for n, names in IBAN_SIGNS.items()]
+    return rf"(?=[A-Z][A-Z][0-9][0-9])(?:{'|'.join(sized)}|[A-Z][A-Z][0-9][0-9](?:\x20?[A-Z0-9]){{11,30}})"
+
+
 #: Possessive forms give the same matches as greedy ones here and need no stack. The guards in
 #: front of email and ip only skip starts inside a run that has failed already.
 PATTERNS = {
@@ -26,7 +42,7 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)",
     "card": r"[0-9](?:[\x20-]?+[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"[A-Z][A-Z][0-9][0-9](?:\x20?[A-Z0-9]){11,30}",
+    "iban": _iban_pattern(),
     "national_id": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
 }
 #: A text without the sign cannot match.
@@ -154,7 +170,12 @@ def _found(kind: str, text: Column) -> Column:
         return scored if kind in BASE_KINDS else F.filter(scored, lambda s: s["score"] >= THRESHOLD)
 
     def one(s: Column) -> Column:
-        near = F.lower(F.concat_ws(" ", s["before"], s["after"])).rlike(CONTEXT[kind])
+        before, after = s["before"], s["after"]
+        if kind in ADDED_KINDS:  # a neighbour of the kind does not end the context
+            chars = F.least(s["start"], F.lit(CONTEXT_CHARS))
+            before = text.substr(s["start"] - chars + 1, chars)
+            after = text.substr(s["start"] + F.length(s["match"]) + 1, F.lit(CONTEXT_CHARS))
+        near = F.lower(F.concat_ws(" ", before, after)).rlike(CONTEXT[kind])
         score = F.least(F.lit(1.0), F.lit(PRIOR[kind]) + F.when(near, F.lit(CONTEXT_GAIN)).otherwise(F.lit(0.0)))
         return F.struct(
             s["start"].alias("start"),
