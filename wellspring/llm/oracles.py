@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wellspring.llm import mixing, pii
+from wellspring.llm import filter_audit, merkle, mixing, pii
 
 SQL: dict[str, str] = {}
 
@@ -149,3 +149,89 @@ shown AS (SELECT row_no, sum(uses * (b - a)) AS taken FROM pieces JOIN uses USIN
 SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken
 FROM placed LEFT JOIN shown USING (row_no)
 """
+
+
+def _merkle_field(name: str, value: str = "") -> str:
+    value = value or f"CAST({name} AS VARCHAR)"
+    return f"CASE WHEN {name} IS NULL THEN '-' ELSE strlen({value}) || ':' || {value} END"
+
+
+_MERKLE_ROW = [_merkle_field(name) for name in merkle.FIELDS]
+_MERKLE_MORE = [_merkle_field(name, "CAST(CAST(n_chars AS HUGEINT) + 1 AS VARCHAR)" if name == "n_chars" else "") for name in merkle.FIELDS]
+#: DuckDB has no crc32: eight shift steps a byte over the digits of the id.
+_CRC32 = """list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: ascii(x)::UBIGINT)),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)::UBIGINT[]), lambda a, i: xor(a >> 1, (a & 1) * 3988292384::UBIGINT)))"""
+
+SQL["op12_merkle_manifest"] = f"""
+WITH RECURSIVE leaves AS (
+  SELECT row_number() OVER () AS row_no, doc_id, lang, leaf,
+         CASE WHEN xor({_CRC32}, 4294967295::UBIGINT) % {merkle.TAMPER} = 0 AND n_chars IS NOT NULL THEN changed ELSE leaf END AS used
+  FROM (SELECT doc_id, lang, n_chars, sha256({" || ".join(_MERKLE_ROW)}) AS leaf, sha256({" || ".join(_MERKLE_MORE)}) AS changed FROM documents)),
+placed AS (
+  SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree, count(*) OVER (PARTITION BY lang) AS n,
+         row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, row_no) - 1 AS i
+  FROM leaves),
+nodes(tree, level, n, i, h) AS (
+  SELECT tree, 0, n, i, leaf FROM placed
+  UNION ALL
+  SELECT tree, level + 1, (n + 1) // 2, i // 2, sha256(string_agg(h, '' ORDER BY i))
+  FROM nodes WHERE n > 1 GROUP BY tree, level, n, i // 2),
+tops AS (SELECT tree, h AS subroot FROM nodes WHERE n = 1),
+upper(level, n, i, h) AS (
+  SELECT 0, count(*) OVER (), tree, subroot FROM tops
+  UNION ALL
+  SELECT level + 1, (n + 1) // 2, i // 2, sha256(string_agg(h, '' ORDER BY i)) FROM upper WHERE n > 1 GROUP BY level, n, i // 2),
+steps AS (
+  SELECT a.tree, a.level, a.n, a.i, b.h AS sibling FROM nodes a LEFT JOIN nodes b ON b.tree = a.tree AND b.level = a.level AND b.i = xor(a.i, 1) WHERE a.n > 1),
+upper_steps AS (
+  SELECT a.level, a.n, a.i, b.h AS sibling FROM upper a LEFT JOIN upper b ON b.level = a.level AND b.i = xor(a.i, 1) WHERE a.n > 1),
+climb(row_no, tree, level, n, i, h, proof) AS (
+  SELECT row_no, tree, 0, n, i, used, '' FROM placed
+  UNION ALL
+  SELECT c.row_no, c.tree, c.level + 1, (c.n + 1) // 2, c.i // 2,
+         sha256(CASE WHEN c.i % 2 = 1 THEN s.sibling || c.h ELSE c.h || coalesce(s.sibling, '') END), c.proof || coalesce(s.sibling, '')
+  FROM climb c JOIN steps s ON s.tree = c.tree AND s.level = c.level AND s.i = c.i),
+over_all(row_no, level, n, i, h, proof) AS (
+  SELECT row_no, 0, (SELECT count(*) FROM tops), tree, h, proof FROM climb WHERE n = 1
+  UNION ALL
+  SELECT c.row_no, c.level + 1, (c.n + 1) // 2, c.i // 2,
+         sha256(CASE WHEN c.i % 2 = 1 THEN s.sibling || c.h ELSE c.h || coalesce(s.sibling, '') END), c.proof || coalesce(s.sibling, '')
+  FROM over_all c JOIN upper_steps s ON s.level = c.level AND s.i = c.i)
+SELECT p.doc_id, p.leaf, t.subroot, r.h AS root, sha256(c.proof) AS proof_sha256, c.h AS folded_root, c.h = r.h AS verified
+FROM placed p JOIN tops t USING (tree) JOIN over_all c ON c.row_no = p.row_no AND c.n = 1 JOIN upper r ON r.n = 1
+"""
+
+SQL["op13_filter_audit"] = f"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+split AS (SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM d),
+failed AS (
+  SELECT doc_id, part,
+         (CASE WHEN len(ws) < {filter_audit.LEAST_WORDS} THEN 'A' ELSE '' END)
+      || (CASE WHEN 100 * len(list_distinct(ws)) < {filter_audit.LEAST_DISTINCT} * len(ws) THEN 'B' ELSE '' END)
+      || (CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > {filter_audit.MOST_CAPITALS} * length(t) THEN 'C' ELSE '' END)
+      || (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END)
+      || (CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END) AS fails
+  FROM split),
+marked AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+sets AS (
+  SELECT part, fails, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic
+  FROM failed LEFT JOIN marked USING (doc_id) GROUP BY part, fails),
+letters AS (SELECT unnest(string_split('{filter_audit.FILTERS}', '')) AS l),
+orders AS (
+  SELECT a.l || b.l || c.l || d.l || e.l AS o FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5),
+steps AS (SELECT o, s, substr(o, s, 1) AS f, substr(o, 1, s - 1) AS earlier FROM orders, (SELECT unnest(range(1, 6)) AS s)),
+met AS (
+  SELECT part, o, s, f, n, good, toxic, contains(fails, f) AS has, fails = f AS only_it,
+         len(list_intersect(string_split(fails, ''), list_filter(string_split(earlier, ''), lambda x: x <> ''))) > 0 AS before
+  FROM sets, steps),
+counted AS (
+  SELECT part, o, s, f, sum(CASE WHEN NOT has AND NOT before THEN n ELSE 0 END) AS kept, sum(CASE WHEN has AND NOT before THEN n ELSE 0 END) AS removed,
+         sum(CASE WHEN has AND before THEN n ELSE 0 END) AS redundant, sum(CASE WHEN only_it THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN has AND NOT before THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN has AND NOT before THEN toxic ELSE 0 END) AS toxic_lost
+  FROM met GROUP BY part, o, s, f)
+SELECT part, o AS filter_order, CAST(s AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+       CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM counted
+"""

@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from wellspring.llm import (
     chunk_fingerprints,
     decontamination,
+    filter_audit,
     kneser_ney,
     language,
+    merkle,
     mixing,
     oracles,
     pii,
+    quality,
     simhash,
     token_counts,
     token_files,
@@ -84,3 +87,18 @@ def op9_language_model(spark, sf_dir):
 def op10_token_counts(spark, sf_dir):
     counts = materialise(token_counts.length_counts(documents(spark, sf_dir)), "length-counts")
     return token_counts.with_suffix_sums(counts)
+
+
+@query
+def op11_quality(spark, sf_dir):
+    return quality.quality_report(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+@query
+def op12_merkle_manifest(spark, sf_dir):
+    return merkle.manifest_report(documents(spark, sf_dir))
+
+
+@query
+def op13_filter_audit(spark, sf_dir):
+    return filter_audit.filter_audit(documents(spark, sf_dir), labels(spark, sf_dir))
