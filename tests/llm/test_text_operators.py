@@ -5,6 +5,8 @@ import hashlib
 import math
 import random
 import re
+import sys
+import time
 import zlib
 
 import numpy as np
@@ -24,6 +26,7 @@ from wellspring.llm import (
     token_files,
     toxicity,
 )
+from wellspring.llm.shared import remembered
 
 WORDS = "the of and river stone cloud ember quill lantern harbor meadow Éclair straße niño 12 x1".split()
 
@@ -205,15 +208,43 @@ def test_token_files(docs, empty, rows, monkeypatch):
 def test_more_new_pieces_than_are_remembered(monkeypatch):
     from tokenizers import Tokenizer
 
-    monkeypatch.setattr(token_files.sys, "_wellspring_pieces", {}, raising=False)
+    monkeypatch.setattr(sys, "_wellspring_memory", {}, raising=False)
     path = f"{token_files.TOKENIZERS}/word_bpe_49k.json"
-    tokenizer, encode = Tokenizer.from_file(path), token_files.piece_encoder(path, kept=5)
+    tokenizer, encode = Tokenizer.from_file(path), token_files.piece_encoder(path, kept=2000)
     slices = [[f"the word{i}x{j}, of {i * j}." for j in range(20)] for i in range(4)]
     for texts in [*slices, *slices, ["the", ""]]:
         expected = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
         assert encode(texts) == expected
-    _, known, older = token_files.sys._wellspring_pieces[path]
-    assert len(known) <= 6 and len(older) <= 5
+    (pieces,) = sys._wellspring_memory.values()
+    assert pieces.size <= 2000 and sum(token_files.ENTRY_BYTES + len(p) for p in pieces.older) <= 1000
+    remembered("another operator", dict)
+    assert list(sys._wellspring_memory) == ["another operator"]
+
+
+def test_ids_of_random_unicode_are_those_of_the_tokenizer(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(sys, "_wellspring_memory", {}, raising=False)
+    path = f"{token_files.TOKENIZERS}/word_bpe_49k.json"
+    tokenizer, encode = Tokenizer.from_file(path), token_files.piece_encoder(path)
+    rng = random.Random(8)
+    letters = [chr(c) for c in range(32, 0x2100)] + [chr(rng.randrange(0x2100, 0x2FFFF)) for _ in range(4000)]
+    odd = "\u0130\u0307\u1e9e\u01c5\u03a3\u0345\u00df\u0149\u1f88\ufb03\u200d\u00ad\u0301\n\t\x85\u2028"
+    texts = ["BELED\u0130YES\u0130.", "GAZ\u0130, ve", "\u0130.", "a\u0307. \u01c5, \u1e9e."]
+    for _ in range(3000):
+        signs = [rng.choice(letters) if rng.random() < 0.4 else rng.choice(odd + "abcdEFG  .,.,") for _ in range(rng.randint(1, 40))]
+        texts.append("".join(c for c in signs if not 0xD800 <= ord(c) < 0xE000))
+    expected = [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [t for t, a, b in zip(texts, encode(texts), expected) if a != b] == []
+
+
+def test_slices_are_bounded_by_their_signs(monkeypatch):
+    monkeypatch.setattr(token_files, "SIGNS_AT_ONCE", 10)
+    texts = ["a" * 4, "b" * 4, "c" * 30, "", "d", "e" * 11, ""]
+    found = list(token_files._slices(texts))
+    assert found == [(0, 2), (2, 3), (3, 5), (5, 6), (6, 7)]
+    assert list(token_files._slices([])) == []
+    assert list(token_files._slices([""] * 2050)) == [(0, 1024), (1024, 2048), (2048, 2050)]
 
 
 # -- toxicity --------------------------------------------------------------------------------
@@ -240,6 +271,16 @@ def test_segments_are_the_maximal_ones():
         assert np.allclose([f[0] for f in found], [e[0] for e in expected])
 
 
+@pytest.mark.parametrize("fall", [0.5, 1.0, 2.0])
+def test_scan_of_a_long_text_is_linear(fall):
+    """Each positive word is followed by a fall; with the middle one the totals stay level."""
+    words = ["up", "down"] * 100_000
+    start = time.time()
+    found = toxicity.segments(words, {}, {"up": 1.0, "down": -fall})
+    assert time.time() - start < 5
+    assert len(found) == (1 if fall < 1 else 100_000)
+
+
 def test_toxicity_learns_and_holds_out(spark):
     rng = random.Random(5)
     rows, marks = [], []
@@ -310,7 +351,7 @@ def test_decontamination(spark, docs, empty, rows):
     assert decontamination.decontamination_report(empty, frame).count() == 0
     clean = decontamination.without_contaminated(docs, frame.where("item_id IS NOT NULL"))
     assert clean.columns == docs.columns
-    assert bag(clean, "doc_id") == collections.Counter(k[0] for k in expected.elements() if not k[5])
+    assert bag(clean, "doc_id") == collections.Counter((k[0],) for k in expected.elements() if not k[5])
 
 
 def test_shuffled_lookup_gives_the_same(spark, docs, monkeypatch):

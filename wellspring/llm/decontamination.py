@@ -30,13 +30,12 @@ WINDOW, STRETCH = 10, 32
 SLOP, SHARE = 3, 0.8
 MOST_BROADCAST = 200_000
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Capital letters beyond A-Z, which ``lower`` would change and this definition keeps.
-OTHER_CAPITALS = r"[\p{javaUpperCase}\p{javaTitleCase}&&[^A-Z]]"
+BEYOND_ASCII = r"[^\x00-\x7F]"
 
 
 def words_of(text: Column) -> Column:
-    """Words of a text, A-Z in lower case; the quick ``lower`` serves where it changes nothing else."""
-    lowered = F.when(F.regexp_like(text, F.lit(OTHER_CAPITALS)), F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))
+    """Words of a text, A-Z in lower case; the quick ``lower`` serves ASCII, where it changes nothing else."""
+    lowered = F.when(F.regexp_like(text, F.lit(BEYOND_ASCII)), F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))
     return F.array_remove(F.split(lowered, GAP, -1), "")
 
 

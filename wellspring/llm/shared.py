@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import sys
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,3 +74,16 @@ def discard(spark: SparkSession, path: str) -> None:
     """Delete a scratch folder of this library on whatever file system it lies."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def remembered(owner: str, make: Callable):
+    """What ``owner`` keeps in this worker process from task to task.
+
+    Workers serve one stage after the other, so there is one such table: when another owner
+    asks, the former one's is released. ``make`` builds it.
+    """
+    held = sys.__dict__.setdefault("_wellspring_memory", {})
+    if owner not in held:
+        held.clear()
+        held[owner] = make()
+    return held[owner]

@@ -17,11 +17,9 @@ other columns are ignored.
 from __future__ import annotations
 
 import os
-import sys
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +27,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wellspring.llm.shared import TOKENIZERS, scratch_path
+from wellspring.llm.shared import TOKENIZERS, remembered, scratch_path
 
 BLOCK, KEPT = 128, 0.9
 SEGMENT_TOKENS = 1 << 19
-#: Pieces whose ids a worker remembers; a piece takes about 150 bytes.
-KEPT_PIECES = 1 << 19
+#: Bytes of the pieces, with their ids, that a worker remembers; about twice as much at a change of generations.
+KEPT_BYTES = 80 << 20
+#: Bytes that an entry takes beside the signs of the piece and the ids.
+ENTRY_BYTES = 200
+#: Signs of text that are encoded at once, or one document.
+SIGNS_AT_ONCE = 4 << 20
 END_ID = 2
 MAGIC = 0x31464F50
 HEADER = np.dtype(
@@ -124,59 +126,95 @@ def read_segment(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return docs, unpack(index, packed, places, high)[: int(head["tokens"])]
 
 
-def piece_encoder(path: str, kept: int = KEPT_PIECES) -> Callable[[list[str]], list[bytes]]:
+def _ends_in_letter(piece: str) -> bool:
+    """Whether the piece, lowered, ends in a letter; a capital may become a letter and a mark."""
+    return piece != "" and piece[-1].isalpha() and piece[-1].lower()[-1].isalpha()
+
+
+class _Pieces:
+    """Pieces with their ids: those met since the last change of generations, and those before."""
+
+    def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
+        self.size = 0
+
+
+def piece_encoder(path: str, kept: int = KEPT_BYTES) -> Callable[[list[str]], list[bytes]]:
     """Encodes texts to little-endian unsigned 32-bit ids, each distinct piece once.
 
     The tokenizer's pattern never joins signs across a space or a line end and its other steps
     do not look across them either, so a text's ids are those of the pieces between them. For
     the same reason a full stop or comma that ends a piece behind a letter is encoded apart, and
-    Latin letters are lowered beforehand, as the tokenizer does that itself. Ids of the last
-    ``kept`` new pieces, and of as many before them, stay in the worker process for later tasks.
+    Latin letters are lowered beforehand, as the tokenizer does that itself. Pieces of about the
+    last ``kept`` bytes stay in the worker process until another operator works there.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    workers = sys.__dict__.setdefault("_wellspring_pieces", {})
-    tokenizer, known, older = workers.setdefault(path, (Tokenizer.from_file(path), {"": b""}, {}))
+    pieces = remembered(f"token pieces of {path}", lambda: _Pieces(path))
+    known, older = pieces.known, pieces.older
 
     def plain(piece: str) -> tuple[str, str]:
         """A piece that has the same ids, without the sign at its end, and that sign."""
         if piece.isascii() or max(piece) < LATIN_END:
             piece = piece.lower()
-        return (piece[:-1], piece[-1]) if piece[-1] in ".," and piece[-2:-1].isalpha() else (piece, "")
+        return (piece[:-1], piece[-1]) if piece[-1] in ".," and _ends_in_letter(piece[:-1]) else (piece, "")
+
+    def enter(found: dict[str, bytes]) -> None:
+        known.update(found)
+        pieces.size += ENTRY_BYTES * len(found) + sum(map(len, found)) + sum(map(len, found.values()))
 
-    def learn(pieces: set[str]) -> None:
-        again = pieces & older.keys()
-        known.update((piece, older[piece]) for piece in again)
-        forms = {piece: plain(piece) for piece in pieces - again if piece}
+    def learn(wanted: set[str]) -> None:
+        again = wanted & older.keys()
+        enter({piece: older[piece] for piece in again})
+        forms = {piece: plain(piece) for piece in wanted - again if piece}
         new = list({part for form in forms.values() for part in form} - known.keys())
         for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for piece, found in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[piece] = array("I", found.ids).tobytes()
-        known.update((piece, known[base] + known[end]) for piece, (base, end) in forms.items())
+            some = new[i : i + 4096]
+            found = pieces.tokenizer.encode_batch_fast(some, add_special_tokens=False)
+            enter({piece: array("I", f.ids).tobytes() for piece, f in zip(some, found)})
+        enter({piece: known[base] + known[end] for piece, (base, end) in forms.items() if piece not in known})
 
     def trim() -> None:
         """Only between calls: a call needs all its pieces, however many they are."""
-        if len(known) > kept:
+        if pieces.size > kept:
             older.clear()
-            older.update(islice(reversed(known.items()), kept))
+            size = 0
+            for piece, ids in reversed(known.items()):
+                size += ENTRY_BYTES + len(piece) + len(ids)
+                if size > kept // 2:
+                    break
+                older[piece] = ids
             known.clear()
-            known[""] = b""
+            known[""], pieces.size = b"", 0
 
     def encode(texts: list[str]) -> list[bytes]:
         split = [(t.lower() if t.isascii() else t).replace("\n", " ").split(" ") for t in texts]
         learn(set().union(*split) - known.keys())
         get = known.__getitem__
-        encoded = [b"".join(map(get, pieces)) for pieces in split]
+        encoded = [b"".join(map(get, parts)) for parts in split]
         trim()
         return encoded
 
     return encode
 
 
+def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """First and behind-last number of the texts to encode at once."""
+    start = size = 0
+    for i, text in enumerate(texts):
+        if i > start and (size + len(text) > SIGNS_AT_ONCE or i - start == 1024):
+            yield start, i
+            start, size = i, 0
+        size += len(text)
+    if start < len(texts):
+        yield start, len(texts)
+
+
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID,
-                      segment_tokens: int = SEGMENT_TOKENS, kept: int = KEPT_PIECES) -> None:
+                      segment_tokens: int = SEGMENT_TOKENS, kept: int = KEPT_BYTES) -> None:
     """Writes the ids of all texts, each followed by ``end_id``, in ascending ``doc_id`` order.
 
     One shuffle by ranges of the id; the partitions are the files, in order.
@@ -197,10 +235,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
 
         schema = pa.schema([("part", pa.int64()), ("seq", pa.int64()), ("n_tokens", pa.int64()), ("data", pa.binary())])
         for batch in batches:
-            for start in range(0, batch.num_rows, 1024):
-                some = batch.slice(start, 1024)
-                texts = [t or "" for t in some.column(1).to_pylist()]
-                for doc_id, chunk in zip(some.column(0).to_pylist(), encode(texts)):
+            texts, doc_ids = [t or "" for t in batch.column(1).to_pylist()], batch.column(0).to_pylist()
+            for start, stop in _slices(texts):
+                for doc_id, chunk in zip(doc_ids[start:stop], encode(texts[start:stop])):
                     ids.append(doc_id)
                     chunks.append(chunk + end)
                     held += len(chunk) // 4 + 1
@@ -219,6 +256,7 @@ def read_token_files(spark, path: str) -> DataFrame:
     files = spark.read.parquet(path)
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembered("token files", dict)  # the pieces are written, so their memory is free
         for batch in batches:
             for part, seq, data in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 docs, ids = read_segment(data)
@@ -257,7 +295,7 @@ def read_token_files(spark, path: str) -> DataFrame:
 
 
 def token_file_report(docs: DataFrame, tokenizer: str | None = None, path: str | None = None,
-                      kept: int = KEPT_PIECES) -> DataFrame:
+                      kept: int = KEPT_BYTES) -> DataFrame:
     """Writes the files, reads them back and returns one row per document."""
     spark = docs.sparkSession
     path = path or scratch_path(spark, "token-files")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wellspring.llm.shared import fold, materialise
+from wellspring.llm.shared import fold, materialise, remembered
 
 #: Bounds of the fit: rows of each label that are counted, and that calibrate.
 ROWS_PER_LABEL, CALIBRATION_ROWS = 10_000, 3_000
@@ -69,9 +69,11 @@ def segments(words: list[str], scores: dict[str, float], cache: dict[str, float]
     """All maximal scoring segments (score, first word, behind the last word) of positive score.
 
     Keeps, per open segment, the total left of it and up to its end; each new one is merged back
-    to the nearest segment that begins lower, as long as that one ends lower too.
+    to the nearest segment that begins lower, as long as that one ends lower too. A segment
+    remembers where that nearest one stands, so what a search has passed is not passed again
+    and the work is linear in the number of words.
     """
-    total, at, kept = 0.0, 0, []  # kept: (left, right, start, stop)
+    total, kept = 0.0, []  # kept: (left, right, start, stop, nearest earlier one that begins lower)
     for i, word in enumerate(words):
         s = cache.get(word)
         if s is None:
@@ -81,16 +83,15 @@ def segments(words: list[str], scores: dict[str, float], cache: dict[str, float]
             continue
         left, right, start = total, total + s, i
         total = right
-        while True:
-            j = len(kept) - 1
-            while j >= 0 and kept[j][0] >= left:
-                j -= 1
-            if j < 0 or kept[j][1] >= right:
-                break
-            left, start = kept[j][0], kept[j][2]
+        j = len(kept) - 1
+        while j >= 0 and kept[j][0] >= left:
+            j = kept[j][4]
+        while j >= 0 and kept[j][1] < right:
+            left, _, start, _, before = kept[j]
             del kept[j:]
-        kept.append((left, right, start, i + 1))
-    return [(right - left, start, stop) for left, right, start, stop in kept]
+            j = before
+        kept.append((left, right, start, i + 1, j))
+    return [(right - left, start, stop) for left, right, start, stop, _ in kept]
 
 
 def _balanced(rows: DataFrame, key: str, most: int) -> DataFrame:
@@ -212,7 +213,8 @@ def fit(train: DataFrame) -> ToxicityModel:
     scores = model.scores
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, float] = {}
+        cache: dict[str, float] = remembered("word scores", dict)
+        cache.clear()
         for batch in batches:
             texts = [words_of(t) for t in batch.column(1).to_pylist()]
             found = [[s for s, _, _ in segments(w, scores, cache)] for w in texts]
@@ -249,7 +251,8 @@ def find_passages(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     passage = pa.struct([("first_word", pa.int32()), ("behind_last", pa.int32()), ("score", pa.float64())])
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, float] = {}
+        cache: dict[str, float] = remembered("word scores", dict)
+        cache.clear()
         w = model.weights
         for batch in batches:
             chances, passages = [], []
@@ -272,7 +275,8 @@ def without_toxic(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     at, w, scores = docs.columns.index("text"), model.weights, model.scores
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, float] = {}
+        cache: dict[str, float] = remembered("word scores", dict)
+        cache.clear()
         for batch in batches:
             chances = [_chance(t, scores, cache, model, w)[0] for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array([c < CUTOFF for c in chances], pa.bool_()))
