@@ -33,9 +33,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of the mix; their documents as read back.
 
-    The workers serve all stages, so they remember fewer pieces here.
+    The workers serve all stages, so they remember less here.
     """
-    return token_files.token_file_report(docs, kept=1 << 18)
+    return token_files.token_file_report(docs, kept=40 << 20)
 
 
 STAGES = [
