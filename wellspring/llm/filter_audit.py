@@ -1,6 +1,6 @@
 """How filters interact, from a sparse document-term matrix.
 
-Tasks cut their documents into shards of about ``SHARD_BYTES`` of text. A shard holds its part
+Tasks cut their documents into shards of about ``SHARD_BYTES`` of text or ``SHARD_ROWS`` rows. A shard holds its part
 of the matrix in compressed sparse rows (row starts, columns, counts) over a local dictionary of
 its words, and lists its distinct texts by digest with the least id of each. Words are then
 encoded globally: they are dealt by hash, and a word's number is its rank in its hash bucket,
@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import permutations
 
@@ -41,8 +41,8 @@ FILTERS = "ABCDE"
 LEAST_WORDS, LEAST_DISTINCT, MOST_CAPITALS = 50, 65, 5  # words; per cent of the words; per cent of the signs
 SYMBOLS = b"#$%&*|"
 CAPITALS, FOLLOWING = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", bytes(range(0x80, 0xC0))
-SHARD_BYTES = 16 << 20
-WORD_BUCKETS = 1024
+SHARD_BYTES, SHARD_ROWS = 16 << 20, 1 << 16
+WORD_BUCKETS = 1 << 20  # a bucket holds few words, so sorting by bucket orders nearly all
 MATRIX, WORD, TEXT = 0, 1, 2
 SHARDS = (
     "shard long, kind int, local int, key binary, first long, ids array<long>, parts array<string>, "
@@ -50,11 +50,26 @@ SHARDS = (
 )
 
 
+def compressed(values: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers, their bytes apart, since most high bytes are zero."""
+    from zstandard import ZstdCompressor
+
+    return ZstdCompressor(level=1).compress(values.view("u1").reshape(-1, 4).T.tobytes())
+
+
+def decompressed(data: bytes) -> np.ndarray:
+    from zstandard import ZstdDecompressor
+
+    planes = np.frombuffer(ZstdDecompressor().decompress(data), "u1").reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
+
+
 class _Shard:
     """Rows of the matrix under a local dictionary."""
 
     def __init__(self) -> None:
-        self.words: dict[bytes, int] = {}
+        self.words: defaultdict[bytes, int] = defaultdict()
+        self.words.default_factory = self.words.__len__
         self.texts: dict[bytes, int] = {}
         self.firsts: list[int | None] = []
         self.ids, self.parts, self.flags, self.text_of = [], [], [], []
@@ -63,9 +78,10 @@ class _Shard:
 
     def add(self, doc_id: int | None, part: str, text: bytes) -> None:
         found = Counter(text.split())  # bytes know the six ASCII spaces only
-        number = self.words.setdefault
-        self.columns.append(np.array([number(w, len(self.words)) for w in found], np.uint32))
-        self.counts.append(np.fromiter(found.values(), np.uint32, len(found)))
+        columns = np.fromiter(map(self.words.__getitem__, found), np.uint32, len(found))
+        order = columns.argsort()
+        self.columns.append(np.diff(columns[order], prepend=np.uint32(0)))  # gaps of a row, which compress well
+        self.counts.append(np.fromiter(found.values(), np.uint32, len(found))[order])
         self.lengths.append(len(found))
         points = len(text.translate(None, FOLLOWING))
         capitals = len(text) - len(text.translate(None, CAPITALS))
@@ -84,11 +100,11 @@ class _Shard:
     def batches(self, number: int) -> Iterator[pa.RecordBatch]:
         """One row with the matrix, one for each word and one for each text."""
         empty = lambda n: [None] * n
-        packed = lambda parts, kind: np.concatenate(parts or [np.empty(0, kind)]).astype(kind).tobytes()
-        starts = np.concatenate([[0], np.cumsum(self.lengths)]).astype("<i8").tobytes()
+        packed = lambda parts, kind: compressed(np.concatenate(parts or [np.empty(0, kind)]).astype(kind))
+        starts = np.concatenate([[0], np.cumsum(self.lengths)]).astype("<i8")
         yield self._batch(
             [number], [MATRIX], [None], [None], [None], [self.ids], [self.parts], [bytes(self.flags)],
-            [np.array(self.text_of, "<u4").tobytes()], [starts], [packed(self.columns, "<u4")], [packed(self.counts, "<u4")],
+            [np.array(self.text_of, "<u4").tobytes()], [starts.tobytes()], [packed(self.columns, "<u4")], [packed(self.counts, "<u4")],
         )
         for kind, keys, firsts in ((WORD, list(self.words), None), (TEXT, list(self.texts), self.firsts)):
             for i in range(0, len(keys), 1 << 16):
@@ -115,7 +131,7 @@ def write_shards(docs: DataFrame, path: str, shard_bytes: int = SHARD_BYTES) ->
                 some = batch.slice(start, 256)
                 for row in zip(*(some.column(i).to_pylist() for i in range(3))):
                     shard.add(*row)
-                    if shard.size >= shard_bytes:
+                    if shard.size >= shard_bytes or len(shard.ids) >= SHARD_ROWS:
                         yield from shard.batches(part << 32 | seq)
                         shard, seq = _Shard(), seq + 1
         if shard.ids:
@@ -145,6 +161,15 @@ def global_numbers(shards: DataFrame) -> DataFrame:
     return columns(words, WORD).union(columns(texts, TEXT))
 
 
+def _nonzero(columns: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Number of distinct columns of each row. A shard has at most ``SHARD_ROWS`` rows, so row and column fit 63 bits."""
+    rows = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    entries = np.sort(rows << 46 | columns)
+    first = np.ones(len(entries), bool)
+    first[1:] = entries[1:] != entries[:-1]
+    return np.bincount(entries[first] >> 46, minlength=len(starts) - 1)
+
+
 def matrix_rows(shards: DataFrame) -> DataFrame:
     """One row per document: ``doc_id``, ``part``, ``n_words``, ``n_distinct`` and the bits of its failed filters, ``mask``."""
 
@@ -158,14 +183,13 @@ def matrix_rows(shards: DataFrame) -> DataFrame:
         first, unknown = np.zeros(int(texts.sum()), np.int64), np.ones(int(texts.sum()), bool)
         first[local[texts]], unknown[local[texts]] = value[texts], null[texts]
         read = lambda name, kind: np.frombuffer(row[name].as_py(), kind)
-        starts, counts = read("starts", "<i8"), read("counts", "<u4").astype(np.int64)
-        columns = number[read("columns", "<u4")]  # of the global matrix
-        sums = np.diff(np.concatenate([[0], np.cumsum(counts)])[starts])
-        rows = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-        order = np.lexsort((columns, rows))
-        new = np.ones(len(order), bool)
-        new[1:] = (np.diff(rows[order]) != 0) | (np.diff(columns[order]) != 0)
-        nonzero = np.bincount(rows[order][new], minlength=len(starts) - 1)
+        starts, counts = read("starts", "<i8"), decompressed(row["counts"].as_py()).astype(np.int64)
+        passed = np.concatenate([[0], np.cumsum(decompressed(row["columns"].as_py()), dtype=np.int64)])
+        local_columns = passed[1:] - np.repeat(passed[starts[:-1]], np.diff(starts))
+        columns = number[local_columns]  # of the global matrix
+        total = np.concatenate([[0], np.cumsum(counts)])
+        sums = total[starts[1:]] - total[starts[:-1]]
+        nonzero = _nonzero(columns, starts)
         ids = row["ids"].values
         known, doc_id = ids.is_valid().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy()
         text = read("texts", "<u4")
