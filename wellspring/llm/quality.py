@@ -40,12 +40,12 @@ from pyspark.sql import functions as F
 
 from wellspring.llm.shared import fold, materialise
 
-WORD_BUCKETS, SHAPE_BUCKETS = 1 << 15, 1 << 12
+WORD_BUCKETS, SHAPE_BUCKETS = 1 << 14, 1 << 12
 FEATURES = WORD_BUCKETS + SHAPE_BUCKETS + 1
 SHAPE_ORDERS = (2, 4)
 #: Bound of the fit: labelled rows of each label that span the space and vote.
 ROWS_PER_LABEL = 2000
-DIMENSIONS, ROUNDS, SHARDS = 48, 4, 4
+DIMENSIONS, ROUNDS, SHARDS = 32, 4, 4
 NEIGHBOURS, POWER, CUTOFF = 25, 8, 0.3
 SIGNS_AT_ONCE, TEXTS_AT_ONCE = 1 << 20, 256
 
@@ -151,20 +151,23 @@ def _sample(train: DataFrame, most: int) -> tuple[DataFrame, float]:
 
 def _basis(table: DataFrame, dimensions: int) -> np.ndarray:
     """Leading right singular vectors of the sample's features, signs fixed."""
-    basis = np.linalg.qr(np.random.default_rng(0).standard_normal((FEATURES, dimensions)))[0].astype("<f4")
+    basis = np.random.default_rng(0).standard_normal((FEATURES, dimensions), "f4")
 
     def times(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = np.zeros((FEATURES, dimensions))
-        for at, x in zip(pdf.sort_values(["doc_id", "at"])["at"], pdf.sort_values(["doc_id", "at"])["x"]):
+        basis, out = shared.value, np.zeros((FEATURES, dimensions))
+        pdf = pdf.sort_values(["doc_id", "at"])
+        for at, x in zip(pdf["at"], pdf["x"]):
             at, x = np.frombuffer(at, "<i4"), np.frombuffer(x, "<f4").astype(np.float64)
             out[at] += np.outer(x, x @ basis[at])
         return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "product": [out.astype("<f4").tobytes()]})
 
     for _ in range(ROUNDS):
+        shared = table.sparkSession.sparkContext.broadcast(basis)
         parts = table.groupBy("shard").applyInPandas(times, "shard long, product binary").collect()  # SHARDS rows
         product = np.zeros((FEATURES, dimensions))
         for row in sorted(parts, key=lambda r: r["shard"]):
             product += np.frombuffer(row["product"], "<f4").reshape(FEATURES, dimensions)
+        shared.destroy()
         basis = np.linalg.qr(product)[0].astype("<f4")
     return basis * np.sign(basis[np.abs(basis).argmax(axis=0), np.arange(dimensions)])
 
