@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from checks.oracles import SQL, q, statistics
-from checks.oracles_telemetry import EVIDENCE, FLAT, RULE_FIELDS, TELEMETRY, fired, r
-from wellspring.constants import RULE_DEVICE_TYPES, STATISTICS
+from checks.oracles_telemetry import EVIDENCE, RULE_FIELDS, TELEMETRY, fired, r
+from wellspring.constants import PRIMARY_SENSORS, RULE_DEVICE_TYPES, STATISTICS
 
 PAYLOAD = ["P-PDG", "P-TPT", "T-TPT", "P-MON-CKP", "T-JUS-CKP", "P-JUS-CKGL", "T-JUS-CKGL", "QGL", "P-ANULAR", "T-PDG", "ABER-CKP",
            *(name.strip('"') for name in RULE_FIELDS)]
@@ -23,27 +23,34 @@ SELECT id, device_id, coalesce(array_to_string(d, ', '), '') AS rules, coalesce(
 SQL["stream_stats"] = f"""WITH {TELEMETRY} SELECT device_id, count(*) AS total_records, count(fault) AS total_faults,
   max("timestamp") AS last_timestamp FROM tel GROUP BY device_id"""
 
-WINDOW_SENSORS = ["P-PDG", "P-TPT", "T-TPT", "P-MON-CKP"]
+RANGES = {"T-": ("-50", "400"), "P-": ("-1e4", "2e8"), "AB": ("0", "100"), "QG": ("0", "1e4")}
 
 
 def physical(s: str) -> str:
-    low, high = ("-50", "400") if s.startswith("T-") else ("-1e4", "2e8")
-    return f"CASE WHEN {q(s)} BETWEEN {low} AND {high} THEN {q(s)} END AS {q(s)}"
+    low, high = RANGES[s[:2]]
+    source = q(s) if s in PAYLOAD else "CAST(NULL AS DOUBLE)"
+    return f"CASE WHEN {source} BETWEEN {low} AND {high} THEN {source} END AS {q(s)}"
 
 
 CARRIED = ", ".join(
     f"last_value({q(s)} IGNORE NULLS) OVER (PARTITION BY device_id, window_start ORDER BY ts, event_id "
-    f"ROWS BETWEEN 60 PRECEDING AND CURRENT ROW) AS {q(s)}" for s in WINDOW_SENSORS)
+    f"ROWS BETWEEN 60 PRECEDING AND CURRENT ROW) AS {q(s)}" for s in PRIMARY_SENSORS)
 SHOWN = ", ".join(
-    f"CASE WHEN {q(s + '_mean')} IS NOT NULL THEN round({q(f'{s}_{t}')}, 8) END AS {q(f'{s}_{t}')}"
-    for t in STATISTICS for s in WINDOW_SENSORS)
-SQL["stream_windows"] = f"""WITH {FLAT},
+    f"CASE WHEN {q(s + '_mean')} IS NOT NULL THEN round({q(f'{s}_{t}')}, 4) END AS {q(f'{s}_{t}')}"
+    for t in STATISTICS for s in PRIMARY_SENSORS)
+DAILY = f"""WITH {TELEMETRY},
 c AS (SELECT device_id, "timestamp" AS ts, id AS event_id, time_bucket(INTERVAL '1 day', "timestamp") AS window_start,
-      {', '.join(physical(s) for s in WINDOW_SENSORS)} FROM flat),
+      {', '.join(physical(s) for s in PRIMARY_SENSORS)} FROM tel),
 f AS (SELECT device_id, window_start, ts, event_id, {CARRIED} FROM c),
-a AS (SELECT device_id, window_start, count(*) AS readings, {', '.join(statistics(s) for s in WINDOW_SENSORS)} FROM f GROUP BY ALL)
-SELECT device_id, window_start, readings, {SHOWN} FROM a
-WHERE window_start + INTERVAL 1 DAY <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR FROM events)"""
+a AS (SELECT device_id, window_start, count(*) AS readings, {', '.join(statistics(s) for s in PRIMARY_SENSORS)} FROM f GROUP BY ALL)
+SELECT device_id, window_start, readings, {SHOWN} FROM a"""
+SQL["stream_windows"] = DAILY
+SQL["window_features_online_daily"] = DAILY
+SQL["stream_fleet_stats"] = f"""WITH {TELEMETRY} SELECT count(*) AS total_records, count(fault) AS total_faults, count(DISTINCT device_id) AS total_wells,
+  strftime(min("timestamp"), '%Y-%m-%d %H:%M:%S.%f') AS first_timestamp, strftime(max("timestamp"), '%Y-%m-%d %H:%M:%S.%f') AS last_timestamp,
+  count(stored_report) AS total_diagnoses FROM tel"""
+SQL["stream_fault_counts"] = f'WITH {TELEMETRY} SELECT fault, count(*) AS "rows" FROM tel WHERE fault IS NOT NULL GROUP BY fault'
+SQL["stream_device_fault_counts"] = f'WITH {TELEMETRY} SELECT device_id, count(*) AS "rows" FROM tel WHERE fault IS NOT NULL GROUP BY device_id'
 THROTTLE = f"""WITH RECURSIVE {TELEMETRY},
 a AS MATERIALIZED (SELECT device_id, id, "timestamp" AS ts, fault AS event,
   row_number() OVER (PARTITION BY device_id ORDER BY "timestamp", id) AS n FROM tel WHERE fault IS NOT NULL),
@@ -58,3 +65,22 @@ walk AS (
 SELECT device_id, id, event, fired FROM walk"""
 SQL["throttle_diagnoses"] = THROTTLE
 SQL["stream_throttle"] = THROTTLE
+SERVED = """
+m AS (SELECT id, device_id, device_type, "timestamp", fault AS told, "T-TPT" < 50 AS cold,
+             round_even(least(1.0, abs("T-TPT" - 50) / 250), 4) AS confidence
+      FROM tel WHERE id % 11 <> 0 AND id % 13 <> 0)"""
+SQL["stream_answers"] = f"""WITH {TELEMETRY}, {SERVED}
+SELECT id, TRUE AS acknowledged, device_id AS well_id, cold AS alert, CASE WHEN cold THEN 'anomaly' ELSE 'normal' END AS status,
+       CASE WHEN cold THEN 'Hydrate in Production Line' ELSE 'Normal Operation' END AS event, confidence FROM m"""
+SQL["stream_service"] = f"""WITH RECURSIVE {TELEMETRY}, {SERVED},
+a AS MATERIALIZED (SELECT device_id, id, "timestamp" AS ts, row_number() OVER (PARTITION BY device_id ORDER BY "timestamp", id) AS n FROM m WHERE cold),
+walk AS (
+  SELECT device_id, id, n, TRUE AS fired, ts AS last_ts FROM a WHERE n = 1
+  UNION ALL
+  SELECT a.device_id, a.id, a.n, a.ts >= w.last_ts + INTERVAL 1 DAY, CASE WHEN a.ts >= w.last_ts + INTERVAL 1 DAY THEN a.ts ELSE w.last_ts END
+  FROM walk w JOIN a ON a.device_id = w.device_id AND a.n = w.n + 1)
+SELECT m.id, m.device_id, device_type, "timestamp", CASE WHEN cold THEN 'Hydrate in Production Line' ELSE told END AS fault,
+       CASE WHEN cold THEN 'anomaly' ELSE 'normal' END AS status, CASE WHEN cold THEN 'Hydrate in Production Line' ELSE 'Normal Operation' END AS predicted_event,
+       confidence, coalesce(fired, FALSE) AS fired, CASE WHEN fired THEN 'Check ' || m.device_id || ': Hydrate in Production Line' END AS diagnosis,
+       CAST("timestamp" AS DATE) AS day
+FROM m LEFT JOIN walk USING (id)"""

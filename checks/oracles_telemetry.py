@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from checks.oracles import EVENTS, FEATURES, SQL, q, statistics
+from checks.oracles import EVENTS, FEATURES, SQL, q
 from wellspring.constants import (
     AVERAGED_SENSORS,
     CORRELATED_SENSORS,
@@ -239,24 +239,8 @@ decided AS (
 SQL["fuse_decision"] = f"WITH {DECISIONS} SELECT * FROM decided"
 SQL["alert_flags"] = f"""WITH {DECISIONS} SELECT id, TRUE AS acknowledged, well_id, status = 'anomaly' AS alert, status, predicted_event AS event,
   round(confidence, 6) AS confidence FROM decided"""
-
-ONLINE = ["P-PDG", "P-TPT", "P-MON-CKP", "QGL", "T-JUS-CKP"]
-
-
-def physical_flat(s: str) -> str:
-    low, high = {"T": ("-50", "400"), "Q": ("0", "1e4")}.get(s[0], ("-1e4", "2e8"))
-    return f"CASE WHEN {q(s)} BETWEEN {low} AND {high} THEN {q(s)} END AS {q(s)}"
-
-
-ONLINE_FILLED = ", ".join(
-    f"last_value({q(s)} IGNORE NULLS) OVER (PARTITION BY device_id, window_start ORDER BY ts, event_id "
-    f"ROWS BETWEEN 60 PRECEDING AND CURRENT ROW) AS {q(s)}" for s in ONLINE)
-ONLINE_OUT = ", ".join(
-    f"CASE WHEN {q(s + '_mean')} IS NOT NULL THEN round({q(f'{s}_{t}')}, 8) END AS {q(f'{s}_{t}')}"
-    for t in STATISTICS for s in ONLINE)
-SQL["window_features_online_daily"] = f"""WITH {FLAT},
-c AS (SELECT device_id, "timestamp" AS ts, id AS event_id, time_bucket(INTERVAL '1 day', "timestamp") AS window_start,
-      {', '.join(physical_flat(s) for s in ONLINE)} FROM flat),
-f AS (SELECT device_id, window_start, ts, event_id, {ONLINE_FILLED} FROM c),
-a AS (SELECT device_id, window_start, count(*) AS readings, {', '.join(statistics(s) for s in ONLINE)} FROM f GROUP BY ALL)
-SELECT device_id, window_start, readings, {ONLINE_OUT} FROM a"""
+SQL["incident_surroundings"] = f"""WITH {FLAT}
+SELECT i.id AS incident_id, f.id, f.device_id, round(date_diff('microsecond', i."timestamp", f."timestamp") / 1e6, 6) AS offset_seconds,
+  {', '.join(f'round(f.{q(s)}, 6) AS {q(s)}' for s in ('P-TPT', 'T-TPT', 'P-MON-CKP'))}
+FROM flat i JOIN flat f ON f.device_id = i.device_id AND f."timestamp" BETWEEN i."timestamp" - INTERVAL 6 HOUR AND i."timestamp" + INTERVAL 6 HOUR
+WHERE i.fault IS NOT NULL"""

@@ -11,6 +11,8 @@ from wellspring.operators import telemetry as views
 from wellspring.sources import messages as msg
 from wellspring.sources import sinks
 from wellspring.streaming import jobs
+from wellspring.streaming.ledger import Ledger
+from wellspring.streaming.service import ThrottleService
 
 START = dt.datetime(2024, 3, 1)
 
@@ -175,8 +177,9 @@ def test_throttle_stream_keeps_state(spark, tmp_path):
         part_rows = rows[part * 3:(part + 1) * 3]
         anomalies(spark, part_rows).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     source = jobs.read_stream(spark, str(tmp_path / "in"), anomalies(spark, []).schema, files=1)
-    path = jobs.drain(spark, "t", lambda p, c: jobs.append_rows(jobs.throttle_stream(source, 30), p, c))
-    got = flags(spark.read.parquet(path))
+    service = ThrottleService(Ledger(spark, str(tmp_path / "out")), 30)
+    service.start(source, str(tmp_path / "checkpoint")).awaitTermination()
+    got = flags(service.ledger.all("flags"))
     assert [got["w", i] for i in range(len(FIXED))] == [fired for _, _, fired in FIXED]
 
 

@@ -131,6 +131,26 @@ def surrounding_series(telemetry: DataFrame, well_id: str, limit: int = 250) ->
     return recent_rows(telemetry, limit, well_id).orderBy("timestamp", "id")
 
 
+def around(incidents: DataFrame, readings: DataFrame, before_seconds: int, after_seconds: int) -> DataFrame:
+    """Readings of each incident's device from ``before_seconds`` before it to ``after_seconds`` behind it.
+
+    Time is cut into bins as long as the span, so an incident asks at most two bins and a reading lies in
+    one: an equality join by device and bin, in which a busy device is many keys. Adds ``incident_id`` and
+    ``offset_seconds`` to the columns of ``readings``; rows without device or time meet nothing.
+    """
+    length = max(before_seconds + after_seconds, 1) * 1_000_000
+    at = micros(incidents, "timestamp")
+    asked = incidents.select(F.col("id").alias("incident_id"), F.col("device_id").alias("_device"), at.alias("_at"))
+    low, high = F.col("_at") - before_seconds * 1_000_000, F.col("_at") + after_seconds * 1_000_000
+    bins = F.sequence(F.floor(low / length), F.floor(high / length))
+    asked = asked.filter("_at IS NOT NULL").withColumn("_bin", F.explode_outer(bins))
+    placed = readings.withColumn("_when", micros(readings, "timestamp"))
+    placed = placed.withColumn("_of", F.floor(F.col("_when") / length))
+    near = (F.col("device_id") == F.col("_device")) & (F.col("_of") == F.col("_bin")) & F.col("_when").between(low, high)
+    offset = (F.col("_when") - F.col("_at")) / 1_000_000
+    return placed.join(asked, near).select("incident_id", *[col(c) for c in readings.columns], offset.alias("offset_seconds"))
+
+
 def fault_timeline(view: DataFrame) -> DataFrame:
     """Fault rows of a flattened view in time order."""
     names = ["id", "device_id", "timestamp", "fault", "P-TPT", "T-TPT", "P-MON-CKP"]

@@ -293,6 +293,14 @@ def alert_flags(spark, sf_dir):
 
 @query
 def window_features_online_daily(spark, sf_dir):
-    readings = flat(spark, sf_dir).withColumnRenamed("timestamp", "ts")
-    return rounded(window_features_online(readings, ["P-PDG", "P-TPT", "P-MON-CKP", "QGL", "T-JUS-CKP"],
-                                          DAY, order=("ts", "id")), 8)
+    parsed = views.parse_payload(telemetry(spark, sf_dir))
+    readings = parsed.selectExpr("device_id", "id", "timestamp AS ts", *[f"{views.number_sql(s)} AS `{s}`" for s in PRIMARY_SENSORS])
+    return rounded(window_features_online(readings, PRIMARY_SENSORS, DAY, order=("ts", "id")), 4)
+
+
+@query
+def incident_surroundings(spark, sf_dir):
+    """Every incident with the readings of its device in the six hours on both sides."""
+    view = flat(spark, sf_dir)
+    found = reports.around(view.filter(F.col("fault").isNotNull()), view, 6 * 3600, 6 * 3600)
+    return rounded(found.select("incident_id", "id", "device_id", "offset_seconds", col("P-TPT"), col("T-TPT"), col("P-MON-CKP")), 6)

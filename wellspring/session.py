@@ -65,3 +65,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Give the context a checkpoint folder when the cluster has not set one."""
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(scratch_root(spark))
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder of this library on whatever file system it lies."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

@@ -2,19 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from wellspring.constants import COOLDOWN_SECONDS
-from wellspring.functions.values import col, micros
-from wellspring.operators import evidence, rules, throttle
+from wellspring.operators import evidence, rules
 from wellspring.operators.telemetry import parse_payload
-from wellspring.operators.windows import window_features_online
 from wellspring.session import scratch_path
 from wellspring.sources.messages import accepted, dead_letters, decode_messages, topic_filter
 
@@ -92,55 +86,6 @@ def fault_totals(telemetry: DataFrame) -> DataFrame:
     )
 
 
-def closed_windows(
-    readings: DataFrame, sensors: Sequence[str], window_seconds: int = 60, delay_seconds: int = 60
-) -> DataFrame:
-    """Readings of each device's window, emitted once the watermark has passed its end.
-
-    ``ts`` must be a zoned timestamp. A window holds what a device sends in its
-    length; rows later than the delay are dropped. Windows that are still open when a
-    bounded source ends stay in the state and come out only when later readings arrive.
-    """
-    row = F.struct("ts", "id", *[col(s) for s in sensors])
-    grid = F.window("ts", f"{window_seconds} seconds")
-    return (
-        readings.withWatermark("ts", f"{delay_seconds} seconds")
-        .groupBy("device_id", grid)
-        .agg(F.collect_list(row).alias("readings"))
-    )
-
-
-def closed_features(windows: DataFrame, sensors: Sequence[str], window_seconds: int = 60) -> DataFrame:
-    """Features of closed windows, by the batch operator."""
-    rows = windows.select("device_id", F.explode_outer("readings").alias("r")).select("device_id", "r.*")
-    return window_features_online(rows, sensors, window_seconds, order=("ts", "id"))
-
-
-def throttle_stream(anomalies: DataFrame, cooldown_seconds: int = COOLDOWN_SECONDS) -> DataFrame:
-    """Add ``fired`` to a stream of anomalies (device_id, id, timestamp, event).
-
-    The state per device is the event and time of its last diagnosis. Rows are
-    sorted within a micro-batch; a row older than the state is judged as it comes.
-    """
-    cooldown = cooldown_seconds * throttle.MICROS
-    slim = anomalies.select("device_id", "id", "event", micros(anomalies, "timestamp").alias("at"))
-
-    def judge(key: tuple, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values(["at", "id"])
-        event, at = state.get if state.exists else (None, None)
-        fired, event, at = throttle.mark(rows["at"].to_numpy(), rows["event"].to_numpy(), event, at, cooldown)
-        state.update((event, at))
-        yield pd.DataFrame({"device_id": key[0], "id": rows["id"], "event": rows["event"], "at": rows["at"], "fired": fired})
-
-    return slim.groupBy("device_id").applyInPandasWithState(
-        judge,
-        "device_id string, id long, event string, at long, fired boolean",
-        "event string, at long",
-        "append",
-        GroupStateTimeout.NoTimeout,
-    )
-
-
 def telemetry_stream(messages: DataFrame, score: Scorer) -> DataFrame:
     """Messages to storable telemetry rows.
 
