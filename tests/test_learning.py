@@ -1,5 +1,9 @@
 """Splits, quantiles, metrics, imputation, models."""
 
+import datetime as dt
+import random
+from collections import Counter
+
 import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -10,6 +14,7 @@ from wellspring.operators import evidence, imputation, isolation, metrics, model
 from wellspring.operators.ranking import exact_quantiles, hashed_rank
 from wellspring.operators.telemetry import parse_payload, snapshot_features
 from wellspring.operators.windows import feature_names
+from wellspring.plans import training
 
 # --- fixed values: published confusion matrices and scores -------------------------
 BINARY = [[45290, 4167], [25804, 40755]]
@@ -181,3 +186,89 @@ def test_decision_quirks(spark):
         ("normal", "Normal Operation", 0.9, "NORMAL"),
         ("anomaly", "Flow Instability", 0.95, "FAULT"),
     ]
+
+
+def plain_report(pairs, classes):
+    """Precision, recall, F1 and support by class, from counts."""
+    lines = {}
+    for c in classes:
+        hit = sum(a == b == c for a, b in pairs)
+        said, true = sum(b == c for _, b in pairs), sum(a == c for a, _ in pairs)
+        p, r = hit / said if said else 0.0, hit / true if true else 0.0
+        lines[str(c)] = (p, r, 2 * p * r / (p + r) if p + r else 0.0, true)
+    return lines
+
+
+def learnable_windows(spark, n=400):
+    """Labelled windows whose first feature tells the class, with noise, on eight wells."""
+    rng = random.Random(2)
+    rows = []
+    for i in range(n):
+        event = rng.choice([0, 0, 3, 4])
+        level = event + rng.gauss(0, 0.6)
+        values = [level if k == 0 else rng.random() if k % 9 else None for k in range(len(training.FEATURES))]
+        transient = int(event > 0 and rng.random() < 0.4)
+        recording = f"w{i % 8}_{i % 40}"
+        rows.append((recording, f"w{i % 8}", str(i % 40 % 4), dt.datetime(2024, 1, 1) + dt.timedelta(minutes=i), event + 100 * transient,
+                     transient, event, int(event > 0), *values))
+    columns = ", ".join(f"`{f}` double" for f in training.FEATURES)
+    return spark.createDataFrame(rows, "instance_file string, well_id string, event_folder string, window_start timestamp, raw_class int, "
+                                 f"is_transient int, multiclass int, binary_target int, {columns}")
+
+
+@pytest.fixture(scope="module")
+def learnable(spark):
+    return training.build_dataset(learnable_windows(spark))
+
+
+@pytest.mark.parametrize("label", ["binary_target", "multiclass"])
+def test_reports_equal_plain_metrics(spark, learnable, label):
+    predicted = models.predict(models.fit(learnable.train, training.FEATURES, label), learnable.test, training.FEATURES).collect()
+    pairs = [(r[label], r.prediction) for r in predicted]
+    report = {r.name: r for r in training.evaluate(spark.createDataFrame(predicted), label).collect()}
+    assert {r.name: r.recall for r in training.evaluate_forest(learnable, label).collect()} == {n: r.recall for n, r in report.items()}
+    for name, numbers in plain_report(pairs, sorted({a for a, _ in pairs} | {b for _, b in pairs})).items():
+        line = report[name]
+        assert (line.precision, line.recall, line.f1, line.support) == pytest.approx(numbers)
+    accuracy = sum(a == b for a, b in pairs) / len(pairs)
+    majority = max(Counter(a for a, _ in pairs).values()) / len(pairs)
+    assert report["accuracy"].f1 == pytest.approx(accuracy) and accuracy > majority
+    for phase, flag in (("transient", 1), ("established", 0)):
+        of_phase = [r for r in predicted if r.binary_target == 1 and r.is_transient == flag]
+        hits = sum(r[label] == r.prediction for r in of_phase)
+        assert report[f"{phase} faults"].recall == pytest.approx(hits / len(of_phase)) and report[f"{phase} faults"].support == len(of_phase)
+
+
+def test_forest_does_not_depend_on_the_layout(learnable):
+    """Up to ties that the order of sums decides."""
+
+    def chances(rows):
+        model = models.fit(rows, training.FEATURES, "binary_target", partitions=5)
+        found = models.predict(model, learnable.test, training.FEATURES).orderBy("window_start").collect()
+        return np.array([r.probability[1] for r in found])
+
+    first = chances(learnable.train)
+    assert np.abs(chances(learnable.train.repartition(7)) - first).mean() < 0.004
+    bare = learnable.train.drop("instance_file", "window_start")
+    assert np.abs(chances(bare.repartition(7)) - chances(bare.coalesce(1))).mean() < 0.004
+
+
+def test_importances_name_the_telling_feature_and_fall_back(spark, learnable):
+    both = models.train_models(learnable.train, training.FEATURES, learnable.medians)
+    top = models.top_features(models.model_importance(both, spark), 5).collect()
+    assert [r["rank"] for r in top] == [1, 2, 3, 4, 5] and top[0].feature == training.FEATURES[0]
+    single = models.FaultModels(both.features, both.medians, None, both.multiclass)
+    expected = models.feature_importance(both.multiclass, both.features, spark).collect()
+    assert models.model_importance(single, spark).collect() == expected
+
+
+def test_isolation_forest_flags_the_asked_share(learnable):
+    normal = learnable.train.filter("binary_target = 0")
+    forest = isolation.fit_isolation_forest(normal, training.FEATURES, training.KEY)
+    scores = [r.anomaly_score for r in forest.score(normal, ["binary_target"]).collect()]
+    above = sum(s > forest.threshold for s in scores) / len(scores)
+    assert above <= 0.15 + 1 / len(scores) and sum(s >= forest.threshold for s in scores) / len(scores) >= 0.15 - 1 / len(scores)
+    report = {r.name: r for r in training.evaluate_isolation_forest(learnable).collect()}
+    found = forest.score(learnable.test, ["binary_target"]).collect()
+    assert report["1"].support == sum(r.binary_target for r in found)
+    assert report["1"].recall == pytest.approx(sum(r.binary_target and r.anomaly for r in found) / report["1"].support)

@@ -4,6 +4,7 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -165,10 +166,33 @@ def test_report_defaults(spark, chunks):
 
 def test_dense_ranking(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0], 0), (2, [0.6, 0.8], 1), (3, [0.0, 0.0], 1)], "vec_id long, embedding array<float>, label int")
-    got = retrieval.dense_topk(df, [(1, [2.0, 0.0])], 3).orderBy("rank").collect()
+    asked = spark.createDataFrame([(1, [2.0, 0.0]), (None, [1.0, 0.0]), (2, None)], "query_id int, vector array<double>")
+    got = retrieval.dense_topk(df, asked, 3).orderBy("rank").collect()
     assert [(r.vec_id, round(r.score, 4)) for r in got] == [(2, 1.2), (1, 1.0), (3, 0.3)]
 
 
+def test_dense_ranking_in_tiles_and_blocks_equals_every_product(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    vectors = [(i, np.round(rng.standard_normal(5), 1).tolist(), int(rng.integers(0, 4))) for i in range(300)]
+    vectors += [(300, None, 1), (301, [0.0] * 5, 2), (302, [1.0], 1), (303, vectors[7][1], None)]
+    asked = [(i, np.round(rng.standard_normal(5), 1).tolist()) for i in range(23)] + [(50, [1.0, 2.0])]
+    frame = spark.createDataFrame(vectors, "vec_id long, embedding array<double>, label int").repartition(3)
+    queries = spark.createDataFrame(asked, "query_id long, vector array<double>")
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 4)
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in retrieval.dense_topk(frame, queries, 6).collect()}
+
+    def cosine(a, b):
+        if b is None or len(a) != len(b) or not any(b):
+            return 0.0
+        return sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(y * y for y in b))
+
+    for number, q in asked:
+        scored = [(-(round(cosine(q, v) * 1.5 + 0.3, 8) if label == number else round(cosine(q, v), 8)), i) for i, v, label in vectors]
+        for rank, (score, key) in enumerate(sorted(scored)[:6], 1):
+            assert got[number, rank][0] == key and abs(got[number, rank][1] + score) < 1e-7
+    assert len(got) == 6 * len(asked)
+
+
 def test_missing_lines_of_a_section(spark):
     lines = diagnosis.numbered_lines(F.array(F.lit("a")), ["x", "y", "z"], ["p", "q", "r"])
     assert list(spark.range(1).select(*lines).first()) == ["1. a", "2. q", "3. r"]

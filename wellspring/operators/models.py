@@ -27,8 +27,10 @@ from wellspring.session import ensure_checkpoint_dir
 TREES, DEPTH, SEED = 80, 14, 42
 ITERATIONS = 100
 ROW_KEY = ("instance_file", "window_start")
-# rows per partition: forests do much work per pass, the others run many short passes
-ROWS_PER_PARTITION = {"random_forest": 2_000, "boosted_trees": 10_000, "logistic": 10_000}
+# A forest's bagging draws by partition, so its number of partitions is a parameter of the model. The other
+# kinds draw nothing; their rows lie in few partitions, since a fit runs many short passes.
+FOREST_PARTITIONS = 64
+ROWS_PER_PARTITION = 10_000
 
 
 def assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -64,26 +66,32 @@ def logistic(label: str, rows: int) -> LogisticRegression:
     )
 
 
-def prepared(train: DataFrame, features: Sequence[str], label: str, rows_per_partition: int) -> DataFrame:
+def prepared(train: DataFrame, features: Sequence[str], label: str, partitions: int) -> DataFrame:
     """Assembled, weighted training rows, kept for the many passes of a fit.
 
-    Bagging draws by partition and row order, so rows are dealt by a hash of their key and
-    sorted: a fit repeats whatever way the input lay. A fit runs hundreds of short jobs, so
-    little data does not lie in many partitions.
+    Bagging draws by partition and row order, so rows are dealt by a hash of their key, or of
+    all their values where they have none, and sorted: a fit repeats whatever way the input lay.
     """
     weighted = imputation.with_class_weights(train, label)
     key = [c for c in ROW_KEY if c in train.columns]
-    rows = assemble(weighted.select(*key, label, "weight", *[F.col(f"`{f}`") for f in features]), features)
-    enough = -(-train.count() // rows_per_partition) or 1
-    dealt = rows.repartition(enough, *key).sortWithinPartitions(*key).drop(*key) if key else rows.coalesce(enough)
-    return dealt.persist(StorageLevel.MEMORY_AND_DISK)
+    values = [F.col(f"`{f}`") for f in features]
+    by = key or [label, *values]
+    dealt = weighted.select(*key, label, "weight", *values).repartition(partitions, *by).sortWithinPartitions(*by)
+    return assemble(dealt, features).drop(*key).persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def fit(train: DataFrame, features: Sequence[str], label: str, kind: str = "random_forest") -> Model:
-    """Fit one of ``random_forest``, ``boosted_trees`` or ``logistic`` with balanced classes."""
-    if kind not in ROWS_PER_PARTITION:
+def fit(
+    train: DataFrame, features: Sequence[str], label: str, kind: str = "random_forest", partitions: int | None = None
+) -> Model:
+    """Fit one of ``random_forest``, ``boosted_trees`` or ``logistic`` with balanced classes.
+
+    ``partitions``: of the training rows; for a forest its default does not depend on their number.
+    """
+    if kind not in KINDS:
         raise ValueError(f"unknown kind of model: {kind}")
-    rows = prepared(train, features, label, ROWS_PER_PARTITION[kind])
+    if partitions is None:
+        partitions = FOREST_PARTITIONS if kind == "random_forest" else -(-train.count() // ROWS_PER_PARTITION) or 1
+    rows = prepared(train, features, label, partitions)
     try:
         if kind == "random_forest":
             return random_forest(label).fit(rows)
@@ -117,7 +125,7 @@ class FaultModels:
 
     features: list[str]
     medians: dict[str, float | None]
-    binary: RandomForestClassificationModel
+    binary: RandomForestClassificationModel | None
     multiclass: RandomForestClassificationModel
 
     def save(self, spark: SparkSession, path: str) -> None:
@@ -180,6 +188,12 @@ def feature_importance(model: RandomForestClassificationModel, features: Sequenc
     return spark.createDataFrame(rows, "rank int, feature string, importance double")
 
 
+def model_importance(models: FaultModels, spark: SparkSession) -> DataFrame:
+    """Importances of the binary forest, or of the multiclass one where there is no binary forest."""
+    chosen = models.binary if models.binary is not None else models.multiclass
+    return feature_importance(chosen, models.features, spark)
+
+
 def top_features(importances: DataFrame, n: int = 20) -> DataFrame:
     return importances.orderBy("rank").limit(n)
 

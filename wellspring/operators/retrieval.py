@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -221,36 +225,79 @@ def retrieve_fault_knowledge(incidents: DataFrame, index: Index, top_k: int = 3)
 
 def dense_topk(
     vectors: DataFrame,
-    queries: list[tuple[int, list[float]]],
+    queries: DataFrame,
     top_k: int = 4,
     vector: str = "embedding",
     key: str = "vec_id",
     label: str | None = "label",
 ) -> DataFrame:
-    """Cosine ranking of stored vectors against a few given query vectors.
-
-    The queries are literals, so every vector is scored where it lies; a query's
-    number boosts the vectors whose ``label`` equals it.
+    """Cosine ranking of stored vectors for a table of queries (query_id, vector): query_id, key, score, rank.
+
+    Queries are packed into blocks and vectors into tiles, one row each; every tile meets every block
+    as a product of two matrices. A task keeps the best ``top_k`` of a query over all its tiles, so
+    what leaves it is bounded by the queries and not by the vectors; the partial lists are merged by
+    query. A query's number boosts the vectors whose ``label`` equals it. A vector that is null, of
+    length 0 or of another dimension than the query scores 0; null queries are left out; ties go
+    to the smaller key.
     """
-    unit = [(number, _unit(values)) for number, values in queries]
-    x = F.transform(F.col(vector), lambda v: v.cast("double"))
-    norm = F.sqrt(F.aggregate(x, F.lit(0.0), lambda total, v: total + v * v))
-    scored = vectors.withColumn("x", x).withColumn("norm", norm)
-    table = F.array(
-        *[F.struct(F.lit(n).alias("query_id"), F.array(*[F.lit(v) for v in values]).alias("q")) for n, values in unit]
-    )
-    products = scored.withColumn("query", F.explode_outer(table))
-    dot = F.aggregate(
-        F.zip_with("x", F.col("query.q"), lambda a, b: a * b), F.lit(0.0), lambda total, v: total + v
-    )
-    cosine = F.coalesce(F.try_divide(dot, F.col("norm")), F.lit(0.0))
-    if label:
-        cosine = F.when(F.col(label) == F.col("query.query_id"), cosine * BOOST_FACTOR + BOOST_OFFSET).otherwise(cosine)
-    flat = products.select(F.col("query.query_id").alias("query_id"), key, F.round(cosine, 8).alias("score"))
-    by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
-    return flat.withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= top_k)
-
-
-def _unit(values: list[float]) -> list[float]:
-    length = sum(v * v for v in values) ** 0.5 or 1.0
-    return [v / length for v in values]
+    asked = queries.select(F.col("query_id").cast("long"), F.transform("vector", lambda v: v.cast("double")).alias("x"))
+    asked = materialise(asked.filter("x IS NOT NULL AND query_id IS NOT NULL"), "dense-queries")
+    blocks = -(-asked.count() // QUERY_BLOCK) or 1  # the hash deals evenly enough for blocks of near that size
+    packed = asked.withColumn("size", F.size("x")).groupBy("size", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"))
+    packed = packed.agg(F.array_sort(F.collect_list(F.struct("query_id", "x"))).alias("q"))
+    packed = packed.select("size", "block", "q.query_id", F.col("q.x").alias("queries"))
+    rows = vectors.select(
+        F.col(key).cast("long").alias("key"), F.transform(vector, lambda v: v.cast("double")).alias("x"),
+        (F.col(label).cast("long") if label else F.lit(None).cast("long")).alias("label"),
+    )
+    met = rows.mapInArrow(_tiles, TILES).crossJoin(packed)  # blocks of the asked queries, not pairs of rows
+    found = met.mapInPandas(lambda frames: _best(frames, top_k), PARTIAL)
+    by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "key")
+    ranked = found.withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= top_k)
+    return ranked.select("query_id", F.col("key").alias(key), "score", "rank")
+
+
+QUERY_BLOCK, VECTOR_TILE = 512, 2048
+TILES = "keys array<long>, labels array<long>, vectors array<array<double>>"
+PARTIAL = "query_id long, key long, score double"
+
+
+def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of up to ``VECTOR_TILE`` vectors."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, VECTOR_TILE):
+            some = batch.slice(start, VECTOR_TILE)
+            one = [pa.array([some.column(name).to_pylist()], pa.list_(some.schema.field(name).type)) for name in ("key", "label", "x")]
+            yield pa.RecordBatch.from_arrays(one, ["keys", "labels", "vectors"])
+
+
+def _matrix(vectors, size: int) -> np.ndarray:
+    """Vectors of length 1 as rows; zeros for those that are null, zero or of another size."""
+    out = np.zeros((len(vectors), size))
+    for i, values in enumerate(vectors):
+        if values is not None and len(values) == size:
+            out[i] = values
+    return _unit(out)
+
+
+def _best(frames: Iterator[pd.DataFrame], top_k: int) -> Iterator[pd.DataFrame]:
+    """The best vectors of each query over all tiles of a task."""
+    kept: dict[tuple, tuple] = {}
+    for frame in frames:
+        for row in frame.itertuples():
+            numbers = np.array(row.query_id, np.int64)
+            keys, scores = kept.get((row.size, row.block), (np.empty((len(numbers), 0), np.int64), np.empty((len(numbers), 0)), None))[:2]
+            found = _matrix(row.queries, row.size) @ _matrix(row.vectors, row.size).T
+            labels = pd.Series(row.labels, dtype="float64").to_numpy()  # null is equal to nothing
+            found = np.where(numbers[:, None] == labels[None, :], found * BOOST_FACTOR + BOOST_OFFSET, found)
+            scores = np.hstack([scores, np.round(found, 8)])
+            keys = np.hstack([keys, np.broadcast_to(np.array(row.keys, np.int64), found.shape)])
+            order = np.lexsort((keys, -scores), axis=1)[:, :top_k]
+            kept[row.size, row.block] = np.take_along_axis(keys, order, 1), np.take_along_axis(scores, order, 1), numbers
+    for keys, scores, numbers in kept.values():
+        yield pd.DataFrame({"query_id": np.repeat(numbers, keys.shape[1]), "key": keys.ravel(), "score": scores.ravel()})
+
+
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    length = np.linalg.norm(vectors, axis=1, keepdims=True)
+    return np.divide(vectors, length, out=np.zeros_like(vectors), where=length > 0)

@@ -135,5 +135,5 @@ def dense_topk(spark, sf_dir):
     entries = vectors.select("label", F.posexplode_outer("embedding").alias("place", "x"))
     means = entries.groupBy("label", "place").agg(F.avg("x").alias("x")).groupBy("label").agg(
         F.array_sort(F.collect_list(F.struct("place", "x"))).alias("mean"))
-    asked = [(row.label, [e.x for e in row.mean]) for row in means.orderBy("label").collect()]
+    asked = means.select(F.col("label").alias("query_id"), F.transform("mean", lambda e: e["x"]).alias("vector"))
     return rounded(retrieval.dense_topk(vectors, asked, 4), 4)
