@@ -139,14 +139,18 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
     return out[:FEATURES], int(out[-1])
 
 
-def _sample(train: DataFrame, most: int) -> tuple[DataFrame, float]:
-    """At most about ``most`` rows of each label by a hash of the id, and the share of label 1."""
-    counts = {r["quality"]: r["count"] for r in train.groupBy("quality").count().collect()}
+def _sample(docs: DataFrame, known: DataFrame, most: int) -> tuple[DataFrame, float]:
+    """Texts of about ``most`` ids of each label at most, by a hash of the id, and the share of label 1.
+
+    The ids are chosen before texts are read: they are few and go to where the texts lie.
+    """
+    counts = {r["quality"]: r["count"] for r in docs.select("doc_id").join(known, "doc_id").groupBy("quality").count().collect()}
     limit = F.lit(0)
     for label, n in counts.items():
         limit = F.when(F.col("quality") == label, F.lit(int(1_000_000 * min(1.0, most / n)))).otherwise(limit)
     share = counts.get(1, 0) / sum(counts.values()) if counts else 0.5
-    return train.where(F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1_000_000)) < limit), share
+    chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1_000_000)) < limit)
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), share
 
 
 def _basis(table: DataFrame, dimensions: int) -> np.ndarray:
@@ -177,9 +181,9 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return np.divide(vectors, length, out=np.zeros_like(vectors), where=length > 1e-6)
 
 
-def fit(docs: DataFrame, train: DataFrame, most: int = ROWS_PER_LABEL, dimensions: int = DIMENSIONS) -> QualityModel | None:
-    """``docs``: all texts, for document frequencies; ``train``: doc_id, text, quality (0 or 1) without nulls in id and label."""
-    sample, share = _sample(train, most)
+def fit(docs: DataFrame, known: DataFrame, most: int = ROWS_PER_LABEL, dimensions: int = DIMENSIONS) -> QualityModel | None:
+    """``docs``: all texts; ``known``: the ids to learn from, each once, with their ``quality`` (0 or 1)."""
+    sample, share = _sample(docs, known, most)
     df, n = document_frequencies(docs)
     idf = np.log((1 + n) / (1 + df)) + 1
 
@@ -251,6 +255,6 @@ def quality_report(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int
     """Learns from the labels outside the held fold and scores every text."""
     known = labels.where("quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("_max"))
     known = known.where((F.col("quality") == F.col("_max")) & (fold(folds) != held)).select("doc_id", "quality")
-    model = fit(docs, docs.select("doc_id", "text").join(known, "doc_id"))
+    model = fit(docs, known)
     found = scored(docs.select("doc_id", "text", (fold(folds) == held).alias("held_out")), model)
     return found.withColumn("predicted", (F.col("score") >= CUTOFF).cast("int"))
