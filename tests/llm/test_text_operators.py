@@ -229,8 +229,8 @@ def test_ids_of_random_unicode_are_those_of_the_tokenizer(monkeypatch):
     tokenizer, encode = Tokenizer.from_file(path), token_files.piece_encoder(path)
     rng = random.Random(8)
     letters = [chr(c) for c in range(32, 0x2100)] + [chr(rng.randrange(0x2100, 0x2FFFF)) for _ in range(4000)]
-    odd = "\u0130\u0307\u1e9e\u01c5\u03a3\u0345\u00df\u0149\u1f88\ufb03\u200d\u00ad\u0301\n\t\x85\u2028"
-    texts = ["BELED\u0130YES\u0130.", "GAZ\u0130, ve", "\u0130.", "a\u0307. \u01c5, \u1e9e."]
+    odd = "\u0130\u0307\u1e9e\u01c5\u03a3\u0345\u00df\u0149\u1f88\ufb03\u200d\u00ad\u0301\x01\n\t\x85\u2028"
+    texts = ["BELED\u0130YES\u0130.", "GAZ\u0130, ve", "\u0130.", "a\x01b \x01 c\x01\x01 \x02", "x<|endoftext|>y", "a\u0307. \u01c5, \u1e9e."]
     for _ in range(3000):
         signs = [rng.choice(letters) if rng.random() < 0.4 else rng.choice(odd + "abcdEFG  .,.,") for _ in range(rng.randint(1, 40))]
         texts.append("".join(c for c in signs if not 0xD800 <= ord(c) < 0xE000))

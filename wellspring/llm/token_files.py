@@ -31,8 +31,8 @@ from wellspring.llm.shared import TOKENIZERS, remembered, scratch_path
 
 BLOCK, KEPT = 128, 0.9
 SEGMENT_TOKENS = 1 << 19
-#: Bytes of the pieces, with their ids, that a worker remembers; about twice as much at a change of generations.
-KEPT_BYTES = 80 << 20
+#: Bytes of the pieces, with their ids, that a worker remembers; half as much more at a change of generations.
+KEPT_BYTES = 160 << 20
 #: Bytes that an entry takes beside the signs of the piece and the ids.
 ENTRY_BYTES = 200
 #: Signs of text that are encoded at once, or one document.
