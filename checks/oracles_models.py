@@ -28,3 +28,6 @@ SQL["well_disjoint_evaluation"] = f"WITH {BY_WELL} " + " UNION ALL ".join(
     f"SELECT *, '{label}' AS task FROM ({supports(label)})" for label in TASKS)
 SQL["scored_telemetry"] = f"""WITH {TELEMETRY} SELECT id, device_id AS well_id, TRUE AS status_fits, TRUE AS event_fits,
   TRUE AS confidence_fits, TRUE AS sums_to_one FROM tel"""
+SQL["feature_tables"] = f"WITH {LABELLED} " + " UNION ALL ".join(
+    f"SELECT '{name}' AS name, event_folder, count(*) AS windows, sum(raw_class) AS raw_classes, sum(binary_target) AS faults FROM sw WHERE {kept} GROUP BY event_folder"
+    for name, kept in (("full", "TRUE"), ("train", "split = 'train'"), ("test", "split = 'test'")))

@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 from checks.oracles import SQL, q, statistics
-from checks.oracles_telemetry import EVIDENCE, RULE_FIELDS, TELEMETRY, fired, r
+from checks.oracles_telemetry import EVIDENCE, PAYLOAD, TELEMETRY, fired, r
 from wellspring.constants import PRIMARY_SENSORS, RULE_DEVICE_TYPES, STATISTICS
 
-PAYLOAD = ["P-PDG", "P-TPT", "T-TPT", "P-MON-CKP", "T-JUS-CKP", "P-JUS-CKGL", "T-JUS-CKGL", "QGL", "P-ANULAR", "T-PDG", "ABER-CKP",
-           *(name.strip('"') for name in RULE_FIELDS)]
 SQL["stream_store"] = f"""WITH {TELEMETRY},
 m AS (SELECT *, id % 13 = 0 AS broken, id % 13 <> 0 AND "T-TPT" < 50 AS cold FROM tel WHERE id % 11 <> 0)
 SELECT id, device_id, device_type, "timestamp", CASE WHEN cold THEN 'Hydrate in Production Line' ELSE fault END AS fault,

@@ -44,6 +44,7 @@ tel AS (
               WHEN event_id % 10 = 0 AND event_type = 'purchase' THEN 'Stored report for Flow Instability' END AS stored_report
   FROM ev)"""
 FACTOR = {s: f for s, _, _, f, _, _ in DISPLAY_ENVELOPES}
+PAYLOAD = ["P-PDG", "P-TPT", "T-TPT", "P-MON-CKP", "T-JUS-CKP", "P-JUS-CKGL", "T-JUS-CKGL", "QGL", "P-ANULAR", "T-PDG", "ABER-CKP", *RULE_FIELDS]
 FLAT = TELEMETRY + f""",
 flat AS (
   SELECT id, device_id, device_type, "timestamp", fault, CASE WHEN fault IS NOT NULL THEN 'ANOMALY' ELSE 'NORMAL' END AS status,
@@ -110,9 +111,10 @@ def snapshot(feature: str) -> str:
 SQL["snapshot_features"] = f"WITH {TELEMETRY} SELECT id, {', '.join(snapshot(f) for f in FEATURES)} FROM tel"
 SQL["coerce_numbers"] = f"""WITH {TELEMETRY} SELECT id, {r('from_text', 6, q('T-JUS-CKP'))},
   {r('from_number', 6, q('P-TPT'))}, CAST(NULL AS DOUBLE) AS missing FROM tel"""
+GIVEN = {"QGL_mean": "QGL", "P-PDG_max": "P-PDG", "T-TPT_trend": "T-TPT", "ABER-CKP_median": "ABER-CKP"}
 SQL["reindex_features"] = f"""WITH {TELEMETRY} SELECT id, {', '.join(
-    r('QGL_mean', 6, q('QGL')) if f == 'QGL_mean' else f'CAST(NULL AS DOUBLE) AS {q(f)}'
-    for f in (f'{s}_{t}' for t in STATISTICS for s in PRIMARY_SENSORS[:9]))} FROM tel"""
+    r(f, 6, q(GIVEN[f])) if f in GIVEN else f'CAST(NULL AS DOUBLE) AS {q(f)}'
+    for f in (f'{s}_{t}' for t in STATISTICS for s in PRIMARY_SENSORS))} FROM tel"""
 
 SQL["telemetry_stats"] = f"""WITH {TELEMETRY} SELECT count(*) AS total_records, count(fault) AS total_faults,
   count(DISTINCT device_id) AS total_wells, strftime(min("timestamp"), '%Y-%m-%d %H:%M:%S.%f') AS first_timestamp,
@@ -150,7 +152,7 @@ def correlation(sensors: list[str], by: str = "") -> str:
 
 
 SQL["sensor_correlation"] = correlation(CORRELATED_SENSORS)
-SQL["sensor_correlation_by_type"] = correlation(["P-PDG", "T-TPT", "T-JUS-CKP"], "device_type, ")
+SQL["sensor_correlation_by_type"] = correlation(CORRELATED_SENSORS, "device_type, ")
 SQL["recent_rows"] = f"WITH {TELEMETRY} SELECT {ROW} FROM tel {LATEST} LIMIT 500"
 SQL["recent_incidents"] = f"WITH {TELEMETRY} SELECT {ROW} FROM tel WHERE fault IS NOT NULL {LATEST} LIMIT 50"
 SQL["recent_incidents_one_well"] = f"WITH {TELEMETRY} SELECT {ROW} FROM tel WHERE fault IS NOT NULL AND {WELL} {LATEST} LIMIT 50"
@@ -158,7 +160,7 @@ SQL["latest_anomaly"] = f"""WITH {TELEMETRY} SELECT {ROW} FROM tel ORDER BY
   CASE WHEN fault IS NOT NULL AND device_id LIKE 'WELL%' THEN 0 WHEN fault IS NOT NULL THEN 1 ELSE 2 END,
   "timestamp" DESC, id DESC LIMIT 1"""
 SQL["latest_anomaly_one_well"] = f"WITH {TELEMETRY} SELECT {ROW} FROM tel WHERE fault IS NOT NULL AND {WELL} {LATEST} LIMIT 1"
-SQL["latest_by_id"] = f"WITH {TELEMETRY} SELECT device_type, {r('P-PDG')} FROM tel ORDER BY id DESC LIMIT 1"
+SQL["latest_by_id"] = f"WITH {TELEMETRY} SELECT device_type, {', '.join(r(s) for s in PAYLOAD)} FROM tel ORDER BY id DESC LIMIT 1"
 SQL["fleet_status"] = f"""WITH {FLAT} SELECT {', '.join(r(c) if c in DISPLAY_SENSORS else q(c) for c in FLEET_COLUMNS)}
   FROM flat {LATEST} LIMIT 15"""
 SQL["surrounding_series"] = f"WITH {TELEMETRY} SELECT {ROW} FROM tel WHERE {WELL} {LATEST} LIMIT 250"

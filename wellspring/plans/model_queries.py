@@ -16,7 +16,7 @@ from wellspring.operators import telemetry as views
 from wellspring.plans import training
 from wellspring.plans.registry import query
 from wellspring.plans.window_queries import features
-from wellspring.session import materialise
+from wellspring.session import materialise, scratch_path
 from wellspring.sources.testtables import telemetry
 
 
@@ -177,3 +177,15 @@ def telemetry_decisions(spark, sf_dir):
     decided = evidence.fuse_decision(models.score(snapshots, fitted))
     return decided.select("id", "device_id", "status", "predicted_event_id", "predicted_event", "confidence", "binary_status",
                           "binary_confidence", "multiclass_confidence", F.to_json("class_probabilities").alias("class_probabilities"))
+
+
+@query
+def feature_tables(spark, sf_dir):
+    """The full, train and test tables as written and read back: windows and sums of their labels by folder."""
+    path = scratch_path(spark, "feature-tables")
+    training.write_feature_tables(dataset(spark, sf_dir), path)
+    tables = [spark.read.parquet(f"{path}/{name}").withColumn("name", F.lit(name)) for name in ("full", "train", "test")]
+    rows = tables[0].unionByName(tables[1]).unionByName(tables[2])
+    return rows.groupBy("name", F.col("event_folder").cast("string").alias("event_folder")).agg(
+        F.count(F.lit(1)).alias("windows"), F.sum("raw_class").alias("raw_classes"), F.sum("binary_target").alias("faults")
+    )

@@ -16,7 +16,7 @@ from wellspring.operators import telemetry as views
 from wellspring.operators.cleaning import DAY
 from wellspring.operators.windows import feature_names, window_features_online
 from wellspring.plans.registry import QUERIES, query, rounded
-from wellspring.sources.testtables import predictions, telemetry
+from wellspring.sources.testtables import predictions, sensor_payload, telemetry
 
 ROW = ["id", "device_id", "device_type", "timestamp", "fault"]
 WELL = "WELL-00001"
@@ -96,8 +96,10 @@ def coerce_numbers(spark, sf_dir):
 
 @query
 def reindex_features(spark, sf_dir):
-    partial = parsed(spark, sf_dir).selectExpr("id", f"{views.number_sql('QGL')} AS `QGL_mean`")
-    return rounded(views.reindex(partial, feature_names(PRIMARY_SENSORS[:9]), keep=["id"]), 6)
+    """Records that carry some of the features, none of them in order, and others that are not asked for."""
+    given = {"QGL_mean": "QGL", "P-PDG_max": "P-PDG", "T-TPT_trend": "T-TPT", "ABER-CKP_median": "ABER-CKP", "thd_mean": "thd"}
+    partial = parsed(spark, sf_dir).selectExpr("id", *[f"{views.number_sql(field)} AS `{name}`" for name, field in given.items()])
+    return rounded(views.reindex(partial, feature_names(PRIMARY_SENSORS), keep=["id"]), 6)
 
 
 @query
@@ -157,7 +159,7 @@ def sensor_correlation(spark, sf_dir):
 
 @query
 def sensor_correlation_by_type(spark, sf_dir):
-    return rounded(reports.sensor_correlation(flat(spark, sf_dir), ["P-PDG", "T-TPT", "T-JUS-CKP"], ["device_type"]), 4)
+    return rounded(reports.sensor_correlation(flat(spark, sf_dir), by=["device_type"]), 4)
 
 
 @query
@@ -188,7 +190,8 @@ def latest_anomaly_one_well(spark, sf_dir):
 @query
 def latest_by_id(spark, sf_dir):
     newest = views.parse_payload(reports.latest_by_id(telemetry(spark, sf_dir)))
-    return rounded(newest.selectExpr("device_type", f"{views.number_sql('P-PDG')} AS `P-PDG`"), 6)
+    fields = [f"{views.number_sql(name)} AS `{name}`" for name in sensor_payload()]
+    return rounded(newest.selectExpr("device_type", *fields), 6)
 
 
 @query
