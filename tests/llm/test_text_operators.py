@@ -216,7 +216,7 @@ def test_more_new_pieces_than_are_remembered(monkeypatch):
         expected = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
         assert encode(texts) == expected
     (pieces,) = sys._wellspring_memory.values()
-    assert pieces.size <= 2000 and sum(token_files.ENTRY_BYTES + len(p) for p in pieces.older) <= 1000
+    assert pieces.size <= 2000 and len(pieces.known) <= 11 and len(pieces.older) <= 61  # a slice and what was before it
     remembered("another operator", dict)
     assert list(sys._wellspring_memory) == ["another operator"]
 

@@ -31,9 +31,9 @@ from wellspring.llm.shared import TOKENIZERS, remembered, scratch_path
 
 BLOCK, KEPT = 128, 0.9
 SEGMENT_TOKENS = 1 << 19
-#: Bytes of the pieces, with their ids, that a worker remembers; half as much more at a change of generations.
-KEPT_BYTES = 160 << 20
-#: Bytes that an entry takes beside the signs of the piece and the ids.
+#: Bytes of a generation of pieces with their ids; a worker remembers two generations.
+KEPT_BYTES = 120 << 20
+#: Bytes that an entry takes, its ids included, beside the signs of the piece.
 ENTRY_BYTES = 200
 #: Signs of text that are encoded at once, or one document.
 SIGNS_AT_ONCE = 4 << 20
@@ -149,12 +149,11 @@ def piece_encoder(path: str, kept: int = KEPT_BYTES) -> Callable[[list[str]], li
     The tokenizer's pattern never joins signs across a space or a line end and its other steps
     do not look across them either, so a text's ids are those of the pieces between them. For
     the same reason a full stop or comma that ends a piece behind a letter is encoded apart, and
-    Latin letters are lowered beforehand, as the tokenizer does that itself. Pieces of about the
-    last ``kept`` bytes stay in the worker process until another operator works there.
+    Latin letters are lowered beforehand, as the tokenizer does that itself. Pieces of the last
+    ``kept`` bytes, and of as many before them, stay in the worker process until another operator works there.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     pieces = remembered(f"token pieces of {path}", lambda: _Pieces(path))
-    known, older = pieces.known, pieces.older
 
     def plain(piece: str) -> tuple[str, str]:
         """A piece that has the same ids, without the sign at its end, and that sign."""
@@ -162,38 +161,29 @@ def piece_encoder(path: str, kept: int = KEPT_BYTES) -> Callable[[list[str]], li
             piece = piece.lower()
         return (piece[:-1], piece[-1]) if piece[-1] in ".," and _ends_in_letter(piece[:-1]) else (piece, "")
 
-    def enter(found: dict[str, bytes]) -> None:
-        known.update(found)
-        pieces.size += ENTRY_BYTES * len(found) + sum(map(len, found)) + sum(map(len, found.values()))
-
     def learn(wanted: set[str]) -> None:
+        known, older, before = pieces.known, pieces.older, len(pieces.known)
         again = wanted & older.keys()
-        enter({piece: older[piece] for piece in again})
+        known.update((piece, older[piece]) for piece in again)
         forms = {piece: plain(piece) for piece in wanted - again if piece}
         new = list({part for form in forms.values() for part in form} - known.keys())
         for i in range(0, len(new), 4096):
             some = new[i : i + 4096]
-            found = pieces.tokenizer.encode_batch_fast(some, add_special_tokens=False)
-            enter({piece: array("I", f.ids).tobytes() for piece, f in zip(some, found)})
-        enter({piece: known[base] + known[end] for piece, (base, end) in forms.items() if piece not in known})
+            for piece, found in zip(some, pieces.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                known[piece] = array("I", found.ids).tobytes()
+        known.update((piece, known[base] + known[end]) for piece, (base, end) in forms.items())
+        # signs count twice, since a piece may also be there without its last sign
+        pieces.size += 2 * sum(map(len, wanted)) + ENTRY_BYTES * (len(known) - before)
 
     def trim() -> None:
         """Only between calls: a call needs all its pieces, however many they are."""
         if pieces.size > kept:
-            older.clear()
-            size = 0
-            for piece, ids in reversed(known.items()):
-                size += ENTRY_BYTES + len(piece) + len(ids)
-                if size > kept // 2:
-                    break
-                older[piece] = ids
-            known.clear()
-            known[""], pieces.size = b"", 0
+            pieces.older, pieces.known, pieces.size = pieces.known, {"": b""}, 0
 
     def encode(texts: list[str]) -> list[bytes]:
         split = [(t.lower() if t.isascii() else t).replace("\n", " ").split(" ") for t in texts]
-        learn(set().union(*split) - known.keys())
-        get = known.__getitem__
+        learn(set().union(*split) - pieces.known.keys())
+        get = pieces.known.__getitem__
         encoded = [b"".join(map(get, parts)) for parts in split]
         trim()
         return encoded
