@@ -584,6 +584,50 @@ def test_slots_show_every_block_before_any_twice(spark):
         assert {b for _, b in shown[no][:blocks]} == set(range(blocks))
 
 
+def test_mix_is_written_by_shard(spark, tmp_path, docs, empty):
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"w{i}_{j}" for j in range(rng.randint(0, 900))), None if i % 4 == 3 else f"s{i % 4}") for i in range(120)]
+    rows += [(None, "", "s0"), (5, None, "s1"), (500, " \t two  words ", "s1")]
+    many = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    texts = {w: (i, s) for i, t, s in rows for w in (t or "").split()}
+    mix = mixing.write_mix(many, str(tmp_path / "mix"), 50)
+    blocks = mix.collect()
+    words = collections.Counter(w for r in blocks for w in r.text.split())
+    taken = collections.Counter()
+    for word, n in words.items():
+        taken[texts[word][0]] += n
+    report = {r.doc_id: r.taken for r in mixing.mixing_report(many).collect() if r["size"]}
+    assert {i: n for i, n in report.items() if n} == dict(taken)
+    for r in blocks:
+        assert r.n_words == len(r.text.split()) <= mixing.BLOCK and {texts[w][1] for w in r.text.split()} == {r.source}
+    shown = collections.Counter((r.source, r.block, r["pass"]) for r in blocks)
+    assert max(shown.values()) == 1  # a pass shows a block once
+
+    # the counts drawn are those written; each source's sum to its slots
+    drawn = {(r.shard, r.source): r.slots for r in mixing.shard_counts(many, 50).collect()}
+    assert drawn == collections.Counter((r.shard, r.source) for r in blocks)
+    slots = {r.source: r.slots for r in mixing.source_targets(mixing.sized_documents(many)).collect()}
+    shards = -(-sum(slots.values()) // 50)
+    for source, n in slots.items():
+        counts = [drawn.get((k, source), 0) for k in range(shards)]
+        assert sum(counts) == n
+        # chi square over equally likely shards: mean k - 1, deviation sqrt(2 (k - 1))
+        spread = sum((c - n / shards) ** 2 for c in counts) * shards / n
+        assert abs(spread - (shards - 1)) < 5 * math.sqrt(2 * (shards - 1))
+
+    # a file is a run of shards and places
+    files = collections.defaultdict(list)
+    for r in mix.selectExpr("_metadata.file_name AS f", "shard", "place").collect():
+        files[r.f].append((r.shard, r.place))
+    assert all(places == sorted(places) for places in files.values())
+    runs = sorted((p[0], p[-1]) for p in files.values())
+    assert all(a[1] <= b[0] for a, b in zip(runs, runs[1:]))
+    again = mixing.mixed_blocks(many.repartition(3), 50)
+    assert bag(again, *again.columns) == bag(mix, *again.columns)
+    assert mixing.mixed_blocks(docs).count() == sum(r.slots for r in mixing.shard_counts(docs).collect())
+    assert mixing.mixed_blocks(empty).count() == 0 == mixing.shard_counts(empty).count()
+
+
 # -- language model --------------------------------------------------------------------------
 
 

@@ -5,8 +5,9 @@ into blocks of ``BLOCK`` words. A source's target gives it a number of slots. Sl
 shows block (a i + b) mod n, with a prime multiplier a and a shift b drawn from source and
 pass: a permutation of the n blocks, so no block is shown twice before all were shown once.
 Each slot falls to an output shard by a hash, which makes the counts of a source over the
-shards a multinomial draw whose sum is the source's slots. Blocks meet their slots in a join
-by source and block number, so a large source is spread over all tasks.
+shards a multinomial draw whose sum is the source's slots (``shard_counts``). Blocks meet their
+slots in a join by source and block number, so a large source is spread over all tasks.
+``write_mix`` writes the blocks shard by shard, within a shard in a pseudorandom order.
 
 Word offsets come from sums within hash buckets of about ``BUCKET_ROWS`` documents and over the
 buckets, never from one window over a source. Only built-in functions are used.
@@ -69,12 +70,12 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SH
     return out.select("source", "source_no", "source_size", "n_docs", "target", "blocks", slots.cast("long").alias("slots"))
 
 
-def slot_table(sources: DataFrame) -> DataFrame:
+def slot_table(sources: DataFrame, slots_per_shard: int = SLOTS_PER_SHARD) -> DataFrame:
     """``source_no``, ``pass``, ``slot``, ``block``, ``shard`` of every slot of the mix."""
     step = SLOTS_AT_ONCE
     # a given number of partitions, since few source rows become many slots behind the exchange
     parts = sources.agg(F.sum(F.ceil(F.col("slots") / step))).first()[0] or 1
-    shards = F.ceil(F.sum("slots").over(Window.partitionBy()) / SLOTS_PER_SHARD)
+    shards = F.ceil(F.sum("slots").over(Window.partitionBy()) / slots_per_shard)
     rows = sources.withColumn("shards", shards).where("slots > 0")
     rows = rows.withColumn("_from", F.explode_outer(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1, F.lit(step).cast("long"))))
     rows = rows.repartition(int(parts), "source_no", "_from")
@@ -124,21 +125,66 @@ def sized_documents(docs: DataFrame) -> DataFrame:
 
 
 def mixing_report(docs: DataFrame) -> DataFrame:
-    """One row per document: its size, its source's size and target, and the words of it that the mix takes."""
+    """One row per document: its size, its source's size and target, the words of it that the mix takes,
+    and over how many output shards they are dealt (``n_shards``)."""
     sized = materialise(sized_documents(docs), "mix-sizes")
     sources = materialise(source_targets(sized), "mix-targets")
-    uses = slot_table(sources).groupBy("source_no", "block").agg(F.count(F.lit(1)).alias("uses"))
+    uses = slot_table(sources).groupBy("source_no", "block", "shard").agg(F.count(F.lit(1)).alias("uses"))
     pieces = pieces_of(placed_documents(sized, sources))
     taken = F.sum(F.coalesce(F.col("uses"), F.lit(0)) * (F.col("until") - F.col("from")))
     keys = ["source_no", "start", "doc_id", "size", "source_size", "target"]
     # documents of size 0 share a start, so they are counted and spread out again
     # by its few source rows the planner takes the table of slots for small: it must not be broadcast
-    summed = pieces.join(uses.hint("merge"), ["source_no", "block"], "left").groupBy(*keys).agg(
-        F.coalesce(taken, F.lit(0)).cast("long").alias("taken"),
-        F.sum(F.when(F.col("size") == 0, 1).otherwise(0)).alias("_empty"),
+    dealt = pieces.join(uses.hint("merge"), ["source_no", "block"], "left").groupBy(*keys, "shard").agg(
+        F.coalesce(taken, F.lit(0)).alias("_taken"), F.sum(F.when(F.col("size") == 0, 1).otherwise(0)).alias("_empty")
+    )
+    summed = dealt.groupBy(*keys).agg(
+        F.sum("_taken").cast("long").alias("taken"), F.count("shard").alias("n_shards"), F.sum("_empty").alias("_empty")
     )
     copies = F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1).cast("long"), F.col("_empty"))))
-    return summed.withColumn("_copy", copies).select("doc_id", "size", "source_size", "target", "taken")
+    return summed.withColumn("_copy", copies).select("doc_id", "size", "source_size", "target", "taken", "n_shards")
+
+
+def shard_counts(docs: DataFrame, slots_per_shard: int = SLOTS_PER_SHARD) -> DataFrame:
+    """``shard``, ``source``, ``slots``: how many blocks of each source were drawn for each output shard."""
+    sources = materialise(source_targets(sized_documents(docs)), "mix-targets")
+    drawn = slot_table(sources, slots_per_shard).groupBy("source_no", "shard").agg(F.count(F.lit(1)).alias("slots"))
+    return drawn.join(sources.select("source_no", "source"), "source_no").select("shard", "source", "slots")
+
+
+def mixed_blocks(docs: DataFrame, slots_per_shard: int = SLOTS_PER_SHARD) -> DataFrame:
+    """The mix itself, one row per slot: ``shard``, ``place``, ``source``, ``block``, ``pass``, ``n_words``, ``text``.
+
+    A block holds the words of its source in the order of the stream, at most ``BLOCK`` of them.
+    ``place`` orders the blocks within a shard.
+    """
+    words = F.split(F.regexp_replace(whole_text(), r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""), r"[\x20\x09-\x0D]+")
+    size = F.regexp_count(whole_text(), F.lit(WORD)).cast("long")
+    sized = materialise(
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size"), words.alias("words")), "mix-words"
+    )
+    sources = materialise(source_targets(sized), "mix-targets")
+    pieces = pieces_of(placed_documents(sized, sources)).where("block IS NOT NULL")
+    part = F.slice("words", (F.col("from") + 1).cast("int"), (F.col("until") - F.col("from")).cast("int"))
+    parts = pieces.select("source_no", "source", "block", "start", (F.col("until") - F.col("from")).alias("n"), F.array_join(part, " ").alias("part"))
+    blocks = parts.groupBy("source_no", "source", "block").agg(
+        F.sum("n").alias("n_words"), F.sort_array(F.collect_list(F.struct("start", "part"))).alias("_parts")
+    )
+    blocks = blocks.withColumn("text", F.array_join(F.col("_parts.part"), " ")).drop("_parts")
+    met = blocks.join(slot_table(sources, slots_per_shard).hint("merge"), ["source_no", "block"])
+    place = number_of(F.concat_ws(":", F.lit("place"), "source_no", "slot"))
+    return met.select("shard", place.alias("place"), "source", "block", "pass", "n_words", "text")
+
+
+def write_mix(docs: DataFrame, path: str, slots_per_shard: int = SLOTS_PER_SHARD) -> DataFrame:
+    """Writes the mix in the order of its shards and reads it back.
+
+    Tasks take ranges of shards, so a reader of some shards skips the other files by their statistics.
+    """
+    mix = materialise(mixed_blocks(docs, slots_per_shard), "mix-blocks")
+    order = ["shard", "place", F.col("source").asc_nulls_last(), "block", "pass"]
+    mix.repartitionByRange("shard", "place").sortWithinPartitions(*order).write.parquet(path)
+    return docs.sparkSession.read.schema(mix.schema).parquet(path)
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:

@@ -127,11 +127,13 @@ slotted AS (
   SELECT *, CASE WHEN source_size > 0 THEN least(blocks * {mixing.MOST}, CAST(floor(target * blocks / source_size + 0.5) AS BIGINT)) ELSE 0 END AS slots
   FROM aimed),
 drawn AS (
-  SELECT source_no, blocks, slot, slot // blocks AS pass, 'shift:' || source_no || ':' || (slot // blocks) AS seed
+  SELECT source_no, blocks, slot, slot // blocks AS pass, 'shift:' || source_no || ':' || (slot // blocks) AS seed,
+         {_number("'shard:' || source_no || ':' || slot")}
+             % (SELECT CAST(ceil(sum(slots) / {mixing.SLOTS_PER_SHARD}) AS BIGINT) FROM slotted) AS shard
   FROM (SELECT source_no, blocks, unnest(generate_series(0, slots - 1)) AS slot FROM slotted WHERE slots > 0)),
 uses AS (
-  SELECT source_no, block, count(*) AS uses FROM (
-    SELECT source_no, CAST((([{_PRIMES}][{_number('seed')} % {len(mixing.MULTIPLIERS)} + 1] % blocks)::HUGEINT * (slot % blocks)
+  SELECT source_no, block, shard, count(*) AS uses FROM (
+    SELECT source_no, shard, CAST((([{_PRIMES}][{_number('seed')} % {len(mixing.MULTIPLIERS)} + 1] % blocks)::HUGEINT * (slot % blocks)
              + {_number("'b' || seed")}) % blocks AS BIGINT) AS block
     FROM drawn) GROUP BY ALL),
 bucketed AS (
@@ -145,8 +147,9 @@ placed AS (
 pieces AS (
   SELECT *, greatest(block * {mixing.BLOCK} - start, 0) AS a, least((block + 1) * {mixing.BLOCK} - start, size) AS b
   FROM (SELECT *, unnest(generate_series(start // {mixing.BLOCK}, (start + size - 1) // {mixing.BLOCK})) AS block FROM placed WHERE size > 0)),
-shown AS (SELECT row_no, sum(uses * (b - a)) AS taken FROM pieces JOIN uses USING (source_no, block) GROUP BY row_no)
-SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken
+shown AS (SELECT row_no, sum(uses * (b - a)) AS taken, count(DISTINCT shard) AS n_shards
+          FROM pieces JOIN uses USING (source_no, block) GROUP BY row_no)
+SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken, coalesce(n_shards, 0) AS n_shards
 FROM placed LEFT JOIN shown USING (row_no)
 """
 
