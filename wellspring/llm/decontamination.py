@@ -1,11 +1,12 @@
 """Benchmark decontamination by a positional inverted index.
 
-One scan cuts every document into words and stores them in stretches of ``STRETCH`` words that
-overlap by a window, so that a posting carries what stands around it. The occurrences of the
-benchmark's terms are counted over all documents; each window of the benchmark is looked up by
-its rarest term. The postings of those terms are stored (document, position, the surrounding
-words); taking the term's place in the window off its position gives the window's start, and
-the offsets whose words are the window's, all of them, are exact matches.
+One scan cuts every document into words and stores their postings (term, position), sorted by term,
+in stretches of ``STRETCH`` words that overlap by a window: the position lists of a place lie in one
+row, and those of a common word or a long document in many. The occurrences of the benchmark's terms
+are counted over all documents. A window's terms are taken from the rarest up: postings of the rarest
+give starts (position less the term's place in the window), a join by both terms and their distance
+keeps those that the second's list has too, and the lists of the others, less their places, are
+intersected with what is left until nothing is. A start that all lists hold is an exact match.
 
 Proximity matches hold most of a window's distinct words, in any order, close by. Of n words k
 are needed, so one of the n - k + 1 rarest must be there; the postings of these are not stored
@@ -54,9 +55,9 @@ def windows_of(items: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def stretches_of(docs: DataFrame, window: int = WINDOW, overlap: int | None = None) -> DataFrame:
-    """The stored words: ``doc_id``, ``text_key``, ``n_words``, ``base``, ``lead`` and the words ``around``.
+    """The stored words: ``doc_id``, ``text_key``, ``n_words``, ``base``, ``lead``, the words ``around`` and their ``lists``.
 
-    A stretch begins at word ``base``; ``lead`` words before it and ``overlap`` behind it come
+    ``lists`` holds (term, at) of the words around, sorted: the position list of each term. A stretch begins at word ``base``; ``lead`` words before it and ``overlap`` behind it come
     along. Exact matches need an overlap of ``window`` - 1, proximity matches twice the slop more,
     which is the default. A document without words has one row without a stretch.
     """
@@ -78,57 +79,70 @@ def stretches_of(docs: DataFrame, window: int = WINDOW, overlap: int | None = No
             )
         ),
     )
-    return rows.select("doc_id", "text_key", "n_words", "stretch.base", "stretch.lead", "stretch.around")
+    postings = F.transform("stretch.around", lambda w, at: F.struct(w.alias("term"), at.alias("at")))
+    return rows.select(
+        "doc_id", "text_key", "n_words", "stretch.base", "stretch.lead", "stretch.around", F.sort_array(postings).alias("lists")
+    )
+
+
+def _own() -> Column:
+    """The postings of a stretch itself, without those of the words beside it."""
+    lead = F.col("lead")
+    return F.filter("lists", lambda p: (p["at"] >= lead) & (p["at"] < lead + STRETCH))
 
 
 def term_counts(stretches: DataFrame, windows: DataFrame) -> DataFrame:
     """Occurrences, over all documents, of every term of the benchmark."""
     terms = windows.select(F.explode("words").alias("term")).distinct()
-    core = F.slice("around", F.col("lead") + 1, F.lit(STRETCH))
-    used = stretches.select(F.explode_outer(core).alias("term")).join(_small(terms), "term")
+    used = stretches.select(F.explode_outer(_own()).alias("p")).select("p.term").join(_small(terms), "term")
     counts = used.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     return terms.join(counts, "term", "left").select("term", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def looked_up(windows: DataFrame, counts: DataFrame) -> DataFrame:
-    """``windows`` with the rarest term and its place in the window."""
-    placed = windows.select("phrase", F.posexplode("words").alias("place", "term"))
-    rarest = placed.join(counts, "term").groupBy("phrase").agg(F.min(F.struct("n", "term", "place")).alias("r"))
-    return windows.join(rarest, "phrase").select(
-        "phrase", "words", "items", F.col("r.term").alias("term"), F.col("r.place").alias("place")
-    )
+    """``windows`` with their terms from the rarest up.
+
+    ``term`` and ``place`` are the rarest one's, ``second`` is the next and ``apart`` its distance from
+    the first (a window of one word has the same twice), ``rest`` the others with their places.
+    """
+    placed = windows.select("phrase", F.posexplode("words").alias("place", "term")).join(counts, "term")
+    ranked = placed.groupBy("phrase").agg(F.sort_array(F.collect_list(F.struct("n", "term", "place"))).alias("by_n"))
+    first, second = F.col("by_n")[0], F.coalesce(F.get("by_n", F.lit(1)), F.col("by_n")[0])
+    rest = F.transform(F.slice("by_n", F.lit(3), F.size("by_n")), lambda t: F.struct(t["term"].alias("term"), t["place"].alias("place")))
+    return windows.join(ranked, "phrase").select(
+        "phrase", "words", "items", first["term"].alias("term"), first["place"].alias("place"),
+        second["term"].alias("second"), (second["place"] - first["place"]).alias("apart"), rest.alias("rest"),
+    )
 
 
 def postings_of(stretches: DataFrame, windows: DataFrame) -> DataFrame:
-    """Stored postings of the look-up terms, with the words around and the places the term has in windows."""
-    places = windows.groupBy("term").agg(
-        F.collect_set(F.struct("place", F.size("words").alias("size"))).alias("places")
-    )
-    core = F.slice("around", F.col("lead") + 1, F.lit(STRETCH))
+    """Postings of the windows' rarest terms, with the lists of their stretch; ``inside`` is the place in it."""
+    carried = [name for name in ("around", "lists") if name in stretches.columns]
     said = stretches.where("base IS NOT NULL").select(
-        "doc_id", "text_key", "base", "lead", "around", F.posexplode_outer(core).alias("at", "term")
+        "doc_id", "text_key", "base", "lead", *carried, F.explode_outer(_own()).alias("p")
     )
-    found = said.join(_small(places), "term")
-    return materialise(
-        found.select(
-            "term", "doc_id", "text_key", (F.col("base") + F.col("at")).alias("position"),
-            (F.col("lead") + F.col("at")).alias("inside"), "around", "places",
-        ),
-        "postings",
-    )
+    said = said.select("doc_id", "text_key", "base", "lead", *carried, "p.term", F.col("p.at").alias("inside"))
+    found = said.join(_small(windows.select("term").distinct()), "term")
+    position = F.col("base") - F.col("lead") + F.col("inside")
+    return found.select("term", "doc_id", "text_key", position.alias("position"), "inside", *carried)
 
 
-def exact_matches(postings: DataFrame, windows: DataFrame) -> DataFrame:
+def exact_matches(postings: DataFrame, windows: DataFrame, window: int = WINDOW) -> DataFrame:
     """``doc_id``, ``text_key``, ``start``, ``size`` and ``items`` of every occurrence of a window."""
-    moved = postings.withColumn("p", F.explode_outer("places"))
-    moved = moved.withColumn("first", F.col("inside") - F.col("p.place")).where("first >= 0")
-    said = F.slice("around", F.col("first") + 1, F.col("p.size"))
-    candidates = moved.select(
-        "doc_id", "text_key", "term", F.col("p.place").alias("place"), F.col("p.size").alias("size"),
-        (F.col("position") - F.col("p.place")).alias("start"), F.array_join(said, " ").alias("phrase"),
-    )
-    known = windows.select("term", "place", "phrase", "items")
-    return candidates.join(_small(known), ["term", "place", "phrase"]).select("doc_id", "text_key", "start", "size", "items")
+    inside = F.col("inside")
+    beside = F.filter("lists", lambda p: F.abs(p["at"] - inside) < window)
+    pairs = postings.select("doc_id", "text_key", "term", "position", "inside", "lists", F.explode_outer(beside).alias("q"))
+    pairs = pairs.withColumn("second", F.col("q.term")).withColumn("apart", F.col("q.at") - inside).drop("q")
+    asked = windows.select("term", "second", "apart", "place", F.size("words").alias("size"), "rest", "items")
+    met = pairs.join(_small(asked), ["term", "second", "apart"])
+
+    def both(starts: Column, t: Column) -> Column:
+        shifted = F.transform(F.filter("lists", lambda p: p["term"] == t["term"]), lambda p: p["at"] - t["place"])
+        return F.when(F.size(starts) == 0, starts).otherwise(F.array_intersect(starts, shifted))
+
+    left = F.aggregate("rest", F.array(inside - F.col("place")), both)
+    start = F.col("position") - F.col("place")
+    return met.where(F.size(left) > 0).select("doc_id", "text_key", start.alias("start"), "size", "items")
 
 
 def _needed(words: str, share: float) -> Column:
@@ -196,10 +210,10 @@ def _covered(spans: Column) -> Column:
 
 def find_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
     """The stored stretches of ``docs`` and the exact matches in them."""
-    stretches = materialise(stretches_of(docs, window, window - 1), "stretches")
+    stretches = materialise(stretches_of(docs, window, window - 1).drop("around"), "stretches")
     windows = materialise(windows_of(items, window), "benchmark-windows")
     windows = materialise(looked_up(windows, term_counts(stretches, windows)), "benchmark-lookup")
-    return stretches, exact_matches(postings_of(stretches, windows), windows)
+    return stretches, materialise(exact_matches(postings_of(stretches, windows), windows, window), "matches")
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -266,6 +280,6 @@ def proximity_report(docs: DataFrame, items: DataFrame, window: int = WINDOW, sl
     counts = materialise(term_counts(stretches, windows), "benchmark-terms")
     exact = materialise(looked_up(windows, counts), "benchmark-lookup")
     rare = materialise(proximity_terms(windows, counts, share), "benchmark-rare")
-    found = exact_matches(postings_of(stretches, exact), exact)
+    found = exact_matches(postings_of(stretches, exact), exact, window)
     near = proximity_matches(near_postings(stretches, rare, slop, share), rare, slop, share)
     return _report(stretches, found, near)
