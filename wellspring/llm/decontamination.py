@@ -85,16 +85,17 @@ def stretches_of(docs: DataFrame, window: int = WINDOW, overlap: int | None = No
     )
 
 
-def _own() -> Column:
-    """The postings of a stretch itself, without those of the words beside it."""
-    lead = F.col("lead")
-    return F.filter("lists", lambda p: (p["at"] >= lead) & (p["at"] < lead + STRETCH))
+def _own(stretches: DataFrame, *columns: str) -> DataFrame:
+    """``columns``, ``term`` and ``at`` of the postings of the stretches themselves, without the words beside them."""
+    said = stretches.select(*columns, "lead", F.explode_outer("lists").alias("p"))
+    said = said.where((F.col("p.at") >= F.col("lead")) & (F.col("p.at") < F.col("lead") + STRETCH))
+    return said.select(*columns, "lead", "p.term", "p.at")
 
 
 def term_counts(stretches: DataFrame, windows: DataFrame) -> DataFrame:
     """Occurrences, over all documents, of every term of the benchmark."""
     terms = windows.select(F.explode("words").alias("term")).distinct()
-    used = stretches.select(F.explode_outer(_own()).alias("p")).select("p.term").join(_small(terms), "term")
+    used = _own(stretches).select("term").join(_small(terms), "term")
     counts = used.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     return terms.join(counts, "term", "left").select("term", F.coalesce("n", F.lit(0)).alias("n"))
 
@@ -118,10 +119,7 @@ def looked_up(windows: DataFrame, counts: DataFrame) -> DataFrame:
 def postings_of(stretches: DataFrame, windows: DataFrame) -> DataFrame:
     """Postings of the windows' rarest terms, with the lists of their stretch; ``inside`` is the place in it."""
     carried = [name for name in ("around", "lists") if name in stretches.columns]
-    said = stretches.where("base IS NOT NULL").select(
-        "doc_id", "text_key", "base", "lead", *carried, F.explode_outer(_own()).alias("p")
-    )
-    said = said.select("doc_id", "text_key", "base", "lead", *carried, "p.term", F.col("p.at").alias("inside"))
+    said = _own(stretches, "doc_id", "text_key", "base", *carried).withColumnRenamed("at", "inside")
     found = said.join(_small(windows.select("term").distinct()), "term")
     position = F.col("base") - F.col("lead") + F.col("inside")
     return found.select("term", "doc_id", "text_key", position.alias("position"), "inside", *carried)
