@@ -361,6 +361,22 @@ def test_shuffled_lookup_gives_the_same(spark, docs, monkeypatch):
     assert bag(decontamination.decontamination_report(docs, items), "doc_id", "n_hit") == before
 
 
+@pytest.mark.parametrize("most", [200_000, -1])
+def test_lists_of_repeated_words_equal_every_place_tried(spark, monkeypatch, most):
+    monkeypatch.setattr(decontamination, "MOST_BROADCAST", most)
+    rng = random.Random(11)
+    prose = lambda n: " ".join(rng.choice("aab") for _ in range(n))
+    edge = "b b a a a b a b b b"  # at every place of a stretch
+    rows = [(i, prose(rng.randint(0, 120))) for i in range(40)] + [(100 + i, "c " * i + edge + " c" * 40) for i in range(70)]
+    rows += [(200, "a " * 100), (201, "A"), (202, None), (203, ""), rows[0]]
+    items = [(1, edge), (2, "a " * 10), (3, "a b"), (4, "b"), (5, prose(14)), (6, "a b a"), (7, "z"), (8, "a a a z a a a a a a")]
+    report = decontamination.decontamination_report(
+        spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    )
+    names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    assert bag(report, *names) == contamination(rows, items)
+
+
 def test_proximity(spark):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
     docs = [(1, "x " * 20 + item), (2, "y beta alpha gamma epsilon delta zeta extra eta theta iota kappa z"), (3, "alpha " + "q " * 30 + "kappa")]
