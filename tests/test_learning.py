@@ -163,6 +163,14 @@ def test_snapshot_with_missing_and_corrupt_sensors(spark):
     assert (row["QGL_mean"], row["QGL_std"], row["QGL_max"]) == (1.5, None, None)
 
 
+def test_isolation_tree_parts_neighbouring_numbers():
+    """Between 1 and the next number every second draw rounds up to the higher one."""
+    values = np.array([[1.0], [np.nextafter(1.0, 2.0)]] * 4)
+    for tree in range(50):
+        grown = isolation.grow_tree(values, tree, 42)
+        assert len(grown) == 3 and grown[0][3] == 1.0
+
+
 def test_isolation_forest_finds_outliers(spark):
     rng = np.random.default_rng(2)
     normal = [(f"n{i}", *map(float, rng.normal(size=3))) for i in range(1000)]

@@ -43,7 +43,9 @@ def grow_tree(values: np.ndarray, tree: int, seed: int) -> list[tuple]:
             nodes.append([tree, node, -1, 0.0, -1, -1, depth + expected_depth(len(rows))])
         else:
             feature = int(random.choice(usable))
-            threshold = float(random.uniform(low[feature], high[feature]))
+            # between neighbouring numbers a draw may round up to the highest value, which would leave one side empty
+            drawn = random.uniform(low[feature], high[feature])
+            threshold = float(min(drawn, np.nextafter(high[feature], -np.inf)))
             nodes.append([tree, node, feature, threshold, -1, -1, 0.0])
             below = rows[:, feature] <= threshold
             open_nodes.append((rows[~below], depth + 1, node, 5))
