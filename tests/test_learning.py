@@ -163,6 +163,12 @@ def test_snapshot_with_missing_and_corrupt_sensors(spark):
     assert (row["QGL_mean"], row["QGL_std"], row["QGL_max"]) == (1.5, None, None)
 
 
+def test_forest_histograms_come_from_few_partitions():
+    """Every partition sends all histograms of a level: few for small tables, then by rows only."""
+    assert [models.partition_count("random_forest", n) for n in (0, 30_000, 12_000_000, 25_000_001)] == [12, 12, 12, 26]
+    assert [models.partition_count("logistic", n) for n in (0, 10_000, 10_001)] == [1, 1, 2]
+
+
 def test_isolation_tree_parts_neighbouring_numbers():
     """Between 1 and the next number every second draw rounds up to the higher one."""
     values = np.array([[1.0], [np.nextafter(1.0, 2.0)]] * 4)
