@@ -196,3 +196,17 @@ def test_dense_ranking_in_tiles_and_blocks_equals_every_product(spark, monkeypat
 def test_missing_lines_of_a_section(spark):
     lines = diagnosis.numbered_lines(F.array(F.lit("a")), ["x", "y", "z"], ["p", "q", "r"])
     assert list(spark.range(1).select(*lines).first()) == ["1. a", "2. q", "3. r"]
+
+
+def test_postings_of_an_index_are_not_shuffled(spark):
+    """Only texts and the distinct terms of a shard move: none of the exchanges carries chunks of terms."""
+    rows = [(f"c{i}", f"d{i}", i, 1, "pump valve pressure " * (i % 3) + f"word{i % 7}") for i in range(50)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, doc_name string, section_no int, event_id int, content string")
+    index = retrieval.fit_index(chunks, store=False)
+    plan = index.postings._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.split("Exchange")[1:]]
+    assert not any(line.startswith((" hashpartitioning(chunk_id", " hashpartitioning(shard#")) and "chunk_id" in line.split(")")[0] for line in moved)
+    assert not any("SortMergeJoin" in line for line in moved)
+    lengths = index.postings.groupBy("chunk_id").agg(F.sum(F.col("weight") * F.col("weight")).alias("n")).collect()
+    assert len(lengths) == 50 and all(abs(r.n - 1) < 1e-9 for r in lengths)
+    assert {r.term for r in index.idf.collect()} == {r.term for r in index.postings.select("term").distinct().collect()}
