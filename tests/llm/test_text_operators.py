@@ -205,6 +205,16 @@ def test_token_files(docs, empty, rows, monkeypatch):
     assert token_files.token_file_report(empty).count() == 0
 
 
+def test_token_files_are_compressed(spark, tmp_path):
+    """Blocks are packed at the width of their largest ids, so repeated texts leave much to compress."""
+    docs = spark.createDataFrame([(i, "pump and valve of the well " * 40) for i in range(200)], "doc_id long, text string")
+    path = str(tmp_path / "files")
+    token_files.write_token_files(docs, path, f"{token_files.TOKENIZERS}/word_bpe_49k.json")
+    packed = spark.read.parquet(path).selectExpr("sum(length(data)) AS n").first()["n"]
+    assert sum(f.stat().st_size for f in (tmp_path / "files").glob("*.parquet")) < packed / 2
+    assert token_files.read_token_files(spark, path).count() == 200
+
+
 def test_more_new_pieces_than_are_remembered(monkeypatch):
     from tokenizers import Tokenizer
 

@@ -6,7 +6,7 @@ the bit width that fits ``KEPT`` of them, and the high bits of the rest go to an
 list. The header, the document table and the block index (start, minimum, width, exceptions)
 come first, so any block can be unpacked without the others.
 
-Segments are stored as one binary column of a Parquet table in the shared folder: it is written
+Segments are stored as one binary column of a Parquet table (zstd) in the shared folder: it is written
 by Spark's commit protocol (lost executors leave nothing behind) and can lie in any store.
 
 Defined results: a null text counts as empty and becomes the end id alone; null ids come first;
@@ -238,7 +238,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
             yield cut()
 
     table = rows.mapInArrow(segments, "part long, seq long, n_tokens long, data binary")
-    table.write.option("compression", "uncompressed").parquet(path)
+    table.write.option("compression", "zstd").parquet(path)
 
 
 def read_token_files(spark, path: str) -> DataFrame:
