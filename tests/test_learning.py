@@ -286,3 +286,17 @@ def test_isolation_forest_flags_the_asked_share(learnable):
     found = forest.score(learnable.test, ["binary_target"]).collect()
     assert report["1"].support == sum(r.binary_target for r in found)
     assert report["1"].recall == pytest.approx(sum(r.binary_target and r.anomaly for r in found) / report["1"].support)
+
+
+def test_split_windows_are_stored_once(spark, tmp_path):
+    """The passes of the medians read the sides of recordings from a table and do not join them anew."""
+    from wellspring.plans import split_queries
+
+    stamps = [dt.datetime(2024, 1, 1 + i % 20, i % 24) for i in range(200)]
+    rows = [(i, stamps[i], i % 12, ("view", "error", "purchase")[i % 3], float(i % 17), f'{{"k": {i % 50}}}') for i in range(200)]
+    events = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    found = split_queries.feature_split(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    assert {r.split for r in found.select("split").distinct().collect()} == {"train", "test"}

@@ -95,8 +95,9 @@ def class_weights(spark, sf_dir):
 
 
 def feature_split(spark, sf_dir):
+    """Windows with their side, stored: each pass over them would rank and join the recordings anew."""
     windows = materialise(features(spark, sf_dir), "features")
-    return splits.with_split(windows, splits.stratified_instance_split(windows))
+    return materialise(splits.with_split(windows, splits.stratified_instance_split(windows)), "split-features")
 
 
 @query
