@@ -202,3 +202,11 @@ def test_message_stream_to_store(spark, tmp_path):
     path = jobs.drain(spark, "m", lambda p, c: jobs.each_batch(jobs.telemetry_stream(source, cold), p, c, work))
     got = {r.id: (r.fault, r.diagnosis) for r in spark.read.parquet(path).collect()}
     assert got == {0: ("told", None), 1: ("Hydrate in Production Line", "report")}
+
+
+def test_a_judged_message_is_parsed_once(spark):
+    rows = spark.createDataFrame([("factory/x/D/telemetry", "D"), ("factory/x/E/telemetry", None)], "topic string, device string")
+    sent = rows.select("topic", F.to_json(F.struct(F.col("device").alias("device_id"))).alias("payload"))
+    dead = msg.dead_letters(msg.decode_messages(sent)).select("device_id", "reject")
+    assert dead._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+    assert sorted(map(tuple, dead.collect())) == [("D", "missing device_type"), ("LIVE-DEVICE", "missing device_id")]
