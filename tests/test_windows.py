@@ -244,3 +244,26 @@ def test_all_sensors_have_features(spark):
     rows = [(second(0), 0, *[1.0] * 13)]
     got = window_features(frame(spark, rows, PRIMARY_SENSORS), window_seconds=60)
     assert sinks.feature_columns(got) == feature_names()
+
+
+def test_windows_over_several_batches_and_without_aggregates(spark):
+    random.seed(7)
+    rows = [(second(i * 7), i % 3, None if random.random() < 0.2 else random.random()) for i in range(200)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        windows = window_features(frame(spark, rows), ["P-PDG"], 60, 0, slide_seconds=20)
+        assert "median" not in windows._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[1].replace("P-PDG_median", "")
+        got = {r.window_start: r for r in windows.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    groups = {}
+    for at, _, x in rows:
+        for k in range(3):
+            start = int((at - START).total_seconds()) // 20 * 20 - 20 * k
+            groups.setdefault(second(start), []).append(x)
+    known = {start: [x for x in xs if x is not None] for start, xs in groups.items()}
+    assert sorted(got) == sorted(start for start, xs in known.items() if xs)
+    for start, r in got.items():
+        xs = known[start]
+        plain = [np.mean(xs), np.std(xs, ddof=1) if len(xs) > 1 else 0, min(xs), max(xs), np.median(xs), max(xs) - min(xs), xs[-1] - xs[0]]
+        assert [r[f"P-PDG_{n}"] for n in ("mean", "std", "min", "max", "median", "range", "trend")] == pytest.approx(plain, abs=1e-12)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wellspring.constants import PRIMARY_SENSORS, STATISTICS
 from wellspring.functions.values import col
@@ -27,21 +30,105 @@ def feature_names(sensors: Sequence[str] = PRIMARY_SENSORS) -> list[str]:
     return [f"{sensor}_{statistic}" for statistic in STATISTICS for sensor in sensors]
 
 
-def sensor_statistics(sensor: str, order: str, approximate_median: bool = False) -> list[Column]:
-    """The seven statistics of a sensor as aggregates; ``order`` sorts the readings."""
-    x = f"`{sensor}`"
-    known = f"CASE WHEN {x} IS NOT NULL THEN {order} END"
-    median = f"percentile_approx({x}, 0.5, 10000)" if approximate_median else f"median({x})"
-    formulas = {
-        "mean": f"avg({x})",
-        "std": f"coalesce(stddev_samp({x}), 0D)",
-        "min": f"min({x})",
-        "max": f"max({x})",
-        "median": median,
-        "range": f"max({x}) - min({x})",
-        "trend": f"coalesce(max_by({x}, {known}) - min_by({x}, {known}), 0D)",
-    }
-    return [F.expr(f"{formula} AS `{sensor}_{statistic}`") for statistic, formula in formulas.items()]
+def window_statistics(
+    readings: DataFrame, keys: Sequence[str], sensors: Sequence[str], order: str, approximate_median: bool = False
+) -> DataFrame:
+    """One row per group of ``keys``: these, ``raw_class`` (if there is a class), ``readings`` and the seven
+    statistics of each sensor.
+
+    The readings are placed by the first and the last key and sorted by the keys and ``order``; numpy goes over the
+    groups of a batch at once. As aggregates the statistics are many buffers and an exact median's map a sensor for
+    every group, which costs far more than the readings when windows are short. ``approximate_median`` takes the
+    lower of two middle readings instead of their mean.
+    """
+    label = ["class"] if "class" in readings.columns else []
+    kinds = {f.name: f.dataType for f in readings.schema}
+    lists = [k for k in keys if isinstance(kinds[k], T.ArrayType)]
+    rows = readings.select(
+        *keys, *[F.to_json(k).alias(f"_{k}") for k in lists], *[F.col(c).cast("double").alias(c) for c in label],
+        order, *[col(s).cast("double").alias(s) for s in sensors],
+    )
+    placed = rows.repartition(keys[0], keys[-1]).sortWithinPartitions(*keys, order)
+    compared = [f"_{k}" if k in lists else k for k in keys]
+    names = [f"{s}_{statistic}" for s in sensors for statistic in STATISTICS]
+    schema = T.StructType([T.StructField(k, kinds[k]) for k in keys])
+    for name in ["raw_class"] * len(label) + ["readings"] + names:
+        schema = schema.add(name, "long" if name == "readings" else "double")
+
+    def aggregated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _whole_groups(batches, compared):
+            starts = _group_starts(batch, compared)
+            sizes = np.diff(np.append(starts, batch.num_rows))
+            group = np.repeat(np.arange(len(starts)), sizes)
+            columns = [batch.column(k).take(pa.array(starts)) for k in keys]
+            columns += [_group_values(batch.column(c), group, len(starts), False)["max"] for c in label]
+            columns.append(pa.array(sizes, pa.int64()))
+            for sensor in sensors:
+                found = _group_values(batch.column(sensor), group, len(starts), approximate_median)
+                columns += [found[statistic] for statistic in STATISTICS]
+            yield pa.RecordBatch.from_arrays(columns, schema.names)
+
+    return placed.mapInArrow(aggregated, schema)
+
+
+def _group_starts(batch: pa.RecordBatch, keys: Sequence[str]) -> np.ndarray:
+    """First row of each run of equal keys; nulls are equal."""
+    new = np.zeros(batch.num_rows, bool)
+    new[:1] = True
+    for key in keys:
+        codes = batch.column(key).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        new[1:] |= codes[1:] != codes[:-1]
+    return np.flatnonzero(new)
+
+
+def _whole_groups(batches: Iterable[pa.RecordBatch], keys: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    """The rows of a sorted partition in batches that cut no group; at most one group is kept back."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        starts = _group_starts(batch, keys)
+        if held and [batch.column(k)[0].as_py() for k in keys] == last:
+            starts = starts[1:]
+        last = [batch.column(k)[batch.num_rows - 1].as_py() for k in keys]
+        if len(starts):
+            whole = [*held, batch.slice(0, starts[-1])]
+            if sum(b.num_rows for b in whole):
+                yield pa.concat_batches(whole)
+            held = []
+            batch = batch.slice(starts[-1])
+        held.append(batch)
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _group_values(values: pa.Array, group: np.ndarray, groups: int, lower_median: bool) -> dict[str, pa.Array]:
+    """Statistics of the readings of each group, which come sorted by time; null without a reading, but for std and trend."""
+    known = values.is_valid().to_numpy(zero_copy_only=False)
+    x, of = values.to_numpy(zero_copy_only=False)[known], group[known]
+    count = np.bincount(of, minlength=groups)
+    some = count > 0
+    n = count[some]
+    first = np.cumsum(n) - n
+    out = {}
+    if len(x):
+        mean = np.add.reduceat(x, first) / n
+        away = x - np.repeat(mean, n)
+        low, high = np.minimum.reduceat(x, first), np.maximum.reduceat(x, first)
+        ranked = x[np.lexsort((x, of))]
+        below, above = ranked[first + (n - 1) // 2], ranked[first + n // 2]
+        out = {
+            "mean": mean, "std": np.sqrt(np.add.reduceat(away * away, first) / np.maximum(n - 1, 1)), "min": low, "max": high,
+            "median": below if lower_median else 0.5 * below + 0.5 * above, "range": high - low, "trend": x[first + n - 1] - x[first],
+        }
+    found = {}
+    for statistic in STATISTICS:
+        full = np.zeros(groups)
+        if out:
+            full[some] = out[statistic]
+        found[statistic] = pa.array(full, mask=None if statistic in ("std", "trend") else ~some)
+    return found
 
 
 def blank_absent(df: DataFrame, sensors: Sequence[str], available: Column) -> DataFrame:
@@ -88,8 +175,8 @@ def window_features(
 ) -> DataFrame:
     """Raw recordings to labelled feature windows.
 
-    The readings are shuffled by recording and time slice: the fill and the windows
-    both work inside a slice. ``slide_seconds`` gives overlapping windows.
+    The readings are shuffled by recording and time slice for the fill, and by recording
+    and window for the statistics. ``slide_seconds`` gives overlapping windows.
     """
     limit = window_seconds if ffill_limit is None else ffill_limit
     if slice_seconds is not None:
@@ -100,22 +187,13 @@ def window_features(
     clean = sanitize(recordings.select(*needed, *extra, *[col(s) for s in present]), present)
     filled = causal_ffill(clean, present, limit, order=order, slice_seconds=slice_seconds)
 
-    overlapping = slide_seconds is not None and slide_seconds < window_seconds
-    by_day = DAY % window_seconds == 0
-    # A window that crosses a slice border must not be grouped by slice.
-    keys = [*KEYS, "slice"] if slice_seconds is not None and by_day and not overlapping else KEYS
-    if by_day and DAY % (slide_seconds or window_seconds) == 0:
+    if DAY % window_seconds == 0 and DAY % (slide_seconds or window_seconds) == 0:
         grid = F.window(order[0], f"{window_seconds} seconds", f"{slide_seconds or window_seconds} seconds")
         placed = filled.withColumn("window_start", grid["start"])
     else:
         placed = from_first_day(filled, order[0], window_seconds, slide_seconds)
-    aggregated = (
-        placed.groupBy(*keys, *extra, "window_start")
-        .agg(
-            F.max("class").cast("int").alias("raw_class"),
-            *[a for s in present for a in sensor_statistics(s, "position", approximate_median)],
-        )
-    )
+    aggregated = window_statistics(placed, [*KEYS, *extra, "window_start"], present, "position", approximate_median)
+    aggregated = aggregated.withColumn("raw_class", F.col("raw_class").cast("int"))
     if extra:
         aggregated = blank_absent(aggregated, present, F.col("available_sensors"))
     labelled = with_targets(drop_empty(drop_unannotated(aggregated), present))
@@ -147,10 +225,7 @@ def window_features_online(
     clean = sanitize(readings.select(*key, *order, *[col(s) for s in present]), present)
     gridded = clean.withColumn("window_start", F.window(order[0], f"{window_seconds} seconds")["start"])
     filled = causal_ffill(gridded, present, limit, [*key, "window_start"], order, slice_seconds=None)
-    aggregated = filled.groupBy(*key, "window_start").agg(
-        F.count("*").alias("readings"),
-        *[a for s in present for a in sensor_statistics(s, "position")],
-    )
+    aggregated = window_statistics(filled, [*key, "window_start"], present, "position")
     return aggregated.selectExpr(
         *key,
         "window_start",
