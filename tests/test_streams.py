@@ -11,6 +11,7 @@ from wellspring.constants import PRIMARY_SENSORS
 from wellspring.operators import evidence, models, reports, retrieval, throttle
 from wellspring.operators import telemetry as views
 from wellspring.operators.windows import feature_names, window_features_online
+from wellspring.plans import stream_queries
 from wellspring.sources.documents import chunk_sections
 from wellspring.sources.messages import decode_messages, topic_filter
 from wellspring.streaming import jobs
@@ -242,3 +243,14 @@ def test_fused_decisions_name_the_event(spark, fitted):
     got = {r.id: (r.status, r.predicted_event) for r in model_scorer(fitted)(rows).collect()}
     assert got[1] == ("anomaly", "Severe Slugging") and got[2] == ("normal", evidence.NORMAL_EVENT)
     assert len(got) == 3
+
+
+def test_parts_of_a_table_of_one_row_group_come_from_many_tasks(spark, tmp_path):
+    rows = [(i, START + dt.timedelta(seconds=i), i % 7, "error", float(i), '{"k": %d}' % (i % 90)) for i in range(400)]
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    for sent in (stream_queries.messages(spark, str(tmp_path)), stream_queries.arriving_readings(spark, str(tmp_path))):
+        at = "sent" if "sent" in sent.columns else "ts"
+        part = sent.filter(F.col(at) < F.lit(START + dt.timedelta(seconds=200)))
+        sizes = [r["count"] for r in part.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 200 and len(sizes) >= 8 and max(sizes) <= 50

@@ -14,7 +14,7 @@ from wellspring.plans.window_queries import ORDER, features
 from wellspring.session import materialise
 from wellspring.sources import messages as msg
 from wellspring.sources import recordings as rec
-from wellspring.sources.testtables import events, predictions, recordings, telemetry
+from wellspring.sources.testtables import events, predictions, recordings, spread_telemetry, telemetry
 
 FEATURES = feature_names()
 EVEN_SENSORS, ODD_SENSORS = PRIMARY_SENSORS[:8], PRIMARY_SENSORS[4:-1]  # with sensors that one part lacks
@@ -233,7 +233,7 @@ def recording_to_messages(spark, sf_dir):
 
 def raw_messages(spark, sf_dir):
     """Published messages, some of them cut off, without device or on another topic."""
-    rows = telemetry(spark, sf_dir)
+    rows = spread_telemetry(spark, sf_dir)
     body = F.to_json(F.struct(
         F.when(F.col("id") % 17 != 0, F.col("device_id")).alias("device_id"), "device_type",
         F.col("timestamp").cast("string").alias("timestamp"), "fault", "sensor_data"))
