@@ -94,3 +94,8 @@ def test_a_store_without_batches(spark, tmp_path):
     store = IndexStore.create(spark, str(tmp_path / "bare"))
     with pytest.raises(ValueError):
         store.index()
+
+
+def test_postings_meet_their_lengths_without_a_sort_by_chunk(store):
+    plan = store.index().postings._jdf.queryExecution().executedPlan().toString()
+    assert "Sort [chunk_id" not in plan and "ShuffledHashJoin [chunk_id" in plan

@@ -133,6 +133,7 @@ class IndexStore:
             raise ValueError(f"no batch has been added to {self.path}")
         n = batches.agg(F.sum("chunks")).first()[0]
         lengths = self.spark.read.schema("chunk_id string, norm double").parquet(f"{self.path}/lengths/{last['attempt']}")
-        scaled = self._weighed(batches).join(lengths.hint("merge"), "chunk_id")
+        # one row a chunk is hashed, so that the many postings need no sort by chunk
+        scaled = self._weighed(batches).join(lengths.hint("shuffle_hash"), "chunk_id")
         postings = scaled.select("chunk_id", "term", (F.col("raw") / F.col("norm")).alias("weight"))
         return Index(self._stored_chunks(batches), self._idf(batches, n), postings)
