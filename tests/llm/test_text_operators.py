@@ -248,6 +248,42 @@ def test_ids_of_random_unicode_are_those_of_the_tokenizer(monkeypatch):
     assert [t for t, a, b in zip(texts, encode(texts), expected) if a != b] == []
 
 
+def test_latin_words_need_only_the_model(monkeypatch):
+    """New words, the most of the encoder's time, skip the steps that would not change them."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(sys, "_wellspring_memory", {}, raising=False)
+    path = f"{token_files.TOKENIZERS}/word_bpe_49k.json"
+    tokenizer, encode = Tokenizer.from_file(path), token_files.piece_encoder(path)
+    letters = [chr(c) for c in range(0x130) if chr(c).isalpha()]
+    signs = [chr(c) for c in range(33, 127) if not chr(c).isalnum()]
+    rng = random.Random(3)
+    texts = [f"{c} a{c} {c}a{c}b" for c in letters] + [f"\u00c9{c} z{c}{d}" for c in signs for d in signs]
+    texts += [" ".join("".join(rng.choices(letters, k=rng.randint(1, 300))) + rng.choice(["", ".", "&&&", "\n"]) for _ in range(20)) for _ in range(50)]
+    expected = [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    (pieces,) = sys._wellspring_memory.values()
+    asked = []
+
+    class Counted:
+        def encode(self, piece, **options):
+            asked.append(piece)
+            return tokenizer.encode(piece, **options)
+
+    monkeypatch.setattr(pieces, "tokenizer", Counted())
+    assert [t for t, a, b in zip(texts, encode(texts), expected) if a != b] == []
+    assert [piece for piece in asked if any(c.isalpha() for c in piece)] == []
+
+
+def test_special_tokens_are_found_by_their_exact_signs(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(sys, "_wellspring_memory", {}, raising=False)
+    path = f"{token_files.TOKENIZERS}/word_bpe_49k.json"
+    tokenizer, encode = Tokenizer.from_file(path), token_files.piece_encoder(path)
+    texts = ["A<|ENDOFTEXT|> b", "<|endoftext|>", "\u00c9<|StartOfText|>.", "\u0416 <|EndOfText|>,", "X<|startoftext|>Y."]
+    assert encode(texts) == [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
 def test_slices_are_bounded_by_their_signs(monkeypatch):
     monkeypatch.setattr(token_files, "SIGNS_AT_ONCE", 10)
     texts = ["a" * 4, "b" * 4, "c" * 30, "", "d", "e" * 11, ""]

@@ -17,6 +17,7 @@ other columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
@@ -46,6 +47,9 @@ HEADER = np.dtype(
 INDEX = np.dtype([("start", "<u8"), ("low", "<u4"), ("first_exception", "<u4"), ("width", "u1")])
 #: Letters below this have simple lower cases, the same in every library.
 LATIN_END = "\u0130"
+LATIN_LETTERS = "".join(c for c in map(chr, range(ord(LATIN_END))) if c.isalpha())
+#: The tokenizer takes such letters as one word, and ASCII signs behind them as another.
+LATIN_WORD = re.compile(rf"([{LATIN_LETTERS}]+)([!-/:-@\[-`{{-~]*)")
 DOC = np.dtype([("id", "<i8"), ("known", "u1"), ("tokens", "<u8")])
 
 
@@ -131,16 +135,68 @@ def _ends_in_letter(piece: str) -> bool:
     return piece != "" and piece[-1].isalpha() and piece[-1].lower()[-1].isalpha()
 
 
-class _Pieces:
-    """Pieces with their ids: those met since the last change of generations, and those before."""
+class _Pieces(dict):
+    """Pieces with their ids: those met since the last change of generations, and those before.
+
+    A piece is encoded when it is first asked for. Latin letters make one word of the tokenizer's pattern,
+    and its other steps leave them alone once lowered, so its model gets their bytes at once.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
+        self.model, pattern = self.tokenizer.model, self.tokenizer.pre_tokenizer
+        #: Signs that the model takes for the bytes of a letter that is not ASCII.
+        self.byte_signs = {ord(c): pattern.pre_tokenize_str(c)[0][0] for c in LATIN_LETTERS if not c.isascii()}
         self.older: dict[str, bytes] = {}
         self.size = 0
+        self[""] = b""
+
+    @property
+    def known(self) -> dict[str, bytes]:
+        """The younger generation, which is the dictionary itself."""
+        return self
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.older.get(piece)
+        if found is None:
+            found = self._encoded(piece)
+        self[piece] = found
+        self.size += 2 * len(piece) + ENTRY_BYTES
+        return found
+
+    def _encoded(self, piece: str) -> bytes:
+        if found := LATIN_WORD.fullmatch(piece):
+            letters, signs = found.groups()
+            lowered = letters.lower()
+            if signs or lowered != piece:
+                return self[lowered] + self[signs]
+            word = piece if piece.isascii() else piece.translate(self.byte_signs)
+            ids = [token.id for token in self.model.tokenize(word)]
+        elif piece[-1] in ".," and _ends_in_letter(piece[:-1]):
+            return self[piece[:-1]] + self[piece[-1]]
+        else:
+            ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
+        return array("I", ids).tobytes()
+
+    def trim(self, kept: int) -> None:
+        if self.size > kept:
+            self.older, self.size = dict(self), 0
+            self.clear()
+            self[""] = b""
+
+
+def _lowered(text: str) -> str:
+    """The text in lower case if each of its letters has a simple one, as the tokenizer lowers them itself.
+
+    Not where a special token may be, since these are found by their exact signs.
+    """
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text if "<|" in text else text.lower()
 
 
 def piece_encoder(path: str, kept: int = KEPT_BYTES) -> Callable[[list[str]], list[bytes]]:
@@ -148,44 +204,19 @@ def piece_encoder(path: str, kept: int = KEPT_BYTES) -> Callable[[list[str]], li
 
     The tokenizer's pattern never joins signs across a space or a line end and its other steps
     do not look across them either, so a text's ids are those of the pieces between them. For
-    the same reason a full stop or comma that ends a piece behind a letter is encoded apart, and
-    Latin letters are lowered beforehand, as the tokenizer does that itself. Pieces of the last
+    the same reason signs behind Latin letters, or a full stop or comma behind any letter, are encoded
+    apart, and Latin letters are lowered beforehand, as the tokenizer does that itself. Pieces of the last
     ``kept`` bytes, and of as many before them, stay in the worker process until another operator works there.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     pieces = remembered(f"token pieces of {path}", lambda: _Pieces(path))
 
-    def plain(piece: str) -> tuple[str, str]:
-        """A piece that has the same ids, without the sign at its end, and that sign."""
-        if piece.isascii() or max(piece) < LATIN_END:
-            piece = piece.lower()
-        return (piece[:-1], piece[-1]) if piece[-1] in ".," and _ends_in_letter(piece[:-1]) else (piece, "")
-
-    def learn(wanted: set[str]) -> None:
-        known, older, before = pieces.known, pieces.older, len(pieces.known)
-        again = wanted & older.keys()
-        known.update((piece, older[piece]) for piece in again)
-        forms = {piece: plain(piece) for piece in wanted - again if piece}
-        new = list({part for form in forms.values() for part in form} - known.keys())
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
-            for piece, found in zip(some, pieces.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                known[piece] = array("I", found.ids).tobytes()
-        known.update((piece, known[base] + known[end]) for piece, (base, end) in forms.items())
-        # signs count twice, since a piece may also be there without its last sign
-        pieces.size += 2 * sum(map(len, wanted)) + ENTRY_BYTES * (len(known) - before)
-
-    def trim() -> None:
-        """Only between calls: a call needs all its pieces, however many they are."""
-        if pieces.size > kept:
-            pieces.older, pieces.known, pieces.size = pieces.known, {"": b""}, 0
-
     def encode(texts: list[str]) -> list[bytes]:
-        split = [(t.lower() if t.isascii() else t).replace("\n", " ").split(" ") for t in texts]
-        learn(set().union(*split) - pieces.known.keys())
-        get = pieces.known.__getitem__
-        encoded = [b"".join(map(get, parts)) for parts in split]
-        trim()
+        encoded = []
+        for text in texts:
+            parts = _lowered(text).replace("\n", " ").split(" ")
+            encoded.append(b"".join(map(pieces.__getitem__, parts)))
+            pieces.trim(kept)
         return encoded
 
     return encode
