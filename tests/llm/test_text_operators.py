@@ -284,6 +284,38 @@ def test_special_tokens_are_found_by_their_exact_signs(monkeypatch):
     assert encode(texts) == [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
 
 
+def test_a_piece_is_looked_up_once_a_call(monkeypatch):
+    """Python sees the distinct pieces of a call, also where signs follow them, and not each of their places."""
+    asked = []
+
+    class Counted(token_files._Pieces):
+        def __getitem__(self, piece):
+            asked.append(piece)
+            return super().__getitem__(piece)
+
+    monkeypatch.setattr(sys, "_wellspring_memory", {}, raising=False)
+    monkeypatch.setattr(token_files, "_Pieces", Counted)
+    encode = token_files.piece_encoder(f"{token_files.TOKENIZERS}/word_bpe_49k.json")
+    texts = ["The pump, the valve. THE pump\n(the well)", "", "valve: the"] * 50
+    first, last = encode(texts[:3]), encode(texts)
+    assert last == first * 50
+    assert collections.Counter(asked) == dict.fromkeys(["the", "pump", ",", "valve", ".", "(the", "well", ")", ":"], 2)
+
+
+def test_texts_are_cut_at_blanks_and_before_signs(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(sys, "_wellspring_memory", {}, raising=False)
+    path = f"{token_files.TOKENIZERS}/word_bpe_49k.json"
+    tokenizer, encode = Tokenizer.from_file(path), token_files.piece_encoder(path)
+    calls = [[], [""], ["", ""], [" "], ["\n", " \n "], ["", "a", "", " ", ".", "b"], ["a", ".b", "\u0301c"]]
+    calls += [["it's I'LL o'clock x's.y'd 'S", "a|b <|endoftext|>.", "a=\u0338 h\u0331. e\u0301! 5%a"], ["\x00a\x00. \x85b!\tc"]]
+    for texts in calls:
+        assert encode(texts) == [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    pieces, before = token_files._cut(["a. b", "", ".c|\n"])
+    assert pieces.to_pylist() == ["a", ".", "b", ".c|"] and before.tolist() == [0, 3, 3, 4]
+
+
 def test_slices_are_bounded_by_their_signs(monkeypatch):
     monkeypatch.setattr(token_files, "SIGNS_AT_ONCE", 10)
     texts = ["a" * 4, "b" * 4, "c" * 30, "", "d", "e" * 11, ""]

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import os
 import re
+import string
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
@@ -50,6 +51,14 @@ LATIN_END = "\u0130"
 LATIN_LETTERS = "".join(c for c in map(chr, range(ord(LATIN_END))) if c.isalpha())
 #: The tokenizer takes such letters as one word, and ASCII signs behind them as another.
 LATIN_WORD = re.compile(rf"([{LATIN_LETTERS}]+)([!-/:-@\[-`{{-~]*)")
+#: Bytes between pieces, and their kinds: a piece also ends between a letter and a sign. Special tokens have "|" there.
+BLANKS, OTHER, LETTER, SIGN, BLANK = b" \n", 0, 1, 2, 3
+KINDS = bytearray(256)
+for _kind, _signs in ((LETTER, string.ascii_letters), (SIGN, string.punctuation.replace("|", "")), (BLANK, BLANKS.decode())):
+    for _sign in _signs:
+        KINDS[ord(_sign)] = _kind
+#: Distinct pieces that are looked up before the dictionary of pieces is trimmed.
+PIECES_AT_ONCE = 4096
 DOC = np.dtype([("id", "<i8"), ("known", "u1"), ("tokens", "<u8")])
 
 
@@ -63,12 +72,12 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     values = values.reshape(blocks, BLOCK)
     low = values.min(axis=1)
     rest = values - low[:, None]
-    bits = np.frexp(rest.astype(np.float64))[1].astype(np.uint8)
     at = min(BLOCK - 1, int(np.ceil(KEPT * BLOCK)) - 1)
-    width = np.partition(bits, at, axis=1)[:, at]
-    outside = bits > width[:, None]
+    width = np.frexp(np.partition(rest, at, axis=1)[:, at].astype(np.float64))[1].astype(np.uint8)
+    above = rest >> width[:, None].astype(np.uint32)
+    outside = above != 0
     places = np.nonzero(outside)[1].astype(np.uint8)
-    high = (rest >> width[:, None].astype(np.uint32))[outside].astype("<u4")
+    high = above[outside].astype("<u4")
     sizes = width.astype(np.uint64) * (BLOCK // 8)
     index = np.zeros(blocks, INDEX)
     index["low"], index["width"] = low, width
@@ -78,12 +87,26 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     for w in np.unique(width):
         if w:
             rows = np.nonzero(width == w)[0]
-            flat = (rest[rows][:, :, None] >> np.arange(w, dtype=np.uint32)).astype(np.uint8) & 1
+            four = rest[rows].astype("<u4").view(np.uint8).reshape(len(rows), BLOCK, 4)
+            flat = np.unpackbits(four, axis=2, count=int(w), bitorder="little")
             data = np.packbits(flat.reshape(len(rows), BLOCK * int(w)), axis=1, bitorder="little")
             packed[index["start"][rows].astype(np.int64)[:, None] + np.arange(data.shape[1])] = data
     return index, packed, places, high
 
 
+def _values(data: np.ndarray) -> np.ndarray:
+    """Values of rows of 8, which take as many bytes as each of them has bits."""
+    w = data.shape[1]
+    columns = [column.astype(np.uint64) for column in data.T]
+    values = np.empty((len(data), 8), np.uint32)
+    for i in range(8):
+        first, skipped = divmod(i * w, 8)
+        parts = columns[first : -(-(i + 1) * w // 8)]
+        bits = sum(part << np.uint64(8 * k) for k, part in enumerate(parts)) >> np.uint64(skipped)
+        values[:, i] = bits & np.uint64((1 << w) - 1)
+    return values
+
+
 def unpack(index: np.ndarray, packed: np.ndarray, places: np.ndarray, high: np.ndarray,
            first: int = 0, last: int | None = None) -> np.ndarray:
     """Ids of the blocks ``first`` to ``last`` (exclusive), the padding of the last one included."""
@@ -94,8 +117,7 @@ def unpack(index: np.ndarray, packed: np.ndarray, places: np.ndarray, high: np.n
         if w:
             rows = np.nonzero(chosen["width"] == w)[0]
             data = packed[chosen["start"][rows].astype(np.int64)[:, None] + np.arange(BLOCK // 8 * int(w))]
-            flat = np.unpackbits(data, axis=1, bitorder="little").reshape(len(rows), BLOCK, int(w))
-            out[rows] = flat.astype(np.uint32) @ (np.uint32(1) << np.arange(w, dtype=np.uint32))
+            out[rows] = _values(data.reshape(-1, int(w))).reshape(len(rows), BLOCK)
     ends = np.append(index["first_exception"][1:], len(places))[first:last].astype(np.int64)
     counts = ends - chosen["first_exception"]
     rows = np.repeat(np.arange(len(chosen)), counts)
@@ -166,19 +188,21 @@ class _Pieces(dict):
         self.size += 2 * len(piece) + ENTRY_BYTES
         return found
 
+    def _word(self, letters: str) -> bytes:
+        return array("I", [token.id for token in self.model.tokenize(letters)]).tobytes()
+
     def _encoded(self, piece: str) -> bytes:
+        if piece.isascii() and piece.isalpha() and piece.islower():
+            return self._word(piece)
         if found := LATIN_WORD.fullmatch(piece):
             letters, signs = found.groups()
             lowered = letters.lower()
             if signs or lowered != piece:
                 return self[lowered] + self[signs]
-            word = piece if piece.isascii() else piece.translate(self.byte_signs)
-            ids = [token.id for token in self.model.tokenize(word)]
-        elif piece[-1] in ".," and _ends_in_letter(piece[:-1]):
+            return self._word(piece.translate(self.byte_signs))
+        if piece[-1] in ".," and _ends_in_letter(piece[:-1]):
             return self[piece[:-1]] + self[piece[-1]]
-        else:
-            ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
-        return array("I", ids).tobytes()
+        return array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
 
     def trim(self, kept: int) -> None:
         if self.size > kept:
@@ -199,25 +223,52 @@ def _lowered(text: str) -> str:
     return text if "<|" in text else text.lower()
 
 
+def _cut(texts: list[str]) -> tuple[pa.LargeStringArray, np.ndarray]:
+    """Pieces of all texts in their order, and how many lie before each text and behind the last.
+
+    Blanks end a piece and are left out; an ASCII letter before an ASCII sign ends one too.
+    """
+    encoded = [text.encode() for text in texts]
+    starts = np.cumsum([0, *map(len, encoded)])
+    signs = b"".join(encoded)
+    kinds = np.frombuffer(signs.translate(KINDS), np.uint8)
+    last = kinds == BLANK
+    last[:-1] |= (kinds[:-1] == LETTER) & (kinds[1:] == SIGN)
+    last[starts[1:][np.diff(starts) > 0] - 1] = True
+    stops = np.flatnonzero(last) + 1
+    offsets = np.zeros(len(stops) + 1, np.int64)
+    offsets[1:] = stops - np.cumsum(kinds[stops - 1] == BLANK)
+    kept = pa.py_buffer(signs.translate(None, BLANKS))
+    pieces = pa.LargeStringArray.from_buffers(len(stops), pa.py_buffer(offsets), kept)
+    return pieces, np.searchsorted(stops, starts, side="right")
+
+
 def piece_encoder(path: str, kept: int = KEPT_BYTES) -> Callable[[list[str]], list[bytes]]:
-    """Encodes texts to little-endian unsigned 32-bit ids, each distinct piece once.
+    """Encodes texts to little-endian unsigned 32-bit ids, each distinct piece of a call once.
 
     The tokenizer's pattern never joins signs across a space or a line end and its other steps
     do not look across them either, so a text's ids are those of the pieces between them. For
     the same reason signs behind Latin letters, or a full stop or comma behind any letter, are encoded
-    apart, and Latin letters are lowered beforehand, as the tokenizer does that itself. Pieces of the last
+    apart, and Latin letters are lowered beforehand, as the tokenizer does that itself. The pieces of a call
+    become a dictionary and its indices in Arrow, so that Python sees each distinct one only. Pieces of the last
     ``kept`` bytes, and of as many before them, stay in the worker process until another operator works there.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     pieces = remembered(f"token pieces of {path}", lambda: _Pieces(path))
 
     def encode(texts: list[str]) -> list[bytes]:
-        encoded = []
-        for text in texts:
-            parts = _lowered(text).replace("\n", " ").split(" ")
-            encoded.append(b"".join(map(pieces.__getitem__, parts)))
+        rows, before = _cut([_lowered(text) for text in texts])
+        if not len(rows):
+            return [b""] * len(texts)
+        coded = rows.dictionary_encode()
+        distinct, found = coded.dictionary.to_numpy(zero_copy_only=False), []
+        for i in range(0, len(distinct), PIECES_AT_ONCE):
+            found += map(pieces.__getitem__, distinct[i : i + PIECES_AT_ONCE].tolist())
             pieces.trim(kept)
-        return encoded
+        joined = pa.array(found, pa.large_binary()).take(coded.indices)
+        stops = np.frombuffer(joined.buffers()[1], np.int64, len(joined) + 1)[before].tolist()
+        data = memoryview(joined.buffers()[2])
+        return [bytes(data[a:b]) for a, b in zip(stops, stops[1:])]
 
     return encode
 
@@ -265,6 +316,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
                     if held >= segment_tokens:
                         yield cut()
                         ids, chunks, held, seq = [], [], 0, seq + 1
+            pa.default_memory_pool().release_unused()  # the encoder's; Arrow would keep it, and executors have little
         if ids:
             yield cut()
 
