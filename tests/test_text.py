@@ -210,3 +210,24 @@ def test_postings_of_an_index_are_not_shuffled(spark):
     lengths = index.postings.groupBy("chunk_id").agg(F.sum(F.col("weight") * F.col("weight")).alias("n")).collect()
     assert len(lengths) == 50 and all(abs(r.n - 1) < 1e-9 for r in lengths)
     assert {r.term for r in index.idf.collect()} == {r.term for r in index.postings.select("term").distinct().collect()}
+
+
+def test_an_index_of_few_and_many_shards_has_the_same_weights(spark, monkeypatch):
+    """Also with a repeated id, null and empty texts and terms that many shards hold; and no term is exchanged as a row."""
+    texts = [("a", "Red pump red pump valve"), ("b", "valve of a red pump"), ("b", "choke valve"), ("c", None), ("d", ""), (None, "red valve"), ("e", "the of")]
+    chunks = spark.createDataFrame(texts * 1, "chunk_id string, content string")
+
+    def found():
+        index = retrieval.fit_index(chunks, store=False)
+        weights = {(r.chunk_id, r.term): round(r.weight, 9) for r in index.postings.collect()}
+        asked = {(r.chunk_id, r.term): round(r.weight, 9) for r in index.asked(["red pump", "valve", "missing"]).collect()}
+        assert asked == {k: w for k, w in weights.items() if k[1] in ("red pump", "valve")}
+        return weights, {r.term: round(r.idf, 9) for r in index.idf.collect()}
+
+    weights, idf = found()
+    assert idf["valve"] == round(math.log(8 / 4) + 1, 9) and idf["red pump"] == round(math.log(8 / 3) + 1, 9)
+    assert weights["b", "valve"] == pytest.approx(weights["b", "choke"] * (1 + math.log(2)) * idf["valve"] / idf["choke"])
+    monkeypatch.setattr(retrieval, "SHARD_LETTERS", 1)
+    assert found() == (weights, idf)
+    plan = retrieval.fit_index(chunks, store=False).postings._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(term" not in plan and "Window" not in plan
