@@ -231,3 +231,37 @@ def test_an_index_of_few_and_many_shards_has_the_same_weights(spark, monkeypatch
     assert found() == (weights, idf)
     plan = retrieval.fit_index(chunks, store=False).postings._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(term" not in plan and "Window" not in plan
+
+
+def test_search_by_products_equals_search_by_pairs(spark, monkeypatch):
+    """Chunks with equal scores, without event and of many tiles; the incidents' queries meet no chunk as a pair of rows."""
+    words = [f"w{i}" for i in range(30)]
+    rng = np.random.default_rng(4)
+    rows = [(f"c{i}", f"d{i % 7}", i, [1, 2, None][i % 3], " ".join(rng.choice(words, 8)) if i % 5 else "w1 w2 w3") for i in range(90)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, doc_name string, section_no int, event_id int, content string")
+    asked = [(i, [1, 2, 3, None][i % 4], " ".join(rng.choice(words, 6))) for i in range(20)]
+    queries = spark.createDataFrame(asked, "query_id long, event int, query string")
+    index = retrieval.fit_index(chunks)
+
+    def found(event, most=1000):
+        rows = retrieval.search(queries, index, 3, event, most).collect()
+        return sorted((r.query_id, r.rank, r.chunk_id, round(r.score, 8)) for r in rows)
+
+    by_pairs = {event: found(event, 0) for event in ("event", None)}
+    assert len(by_pairs["event"]) == 60
+    plan = retrieval.search(queries, index, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan
+    for cost in (0, 10**9):  # all pairs, all products
+        real = retrieval._best_chunks
+        for event in ("event", None):
+            with monkeypatch.context() as patched:
+                patched.setattr(retrieval, "PAIR_COST", cost)
+                assert found(event) == by_pairs[event]
+        assert real is retrieval._best_chunks
+    postings, shares = rng.random((40, 12)), rng.random((9, 40)) * (rng.random((9, 40)) < 0.3)
+    row, term = np.nonzero(shares)
+    t, c = np.nonzero(postings)
+    for cost in (0, 10**9):
+        monkeypatch.setattr(retrieval, "PAIR_COST", cost)
+        product = retrieval._Product(row, term, shares[row, term], 9, 40)
+        assert product.with_postings(t, c, postings[t, c], 12) == pytest.approx(shares @ postings)
